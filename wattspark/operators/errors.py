@@ -14,8 +14,14 @@ from pyspark.sql import functions as F
 from wattspark import constants as C
 from wattspark.functions import labels as lab
 
-ACTUAL = F.col("energy_consumption")
-PRED = F.col("predicted")
+def actual():
+    return F.col("energy_consumption")
+
+
+def pred():
+    return F.col("predicted")
+
+
 
 
 def with_errors(df: DataFrame) -> DataFrame:
@@ -33,12 +39,12 @@ def error_metrics(df: DataFrame) -> DataFrame:
     R^2 = 1 - SS_res / SS_tot with SS_tot = n * var_pop(actual), both from the
     same pass (no second scan for the mean).
     """
-    res = ACTUAL - PRED
+    res = actual() - pred()
     out = df.agg(F.count(F.lit(1)).alias("n"),
                  F.sqrt(F.avg(res * res)).alias("rmse"),
                  F.avg(F.abs(res)).alias("mae"),
                  F.sum(res * res).alias("_ss_res"),
-                 (F.var_pop(ACTUAL) * F.count(F.lit(1))).alias("_ss_tot"),
+                 (F.var_pop(actual()) * F.count(F.lit(1))).alias("_ss_tot"),
                  F.avg(lab.pct_error("energy_consumption", "predicted")).alias("mape"))
     return out.withColumn("r2", F.lit(1.0) - F.try_divide(F.col("_ss_res"), F.col("_ss_tot"))) \
         .drop("_ss_res", "_ss_tot")
@@ -49,9 +55,9 @@ def prediction_bands(df: DataFrame) -> DataFrame:
 
     band = predicted +- 1.96 * residual_std * sqrt(24).
     """
-    res = ACTUAL - PRED
+    res = actual() - pred()
     d = df.groupBy(F.to_date("timestamp").alias("date")).agg(
-        F.sum(ACTUAL).alias("actual"), F.sum(PRED).alias("predicted"),
+        F.sum(actual()).alias("actual"), F.sum(pred()).alias("predicted"),
         F.avg(res).alias("residual_mean"), F.stddev_samp(res).alias("residual_std"))
     width = F.lit(C.BAND_Z * math.sqrt(C.BAND_HOURS)) * F.col("residual_std")
     return d.withColumns({"upper": F.col("predicted") + width, "lower": F.col("predicted") - width})
@@ -71,14 +77,15 @@ def band_polygon(bands: DataFrame) -> DataFrame:
     return upper.unionByName(lower)
 
 
-_SCENARIO_CONDITIONS = (
-    ("Normal Hours", F.col("load_shedding_stage") == 0),
-    ("During Outage", F.col("load_shedding_stage") > 0),
-    ("Winter Peak", (F.col("season") == "Winter") & F.col("hour").between(*C.WINTER_PEAK_HOURS)),
-    ("Summer Midday", (F.col("season") == "Summer") & F.col("hour").between(*C.SUMMER_MIDDAY_HOURS)),
-    ("Weekend", F.col("is_weekend") == 1),
-    ("With Backup", F.col("backup_power")),
-)
+def _scenario_conditions():
+    return (
+        ("Normal Hours", F.col("load_shedding_stage") == 0),
+        ("During Outage", F.col("load_shedding_stage") > 0),
+        ("Winter Peak", (F.col("season") == "Winter") & F.col("hour").between(*C.WINTER_PEAK_HOURS)),
+        ("Summer Midday", (F.col("season") == "Summer") & F.col("hour").between(*C.SUMMER_MIDDAY_HOURS)),
+        ("Weekend", F.col("is_weekend") == 1),
+        ("With Backup", F.col("backup_power")),
+    )
 
 
 def scenario_errors(e: DataFrame) -> DataFrame:
@@ -88,8 +95,8 @@ def scenario_errors(e: DataFrame) -> DataFrame:
     exploded: at most six rows per reading, all built in one projection) and a
     single grouped aggregate computes every scenario at once.
     """
-    tags = F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in _SCENARIO_CONDITIONS]))
-    res = ACTUAL - PRED
+    tags = F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in _scenario_conditions()]))
+    res = actual() - pred()
     tagged = e.select(F.explode(tags).alias("scenario"), res.alias("_res"))
     return tagged.groupBy("scenario").agg(F.sqrt(F.avg(F.col("_res") * F.col("_res"))).alias("rmse"),
                                           F.avg(F.abs("_res")).alias("mae"),
@@ -97,7 +104,7 @@ def scenario_errors(e: DataFrame) -> DataFrame:
 
 
 def _residual_range(df: DataFrame):
-    res = ACTUAL - PRED
+    res = actual() - pred()
     lo = df.select(F.min(res)).scalar()
     hi = df.select(F.max(res)).scalar()
     return res, lo, hi
@@ -117,7 +124,7 @@ def residual_histogram(df: DataFrame, bins: int = C.HISTOGRAM_BINS) -> DataFrame
 
 def residual_normal_fit(df: DataFrame, points: int = C.NORMAL_FIT_POINTS, bins: int = C.HISTOGRAM_BINS) -> DataFrame:
     """Normal-curve overlay for the histogram: 100 points from min to max, pdf x n x (max-min)/bins."""
-    res = ACTUAL - PRED
+    res = actual() - pred()
     s = df.agg(F.min(res).alias("_lo"), F.max(res).alias("_hi"), F.avg(res).alias("_mu"),
                F.stddev_samp(res).alias("_sd"), F.count(F.lit(1)).alias("_n"))
     s = s.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))

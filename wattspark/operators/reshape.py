@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from wattspark import constants as C
 
-KWH = F.col("energy_consumption")
+def kwh():
+    return F.col("energy_consumption")
+
+
 
 
 def day_dimension(spark: SparkSession) -> DataFrame:
@@ -23,7 +26,7 @@ def heatmap_day_hour(e: DataFrame) -> DataFrame:
     the aggregate runs partial-then-final. Day names absent from the data still
     get a row (all null), through a right join from the broadcast day dimension.
     """
-    pivoted = e.groupBy("day_name").pivot("hour", list(range(24))).agg(F.avg(KWH))
+    pivoted = e.groupBy("day_name").pivot("hour", list(range(24))).agg(F.avg(kwh()))
     pivoted = pivoted.select("day_name", *[F.col(str(h)).alias(f"h{h:02d}") for h in range(24)])
     days = F.broadcast(day_dimension(e.sparkSession))
     return pivoted.join(days, "day_name", "right").orderBy("day_order")
@@ -31,7 +34,7 @@ def heatmap_day_hour(e: DataFrame) -> DataFrame:
 
 def weekday_weekend_profile(e: DataFrame) -> DataFrame:
     """Mean kWh per hour for weekdays and weekends side by side."""
-    return (e.groupBy("hour").pivot("is_weekend", [0, 1]).agg(F.avg(KWH))
+    return (e.groupBy("hour").pivot("is_weekend", [0, 1]).agg(F.avg(kwh()))
             .select("hour", F.col("0").alias("weekday_kwh"), F.col("1").alias("weekend_kwh"))
             .orderBy("hour"))
 

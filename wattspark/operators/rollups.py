@@ -15,9 +15,18 @@ from pyspark.sql import functions as F
 from wattspark import constants as C
 from wattspark.functions import labels as lab
 
-KWH = F.col("energy_consumption")
-STAGE = F.col("load_shedding_stage")
-OUTAGE = STAGE > 0
+def kwh():
+    return F.col("energy_consumption")
+
+
+def stage():
+    return F.col("load_shedding_stage")
+
+
+def outage():
+    return F.col("load_shedding_stage") > 0
+
+
 
 
 def _pct(num, den):
@@ -31,10 +40,10 @@ def dataset_overview(r: DataFrame) -> DataFrame:
         F.to_date(F.min("timestamp")).alias("first_date"),
         F.to_date(F.max("timestamp")).alias("last_date"),
         F.count_distinct("household_id").alias("households"),
-        F.sum(KWH).alias("total_kwh"),
-        F.avg(KWH).alias("mean_kwh"),
-        F.min(KWH).alias("min_kwh"),
-        F.max(KWH).alias("max_kwh"),
+        F.sum(kwh()).alias("total_kwh"),
+        F.avg(kwh()).alias("mean_kwh"),
+        F.min(kwh()).alias("min_kwh"),
+        F.max(kwh()).alias("max_kwh"),
     )
 
 
@@ -43,11 +52,11 @@ def quality_checks(r: DataFrame) -> DataFrame:
     n = F.count(F.lit(1))
     return r.agg(
         n.alias("records"),
-        F.count_if(KWH < 0).alias("negative_readings"),
-        F.count_if(KWH > C.HIGH_USAGE_KWH).alias("high_usage_readings"),
-        _pct(F.count_if(KWH > C.HIGH_USAGE_KWH), n).alias("high_usage_pct"),
-        F.count_if(OUTAGE).alias("outage_hours"),
-        _pct(F.count_if(OUTAGE), n).alias("outage_pct"),
+        F.count_if(kwh() < 0).alias("negative_readings"),
+        F.count_if(kwh() > C.HIGH_USAGE_KWH).alias("high_usage_readings"),
+        _pct(F.count_if(kwh() > C.HIGH_USAGE_KWH), n).alias("high_usage_pct"),
+        F.count_if(outage()).alias("outage_hours"),
+        _pct(F.count_if(outage()), n).alias("outage_pct"),
     )
 
 
@@ -55,19 +64,19 @@ def kpi_cards(e: DataFrame) -> DataFrame:
     """Headline KPIs: total, peak, mean, outage hours and share, total estimated cost (A3)."""
     n = F.count(F.lit(1))
     return e.agg(
-        F.sum(KWH).alias("total_kwh"),
-        F.max(KWH).alias("peak_kwh"),
-        F.avg(KWH).alias("mean_kwh"),
-        F.count_if(OUTAGE).alias("outage_hours"),
-        _pct(F.count_if(OUTAGE), n).alias("outage_pct"),
+        F.sum(kwh()).alias("total_kwh"),
+        F.max(kwh()).alias("peak_kwh"),
+        F.avg(kwh()).alias("mean_kwh"),
+        F.count_if(outage()).alias("outage_hours"),
+        _pct(F.count_if(outage()), n).alias("outage_pct"),
         F.sum("estimated_cost").alias("total_cost"),
     )
 
 
 def outage_split(r: DataFrame) -> DataFrame:
     """Mean kWh with and without an outage and the reduction %."""
-    out = r.agg(F.avg(F.when(OUTAGE, KWH)).alias("avg_during_outage"),
-                F.avg(F.when(STAGE == 0, KWH)).alias("avg_without_outage"))
+    out = r.agg(F.avg(F.when(outage(), kwh())).alias("avg_during_outage"),
+                F.avg(F.when(stage() == 0, kwh())).alias("avg_without_outage"))
     return out.withColumn("reduction_pct",
                           (F.lit(1.0) - F.try_divide(F.col("avg_during_outage"), F.col("avg_without_outage"))) * 100.0)
 
@@ -75,8 +84,8 @@ def outage_split(r: DataFrame) -> DataFrame:
 def backup_outage_split(r: DataFrame) -> DataFrame:
     """Mean kWh during outages with / without backup power and the uplift %."""
     b = F.col("backup_power")
-    out = r.agg(F.avg(F.when(b & OUTAGE, KWH)).alias("during_with_backup"),
-                F.avg(F.when(~b & OUTAGE, KWH)).alias("during_no_backup"))
+    out = r.agg(F.avg(F.when(b & outage(), kwh())).alias("during_with_backup"),
+                F.avg(F.when(~b & outage(), kwh())).alias("during_no_backup"))
     return out.withColumn("backup_uplift_pct",
                           (F.try_divide(F.col("during_with_backup"), F.col("during_no_backup")) - F.lit(1.0)) * 100.0)
 
@@ -84,15 +93,15 @@ def backup_outage_split(r: DataFrame) -> DataFrame:
 def seasonal_stats(e: DataFrame) -> DataFrame:
     """Mean, sum, sample std by season, highest mean first."""
     return (e.groupBy("season")
-            .agg(F.avg(KWH).alias("mean_kwh"), F.sum(KWH).alias("sum_kwh"), F.stddev_samp(KWH).alias("std_kwh"))
+            .agg(F.avg(kwh()).alias("mean_kwh"), F.sum(kwh()).alias("sum_kwh"), F.stddev_samp(kwh()).alias("std_kwh"))
             .orderBy(F.desc("mean_kwh")))
 
 
 def evening_peak_by_season(e: DataFrame) -> DataFrame:
     """Winter and summer evening (18..21) means and winter's excess %."""
     evening = F.col("hour").between(*C.EVENING_HOURS)
-    out = e.agg(F.avg(F.when((F.col("season") == "Winter") & evening, KWH)).alias("winter_evening_kwh"),
-                F.avg(F.when((F.col("season") == "Summer") & evening, KWH)).alias("summer_evening_kwh"))
+    out = e.agg(F.avg(F.when((F.col("season") == "Winter") & evening, kwh())).alias("winter_evening_kwh"),
+                F.avg(F.when((F.col("season") == "Summer") & evening, kwh())).alias("summer_evening_kwh"))
     return out.withColumn("winter_over_summer_pct",
                           (F.try_divide(F.col("winter_evening_kwh"), F.col("summer_evening_kwh")) - F.lit(1.0)) * 100.0)
 
@@ -101,21 +110,21 @@ def household_stats(r: DataFrame) -> DataFrame:
     """Per household mean / std / min / max and backup flag of its first reading."""
     first = F.min_by("backup_power", F.struct("timestamp", "reading_id"))
     return (r.where(F.col("household_id").isNotNull()).groupBy("household_id")
-            .agg(F.avg(KWH).alias("mean_kwh"), F.stddev_samp(KWH).alias("std_kwh"),
-                 F.min(KWH).alias("min_kwh"), F.max(KWH).alias("max_kwh"), first.alias("backup_power"))
+            .agg(F.avg(kwh()).alias("mean_kwh"), F.stddev_samp(kwh()).alias("std_kwh"),
+                 F.min(kwh()).alias("min_kwh"), F.max(kwh()).alias("max_kwh"), first.alias("backup_power"))
             .orderBy("mean_kwh"))
 
 
 def hourly_profile_by_season(e: DataFrame) -> DataFrame:
     """Mean kWh by season and hour."""
-    return e.groupBy("season", "hour").agg(F.avg(KWH).alias("avg_kwh")).orderBy("season", "hour")
+    return e.groupBy("season", "hour").agg(F.avg(kwh()).alias("avg_kwh")).orderBy("season", "hour")
 
 
 def daily_summary(e: DataFrame) -> DataFrame:
     """Per calendar day: total, mean, max, min kWh and the day name (A10)."""
     return (e.groupBy("date")
-            .agg(F.sum(KWH).alias("total_kwh"), F.avg(KWH).alias("avg_kwh"),
-                 F.max(KWH).alias("max_kwh"), F.min(KWH).alias("min_kwh"))
+            .agg(F.sum(kwh()).alias("total_kwh"), F.avg(kwh()).alias("avg_kwh"),
+                 F.max(kwh()).alias("max_kwh"), F.min(kwh()).alias("min_kwh"))
             .withColumn("day_name", F.date_format("date", "EEEE")))
 
 
@@ -127,8 +136,8 @@ def daily_kpis(daily: DataFrame) -> DataFrame:
 
 def stage_impact(r: DataFrame) -> DataFrame:
     """Per outage stage: label, mean, sample std and count of readings."""
-    return (r.groupBy(STAGE.alias("stage"))
-            .agg(F.avg(KWH).alias("mean_kwh"), F.stddev_samp(KWH).alias("std_kwh"), F.count(F.lit(1)).alias("readings"))
+    return (r.groupBy(stage().alias("stage"))
+            .agg(F.avg(kwh()).alias("mean_kwh"), F.stddev_samp(kwh()).alias("std_kwh"), F.count(F.lit(1)).alias("readings"))
             .withColumn("label", lab.stage_label("stage", "No Outage"))
             .orderBy("stage"))
 
@@ -142,8 +151,8 @@ def backup_effect(r: DataFrame) -> DataFrame:
     b = F.col("backup_power")
     has_no_backup = r.select(F.count_if(~b) > 0).scalar()
     has_backup = r.select(F.count_if(b) > 0).scalar()
-    out = (r.groupBy(STAGE.alias("stage"))
-           .agg(F.avg(F.when(~b, KWH)).alias("_no"), F.avg(F.when(b, KWH)).alias("_with")))
+    out = (r.groupBy(stage().alias("stage"))
+           .agg(F.avg(F.when(~b, kwh())).alias("_no"), F.avg(F.when(b, kwh())).alias("_with")))
     return (out.select("stage", lab.stage_label("stage", "Normal").alias("label"),
                        F.when(has_no_backup, F.col("_no")).otherwise(F.lit(0.0)).alias("no_backup_kwh"),
                        F.when(has_backup, F.col("_with")).otherwise(F.lit(0.0)).alias("with_backup_kwh"))
@@ -152,30 +161,30 @@ def backup_effect(r: DataFrame) -> DataFrame:
 
 def outage_by_hour(e: DataFrame) -> DataFrame:
     """Outage readings per hour of day; hours without outages are left out."""
-    return (e.where(OUTAGE).groupBy("hour").agg(F.count(F.lit(1)).alias("outage_hours"))
+    return (e.where(outage()).groupBy("hour").agg(F.count(F.lit(1)).alias("outage_hours"))
             .orderBy("hour"))
 
 
 def avg_by_hour(e: DataFrame) -> DataFrame:
     """Mean kWh per hour of day."""
-    return e.groupBy("hour").agg(F.avg(KWH).alias("avg_kwh")).orderBy("hour")
+    return e.groupBy("hour").agg(F.avg(kwh()).alias("avg_kwh")).orderBy("hour")
 
 
 def day_hour_distribution(e: DataFrame) -> DataFrame:
     """Mean and total kWh per (day name, hour)."""
-    return e.groupBy("day_name", "hour").agg(F.avg(KWH).alias("avg_kwh"), F.sum(KWH).alias("total_kwh"))
+    return e.groupBy("day_name", "hour").agg(F.avg(kwh()).alias("avg_kwh"), F.sum(kwh()).alias("total_kwh"))
 
 
 def day_totals(e: DataFrame) -> DataFrame:
     """Total kWh per day name."""
-    return e.groupBy("day_name").agg(F.sum(KWH).alias("total_kwh"))
+    return e.groupBy("day_name").agg(F.sum(kwh()).alias("total_kwh"))
 
 
 def peak_shift_savings(e: DataFrame, shift: float = C.PEAK_SHIFT_FRACTION) -> DataFrame:
     """Savings from moving a share of peak kWh to off-peak tariffs."""
     peak = lab.is_peak_period("time_period")
-    out = e.agg(F.sum(F.when(peak, KWH).otherwise(F.lit(0.0))).alias("peak_kwh"),
-                F.sum(F.when(~peak, KWH).otherwise(F.lit(0.0))).alias("offpeak_kwh"))
+    out = e.agg(F.sum(F.when(peak, kwh()).otherwise(F.lit(0.0))).alias("peak_kwh"),
+                F.sum(F.when(~peak, kwh()).otherwise(F.lit(0.0))).alias("offpeak_kwh"))
     current = F.col("peak_kwh") * C.TARIFF_PEAK + F.col("offpeak_kwh") * C.TARIFF_OFFPEAK
     potential = (F.col("peak_kwh") * (1 - shift) * C.TARIFF_PEAK
                  + (F.col("offpeak_kwh") + F.col("peak_kwh") * shift) * C.TARIFF_OFFPEAK)
@@ -187,7 +196,7 @@ def household_cost(e: DataFrame) -> DataFrame:
     """Per household: cost, kWh, backup flag of the first reading, cost per kWh."""
     first = F.min_by("backup_power", F.struct("timestamp", "reading_id"))
     return (e.where(F.col("household_id").isNotNull()).groupBy("household_id")
-            .agg(F.sum("estimated_cost").alias("estimated_cost"), F.sum(KWH).alias("energy_consumption"),
+            .agg(F.sum("estimated_cost").alias("estimated_cost"), F.sum(kwh()).alias("energy_consumption"),
                  first.alias("backup_power"))
             .withColumn("cost_per_kwh", F.try_divide(F.col("estimated_cost"), F.col("energy_consumption"))))
 
@@ -195,28 +204,28 @@ def household_cost(e: DataFrame) -> DataFrame:
 def daily_cost_outage(e: DataFrame) -> DataFrame:
     """Per day: cost, outage hours and kWh."""
     return e.groupBy("date").agg(F.sum("estimated_cost").alias("cost"),
-                                 F.count_if(OUTAGE).alias("outage_hours"),
-                                 F.sum(KWH).alias("consumption"))
+                                 F.count_if(outage()).alias("outage_hours"),
+                                 F.sum(kwh()).alias("consumption"))
 
 
 def daily_trend(e: DataFrame) -> DataFrame:
     """Per day: total kWh, highest stage, and whether any outage happened."""
-    return (e.groupBy("date").agg(F.sum(KWH).alias("total_kwh"), F.max(STAGE).alias("max_stage"))
+    return (e.groupBy("date").agg(F.sum(kwh()).alias("total_kwh"), F.max(stage()).alias("max_stage"))
             .withColumn("is_outage_day", F.col("max_stage") > 0))
 
 
 def hourly_extract(e: DataFrame) -> DataFrame:
     """BI hourly extract: date, day_name, hour, total / avg / min / max kWh."""
     return e.groupBy("date", "day_name", "hour").agg(
-        F.sum(KWH).alias("total_kwh"), F.avg(KWH).alias("avg_kwh"),
-        F.min(KWH).alias("min_kwh"), F.max(KWH).alias("max_kwh"))
+        F.sum(kwh()).alias("total_kwh"), F.avg(kwh()).alias("avg_kwh"),
+        F.min(kwh()).alias("min_kwh"), F.max(kwh()).alias("max_kwh"))
 
 
 def daily_extract(e: DataFrame) -> DataFrame:
     """BI daily extract: date, day_name, day_of_week, total / avg / min / max kWh."""
     return e.groupBy("date", "day_name", "day_of_week").agg(
-        F.sum(KWH).alias("total_kwh"), F.avg(KWH).alias("avg_kwh"),
-        F.min(KWH).alias("min_kwh"), F.max(KWH).alias("max_kwh"))
+        F.sum(kwh()).alias("total_kwh"), F.avg(kwh()).alias("avg_kwh"),
+        F.min(kwh()).alias("min_kwh"), F.max(kwh()).alias("max_kwh"))
 
 
 def categorize_bi(hourly: DataFrame) -> DataFrame:
@@ -242,4 +251,4 @@ def weekend_vs_weekday_total(hourly: DataFrame) -> DataFrame:
 
 def warehouse_projection(r: DataFrame) -> DataFrame:
     """The three-column warehouse table: household_id, timestamp, energy_consumption as FLOAT."""
-    return r.select("household_id", "timestamp", KWH.cast("float").alias("energy_consumption"))
+    return r.select("household_id", "timestamp", kwh().cast("float").alias("energy_consumption"))
