@@ -40,7 +40,8 @@ def parse_requests(df: DataFrame, body: str = "body") -> DataFrame:
         "load_shedding_stage": F.coalesce(r["load_shedding_stage"], F.lit(d["load_shedding_stage"])),
         "has_backup_power": F.coalesce(r["has_backup_power"], F.lit(d["has_backup_power"])),
         "household_id": F.coalesce(r["household_id"], F.lit(d["household_id"])),
-        "malformed": r.isNull(),
+        # json_object_keys is null for anything that is not a JSON object
+        "malformed": F.json_object_keys(F.col(body)).isNull(),
     })
     return out.drop("_req")
 

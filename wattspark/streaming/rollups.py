@@ -4,6 +4,10 @@ The same aggregates as the batch daily summary / hourly extract, on event
 time: a watermark bounds the state (a day is final once readings ``lateness``
 past its end have arrived), so the state holds only the open days, and
 ``append`` mode emits each day once, when it is closed.
+
+Watermarks need a zoned ``TIMESTAMP`` event time, so the wall-clock
+``timestamp_ntz`` is cast to one; windows are aligned to UTC days, so the
+session time zone must be UTC (``wattspark.session.get_session`` sets it).
 """
 
 from __future__ import annotations
@@ -30,10 +34,14 @@ def read_readings_stream(spark: SparkSession, path: str, fmt: str = "parquet",
     return reader.parquet(path)
 
 
+def _event_time(readings: DataFrame) -> DataFrame:
+    return readings.withColumn("event_time", F.col("timestamp").cast("timestamp"))
+
+
 def daily_summary_stream(readings: DataFrame, lateness: str = "2 hours") -> DataFrame:
     """Per calendar day: total / avg / max / min kWh and day name, emitted when the day closes."""
-    agg = (readings.withWatermark("timestamp", lateness)
-           .groupBy(F.window("timestamp", "1 day"))
+    agg = (_event_time(readings).withWatermark("event_time", lateness)
+           .groupBy(F.window("event_time", "1 day"))
            .agg(F.sum(kwh()).alias("total_kwh"), F.avg(kwh()).alias("avg_kwh"),
                 F.max(kwh()).alias("max_kwh"), F.min(kwh()).alias("min_kwh")))
     day = F.to_date(F.col("window.start"))
@@ -43,8 +51,8 @@ def daily_summary_stream(readings: DataFrame, lateness: str = "2 hours") -> Data
 
 def hourly_extract_stream(readings: DataFrame, lateness: str = "2 hours") -> DataFrame:
     """Per clock hour: total / avg / min / max kWh (the BI hourly extract), emitted when the hour closes."""
-    agg = (readings.withWatermark("timestamp", lateness)
-           .groupBy(F.window("timestamp", "1 hour"))
+    agg = (_event_time(readings).withWatermark("event_time", lateness)
+           .groupBy(F.window("event_time", "1 hour"))
            .agg(F.sum(kwh()).alias("total_kwh"), F.avg(kwh()).alias("avg_kwh"),
                 F.min(kwh()).alias("min_kwh"), F.max(kwh()).alias("max_kwh")))
     start = F.col("window.start")
