@@ -11,9 +11,9 @@ CALENDAR_COLUMNS = ("hour", "day_of_week", "date", "day_name", "month", "month_n
 ENRICHED_COLUMNS = CALENDAR_COLUMNS + ("season", "time_period", "outage_severity", "estimated_cost")
 
 
-def with_calendar(df: DataFrame, ts: str = "timestamp") -> DataFrame:
-    """Add hour, day_of_week (0=Mon), date, day_name, month, month_name, ISO week, is_weekend."""
-    return df.withColumns({
+def calendar_columns(ts: str = "timestamp") -> dict:
+    """hour, day_of_week (0=Mon), date, day_name, month, month_name, ISO week, is_weekend."""
+    return {
         "hour": cal.hour(ts),
         "day_of_week": cal.day_of_week(ts),
         "date": cal.date(ts),
@@ -22,19 +22,27 @@ def with_calendar(df: DataFrame, ts: str = "timestamp") -> DataFrame:
         "month_name": cal.month_name(ts),
         "week": cal.iso_week(ts),
         "is_weekend": cal.is_weekend(ts),
-    })
+    }
+
+
+def with_calendar(df: DataFrame, ts: str = "timestamp") -> DataFrame:
+    return df.withColumns(calendar_columns(ts))
 
 
 def enrich(df: DataFrame, ts: str = "timestamp") -> DataFrame:
     """Calendar columns plus season, time_period, outage_severity and estimated_cost.
 
-    Pure projections: one codegen stage, no shuffle; unused columns are pruned
-    by Catalyst when a downstream aggregate does not reference them.
+    One projection (a single analysis pass and one codegen stage, no shuffle);
+    expressions shared between columns (hour, month) are computed once by
+    subexpression elimination. Catalyst prunes the columns a downstream
+    aggregate does not reference.
     """
-    df = with_calendar(df, ts)
-    df = df.withColumns({
-        "season": cal.season("month"),
-        "time_period": cal.time_period("hour"),
+    cols = calendar_columns(ts)
+    period = cal.time_period(cal.hour(ts))
+    cols.update({
+        "season": cal.season(cal.month(ts)),
+        "time_period": period,
         "outage_severity": lab.outage_severity("load_shedding_stage"),
+        "estimated_cost": lab.estimated_cost("energy_consumption", period),
     })
-    return df.withColumn("estimated_cost", lab.estimated_cost("energy_consumption", "time_period"))
+    return df.select("*", *[c.alias(n) for n, c in cols.items()])

@@ -11,9 +11,9 @@ from wattspark.operators.enrich import enrich
 from wattspark.operators.features import feature_matrix
 from wattspark.operators.requests import parse_requests, request_features, validate_requests
 from wattspark.operators.sampling import train_test_split
-from wattspark.plans.registry import register
+from wattspark.plans.registry import events, events_enriched, orders, orders_enriched, register
 from wattspark.plans.sql import ENRICH, NEIGHBOURS, ORDERS_READINGS, R, with_ctes
-from wattspark.sources.adapters import orders_readings, requests_from_events
+from wattspark.sources.adapters import requests_from_events
 
 _CYC = """2 * pi() * hour("timestamp") / 24.0"""
 _DCYC = """2 * pi() * (isodow("timestamp") - 1) / 7.0"""
@@ -24,7 +24,7 @@ SELECT reading_id, {R(f'sin({_CYC})')} AS hour_sin, {R(f'cos({_CYC})')} AS hour_
        {R(f'sin({_DCYC})')} AS dow_sin, {R(f'cos({_DCYC})')} AS dow_cos
 FROM r"""))
 def q_cyclical_features(spark, sf):
-    r = orders_readings(spark, sf).withColumns({"hour": F.hour("timestamp"), "dow": F.weekday("timestamp")})
+    r = orders(spark, sf).withColumns({"hour": F.hour("timestamp"), "dow": F.weekday("timestamp")})
     hs, hc = enc.cyclical("hour", 24)
     ds, dc = enc.cyclical("dow", 7)
     return r.select("reading_id", hs.alias("hour_sin"), hc.alias("hour_cos"), ds.alias("dow_sin"), dc.alias("dow_cos"))
@@ -60,13 +60,13 @@ FROM n""")
 
 @register("feature_matrix", _FEATURE_SQL)
 def q_feature_matrix(spark, sf):
-    return feature_matrix(orders_readings(spark, sf))
+    return feature_matrix(orders(spark, sf))
 
 
 @register("train_test_split", with_ctes(ORDERS_READINGS, body="""
 SELECT reading_id, CASE WHEN reading_id % 5 = 0 THEN 'test' ELSE 'train' END AS split FROM r"""))
 def q_train_test_split(spark, sf):
-    return train_test_split(orders_readings(spark, sf)).select("reading_id", "split")
+    return train_test_split(orders(spark, sf)).select("reading_id", "split")
 
 
 _REQ = """q AS (
@@ -155,7 +155,7 @@ FROM (SELECT *, CASE WHEN energy_consumption < 0.7 * (CASE WHEN season = 'Winter
                      ELSE 'High' END AS category
       FROM e)"""))
 def q_explanation_text(spark, sf):
-    e = enrich(orders_readings(spark, sf))
+    e = orders_enriched(spark, sf)
     day_type = F.when(F.col("is_weekend") == 1, F.lit("weekend")).otherwise(F.lit("weekday"))
     cat = lab.category_seasonal("energy_consumption", "season", "hour")
     return e.select("reading_id", lab.explanation(cat, "hour", day_type, "season", "load_shedding_stage",

@@ -15,8 +15,8 @@ from wattspark.operators.anomaly import with_z_score
 from wattspark.operators.errors import error_metrics
 from wattspark.operators.features import with_features
 from wattspark.operators.sampling import sample_fixed_n, train_test_split
-from wattspark.plans.registry import register
-from wattspark.sources.adapters import orders_readings, requests_from_events
+from wattspark.plans.registry import events, events_enriched, orders, orders_enriched, register
+from wattspark.sources.adapters import requests_from_events
 
 QUERY_FOREST = {"numTrees": 20, "maxDepth": 8}
 QUERY_BOOSTED = {"maxIter": 20, "maxDepth": 5}
@@ -24,7 +24,7 @@ _CACHE: dict = {}
 
 
 def _split(spark, sf):
-    f = train_test_split(with_features(orders_readings(spark, sf)))
+    f = train_test_split(with_features(orders(spark, sf)))
     return f.where(F.col("split") == "train"), f.where(F.col("split") == "test")
 
 
@@ -76,14 +76,14 @@ def q_top_drivers(spark, sf):
 
 @register("score_readings", note="R")
 def q_score_readings(spark, sf):
-    scored = scoring.score_readings(_model(spark, sf, "boosted"), orders_readings(spark, sf))
+    scored = scoring.score_readings(_model(spark, sf, "boosted"), orders(spark, sf))
     return scored.select("reading_id", "household_id", "timestamp", "energy_consumption", "predicted",
                          "residual", "abs_error", "pct_error")
 
 
 @register("in_sample_metrics", note="R")
 def q_in_sample_metrics(spark, sf):
-    scored = _model(spark, sf, "boosted").transform(with_features(orders_readings(spark, sf)))
+    scored = _model(spark, sf, "boosted").transform(with_features(orders(spark, sf)))
     return error_metrics(scored)
 
 
@@ -102,5 +102,5 @@ def q_score_requests(spark, sf):
 
 @register("sample_fixed_n", note="R: a hash-ranked sample, rows differ from numpy's sampler by design")
 def q_sample_fixed_n(spark, sf):
-    z = with_z_score(orders_readings(spark, sf))
+    z = with_z_score(orders(spark, sf))
     return sample_fixed_n(z.where(~F.col("is_anomaly")), 2000)

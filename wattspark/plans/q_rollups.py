@@ -8,17 +8,16 @@ from wattspark.functions import calendar as cal
 from wattspark.operators import filters, reshape, rollups
 from wattspark.operators.enrich import enrich
 from wattspark.operators.quantiles import season_box
-from wattspark.plans.registry import register
+from wattspark.plans.registry import events, events_enriched, orders, orders_enriched, register
 from wattspark.plans.sql import ENRICH, EVENTS_READINGS, ORDERS_READINGS, R, with_ctes
-from wattspark.sources.adapters import events_readings, orders_readings
 
 
 def _orders(spark, sf):
-    return enrich(orders_readings(spark, sf))
+    return orders_enriched(spark, sf)
 
 
 def _events(spark, sf):
-    return enrich(events_readings(spark, sf))
+    return enrich(events(spark, sf))
 
 
 def _osql(body: str) -> str:
@@ -55,7 +54,7 @@ SELECT count(*) AS records, CAST(min("timestamp") AS DATE) AS first_date, CAST(m
        {R('max(energy_consumption)')} AS max_kwh
 FROM e"""))
 def q_dataset_overview(spark, sf):
-    return rollups.dataset_overview(orders_readings(spark, sf))
+    return rollups.dataset_overview(orders(spark, sf))
 
 
 @register("quality_checks", _esql(f"""
@@ -66,7 +65,7 @@ SELECT count(*) AS records, CAST(count_if(energy_consumption < 0) AS BIGINT) AS
        {R('count_if(load_shedding_stage > 0) * 100.0::DOUBLE / count(*)')} AS outage_pct
 FROM e"""))
 def q_quality_checks(spark, sf):
-    return rollups.quality_checks(events_readings(spark, sf))
+    return rollups.quality_checks(events(spark, sf))
 
 
 @register("kpi_cards", _osql(f"""
@@ -84,7 +83,7 @@ SELECT {R('d')} AS avg_during_outage, {R('w')} AS avg_without_outage, {R('(1 - d
 FROM (SELECT avg(energy_consumption) FILTER (WHERE load_shedding_stage > 0) AS d,
              avg(energy_consumption) FILTER (WHERE load_shedding_stage = 0) AS w FROM e)"""))
 def q_outage_split(spark, sf):
-    return rollups.outage_split(orders_readings(spark, sf))
+    return rollups.outage_split(orders(spark, sf))
 
 
 @register("backup_outage_split", _osql(f"""
@@ -92,7 +91,7 @@ SELECT {R('wb')} AS during_with_backup, {R('nb')} AS during_no_backup, {R('(wb /
 FROM (SELECT avg(energy_consumption) FILTER (WHERE backup_power AND load_shedding_stage > 0) AS wb,
              avg(energy_consumption) FILTER (WHERE NOT backup_power AND load_shedding_stage > 0) AS nb FROM e)"""))
 def q_backup_outage_split(spark, sf):
-    return rollups.backup_outage_split(orders_readings(spark, sf))
+    return rollups.backup_outage_split(orders(spark, sf))
 
 
 @register("seasonal_stats", _osql(f"""
@@ -117,7 +116,7 @@ SELECT household_id, {R('avg(energy_consumption)')} AS mean_kwh, {R('stddev_samp
        arg_min(backup_power, ("timestamp", reading_id)) AS backup_power
 FROM e WHERE household_id IS NOT NULL GROUP BY household_id"""))
 def q_household_stats(spark, sf):
-    return rollups.household_stats(orders_readings(spark, sf))
+    return rollups.household_stats(orders(spark, sf))
 
 
 @register("hourly_profile_by_season", _osql(f"""
@@ -132,7 +131,7 @@ SELECT load_shedding_stage AS stage, {R('avg(energy_consumption)')} AS mean_kwh,
        CASE WHEN load_shedding_stage > 0 THEN 'Stage ' || CAST(load_shedding_stage AS VARCHAR) ELSE 'No Outage' END AS label
 FROM e GROUP BY load_shedding_stage"""))
 def q_stage_impact(spark, sf):
-    return rollups.stage_impact(orders_readings(spark, sf))
+    return rollups.stage_impact(orders(spark, sf))
 
 
 @register("backup_effect", _osql(f"""
@@ -148,7 +147,7 @@ def q_backup_effect(spark, sf):
 
 
 def reshape_backup(spark, sf):
-    return rollups.backup_effect(orders_readings(spark, sf))
+    return rollups.backup_effect(orders(spark, sf))
 
 
 @register("outage_by_hour", _osql("""
@@ -265,7 +264,7 @@ def q_weekend_vs_weekday_total(spark, sf):
 @register("warehouse_projection", with_ctes(ORDERS_READINGS, body="""
 SELECT household_id, "timestamp", CAST(energy_consumption AS FLOAT) AS energy_consumption FROM r"""))
 def q_warehouse_projection(spark, sf):
-    return rollups.warehouse_projection(orders_readings(spark, sf))
+    return rollups.warehouse_projection(orders(spark, sf))
 
 
 # --- per-row derivations (P1-P5, P14, P15) ---------------------------------------------------
@@ -319,7 +318,7 @@ SELECT reading_id, "timestamp", {R('energy_consumption')} AS energy_consumption
 WHERE date BETWEEN DATE '1996-03-01' AND DATE '1997-10-31'
   AND day_name IN ('Monday', 'Tuesday', 'Wednesday', 'Thursday', 'Friday') AND hour BETWEEN 6 AND 21"""))
 def q_slicer_filter(spark, sf):
-    r = orders_readings(spark, sf)
+    r = orders(spark, sf)
     return filters.slicer_filter(r, **_SLICE).select("reading_id", "timestamp", "energy_consumption")
 
 
@@ -331,7 +330,7 @@ WHERE (date BETWEEN DATE '1990-01-01' AND DATE '1990-12-31')
    OR (SELECT count(*) FROM e WHERE date BETWEEN DATE '1990-01-01' AND DATE '1990-12-31') = 0
 GROUP BY date"""))
 def q_slicer_fallback(spark, sf):
-    r = orders_readings(spark, sf)
+    r = orders(spark, sf)
     sliced = filters.slicer_with_fallback(r, start_date="1990-01-01", end_date="1990-12-31")
     return rollups.daily_summary(enrich(sliced))
 

@@ -9,9 +9,9 @@ from wattspark.operators import anomaly, errors, outages, trends
 from wattspark.operators.baseline import with_expected_load
 from wattspark.operators.enrich import enrich
 from wattspark.operators.rollups import daily_cost_outage
-from wattspark.plans.registry import register
+from wattspark.plans.registry import base, events, events_enriched, orders, orders_enriched, register
 from wattspark.plans.sql import ENRICH, EVENTS_READINGS, EXPECTED, NEIGHBOURS, ORDERS_READINGS, R, with_ctes
-from wattspark.sources.adapters import events_outage_schedule, events_readings, orders_readings
+from wattspark.sources.adapters import events_outage_schedule
 
 N_OVER_R = NEIGHBOURS.format(src="r")
 
@@ -22,7 +22,7 @@ SELECT reading_id, household_id, "timestamp", load_shedding_stage, prev_stage,
        CAST(load_shedding_stage = 0 AND prev_stage > 0 AS INTEGER) AS post_load_shedding
 FROM n"""))
 def q_post_outage_flag(spark, sf):
-    f = outages.with_neighbour_stages(orders_readings(spark, sf))
+    f = outages.with_neighbour_stages(orders(spark, sf))
     return f.select("reading_id", "household_id", "timestamp", "load_shedding_stage", "prev_stage",
                     ((F.col("load_shedding_stage") == 0) & (F.col("prev_stage") > 0)).cast("int")
                     .alias("post_load_shedding"))
@@ -35,7 +35,7 @@ SELECT reading_id, CAST(load_shedding_stage > 0 AS INTEGER) AS is_outage,
        prev_stage, next_stage
 FROM n"""))
 def q_outage_flags(spark, sf):
-    f = outages.with_outage_flags(orders_readings(spark, sf))
+    f = outages.with_outage_flags(orders(spark, sf))
     return f.select("reading_id", "is_outage", "before_outage", "after_outage", "prev_stage", "next_stage")
 
 
@@ -49,7 +49,7 @@ FROM (SELECT avg(energy_consumption) FILTER (WHERE load_shedding_stage = 0 AND p
              avg(energy_consumption) FILTER (WHERE load_shedding_stage = 0 AND prev_stage > 0) AS post
       FROM n)"""))
 def q_outage_transition(spark, sf):
-    return outages.outage_transition(orders_readings(spark, sf))
+    return outages.outage_transition(orders(spark, sf))
 
 
 @register("rebound_effect", with_ctes(ORDERS_READINGS, N_OVER_R, body=f"""
@@ -61,7 +61,7 @@ FROM (SELECT avg(energy_consumption) FILTER (WHERE load_shedding_stage = 0 AND n
              CAST(count_if(load_shedding_stage = 0 AND prev_stage > 0) AS BIGINT) AS ah
       FROM n)"""))
 def q_rebound_effect(spark, sf):
-    return outages.rebound_effect(orders_readings(spark, sf))
+    return outages.rebound_effect(orders(spark, sf))
 
 
 # --- anomalies (W6, A29) -----------------------------------------------------------------------
@@ -74,13 +74,13 @@ SELECT reading_id, household_id, "timestamp", {R('energy_consumption')} AS energ
        load_shedding_stage, backup_power, {R('z_score')} AS z_score
 FROM z WHERE abs(z_score) > 2.5"""))
 def q_anomalies(spark, sf):
-    return anomaly.anomalies(events_readings(spark, sf))
+    return anomaly.anomalies(events(spark, sf))
 
 
 @register("anomaly_count", with_ctes(EVENTS_READINGS, _Z, body="""
 SELECT CAST(count_if(abs(z_score) > 2.5) AS BIGINT) AS anomalies, count(*) AS readings FROM z"""))
 def q_anomaly_count(spark, sf):
-    return anomaly.anomaly_count(events_readings(spark, sf))
+    return anomaly.anomaly_count(events(spark, sf))
 
 
 # --- trends (W7-W9, A20) -----------------------------------------------------------------------
@@ -92,7 +92,7 @@ FROM (SELECT date, sum(energy_consumption) AS total_kwh, max(load_shedding_stage
 WINDOW w7 AS (ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW),
        w30 AS (ORDER BY date ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)"""))
 def q_moving_averages(spark, sf):
-    return trends.moving_averages(enrich(orders_readings(spark, sf)))
+    return trends.moving_averages(orders_enriched(spark, sf))
 
 
 @register("forecast_7d", with_ctes(ORDERS_READINGS, ENRICH, body=f"""
@@ -102,7 +102,7 @@ FROM (SELECT avg(total_kwh) AS baseline, count(*) AS n, max(date) AS last_date
      range(1, 8) AS t(k)
 WHERE n >= 7"""))
 def q_forecast_7d(spark, sf):
-    return trends.forecast_7d(enrich(orders_readings(spark, sf)))
+    return trends.forecast_7d(orders_enriched(spark, sf))
 
 
 @register("daily_peak_hour", with_ctes(ORDERS_READINGS, ENRICH, body=f"""
@@ -112,7 +112,7 @@ FROM (SELECT day_name, hour, avg_kwh,
       FROM (SELECT day_name, hour, avg(energy_consumption) AS avg_kwh FROM e GROUP BY day_name, hour))
 WHERE rn = 1"""))
 def q_daily_peak_hour(spark, sf):
-    return trends.daily_peak_hour(enrich(orders_readings(spark, sf)))
+    return trends.daily_peak_hour(orders_enriched(spark, sf))
 
 
 @register("cost_outage_trend", with_ctes(ORDERS_READINGS, ENRICH, body=f"""
@@ -124,7 +124,7 @@ FROM (SELECT count(*) AS days, regr_slope(cost, x) AS slope, regr_intercept(cost
       FROM (SELECT date, sum(estimated_cost) AS cost, CAST(count_if(load_shedding_stage > 0) AS DOUBLE) AS x
             FROM e GROUP BY date))"""))
 def q_cost_outage_trend(spark, sf):
-    return trends.cost_outage_trend(daily_cost_outage(enrich(orders_readings(spark, sf))))
+    return trends.cost_outage_trend(daily_cost_outage(orders_enriched(spark, sf)))
 
 
 # --- expected load (X1) and outage overlay (X2) ------------------------------------------------
@@ -134,7 +134,7 @@ def _xsql(body: str) -> str:
 
 @register("expected_load", _xsql(f"SELECT reading_id, household_id, {R('predicted')} AS predicted FROM x"))
 def q_expected_load(spark, sf):
-    return with_expected_load(orders_readings(spark, sf)).select("reading_id", "household_id", "predicted")
+    return with_expected_load(orders(spark, sf)).select("reading_id", "household_id", "predicted")
 
 
 @register("outage_overlay", with_ctes(EVENTS_READINGS, """
@@ -148,14 +148,14 @@ h AS (SELECT hr, arg_max(stage, seq) AS stage
 SELECT r.reading_id, r.household_id, r."timestamp", CAST(coalesce(h.stage, 0) AS INTEGER) AS load_shedding_stage
 FROM r LEFT JOIN h ON date_trunc('hour', r."timestamp") = h.hr"""))
 def q_outage_overlay(spark, sf):
-    r = events_readings(spark, sf)
+    r = events(spark, sf)
     out = outages.overlay_schedule(r, events_outage_schedule(spark, sf))
     return out.select("reading_id", "household_id", "timestamp", "load_shedding_stage")
 
 
 # --- errors against the expected load (P16, P18, P19, A21-A25, J5) -----------------------------
 def _predicted(spark, sf):
-    return enrich(with_expected_load(orders_readings(spark, sf)))
+    return base(spark, sf, "orders+expected", lambda: enrich(with_expected_load(orders(spark, sf))))
 
 
 _XE = f"""xe AS (
@@ -262,5 +262,5 @@ SELECT reading_id, {R('predicted')} AS predicted,
             WHEN predicted < 1.5 THEN 'Above Average' ELSE 'High' END AS category
 FROM x"""))
 def q_categorize_fixed(spark, sf):
-    e = with_expected_load(orders_readings(spark, sf))
+    e = with_expected_load(orders(spark, sf))
     return e.select("reading_id", "predicted", lab.category_fixed("predicted").alias("category"))
