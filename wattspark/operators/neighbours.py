@@ -4,16 +4,17 @@ A window ``partitionBy(household).orderBy(time)`` sends every reading of a
 household to one task: a household (or meter gateway) holding a third of all
 rows would make a single task sort a third of the data. Instead the window is
 split into time buckets (default: calendar day), so a hot household spreads
-over as many tasks as it has buckets, and only the bucket edges are stitched
-together through a small per-(household, bucket) summary:
-
-1. ``lag``/``lead`` inside ``(household, bucket)`` windows;
-2. per ``(household, bucket)``: first and last value, as partial aggregates
-   (``min_by``/``max_by`` on the ordering key, map-side combined);
-3. over that summary (one row per household-bucket, bounded by the time span,
-   not by the row count) a ``lag``/``lead`` by household gives the value just
-   before / after each bucket;
-4. a join on ``(household, bucket)`` fills the first / last row of each bucket.
+over as many tasks as it has buckets:
+
+1. ``lag``/``lead`` inside ``(household, bucket)`` windows: one shuffle of the
+   readings, hashed on household and bucket;
+2. only the first and last row of each bucket lack a neighbour there; those
+   boundary rows (at most two per bucket, so their number is bounded by the
+   time span, not by the row count) are windowed again per household, which
+   links the last row of one bucket to the first row of the next non-empty one;
+3. interior rows and fixed boundary rows are put back together with a union
+   (no join, no second shuffle of the readings: both branches reuse the same
+   exchange).
 
 The result equals the plain per-household ``lag``/``lead``.
 """
@@ -32,38 +33,24 @@ def neighbour_values(df: DataFrame, value: str, key: str = "household_id", ts: s
     prev_name = prev_name or f"prev_{value}"
     next_name = next_name or f"next_{value}"
     bucket = F.to_date(F.col(ts)) if bucket is None else bucket
-    order = F.struct(F.col(ts), F.col(tie))
 
-    based = df.withColumn("_nb_bucket", bucket)
-    w = Window.partitionBy(key, "_nb_bucket").orderBy(ts, tie)
-    # lag of a one-field struct is null only when there is no neighbour row in the bucket
+    # lag of a one-field struct is null only when there is no neighbour row,
+    # so a null value stays distinguishable from a missing neighbour
     cell = F.struct(F.col(value).alias("v"))
-    rows = based.withColumns({"_nb_prev": F.lag(cell).over(w), "_nb_next": F.lead(cell).over(w)})
-
-    edges = (based.groupBy(key, "_nb_bucket")
-             .agg(F.min_by(F.col(value), order).alias("_nb_first"),
-                  F.max_by(F.col(value), order).alias("_nb_last")))
-    wb = Window.partitionBy(key).orderBy("_nb_bucket")
-    edges = edges.select(key, "_nb_bucket",
-                         F.lag("_nb_last").over(wb).alias("_nb_before"),
-                         F.lead("_nb_first").over(wb).alias("_nb_after"),
-                         F.lit(True).alias("_nb_has_edges"))
-    # lag/lead give null both for "no neighbouring bucket" and for a null value:
-    # mark bucket existence separately so a null value stays null.
-    wb_exist = F.struct(F.col("_nb_bucket"))
-    edges = edges.withColumns({
-        "_nb_has_before": F.lag(wb_exist).over(wb).isNotNull(),
-        "_nb_has_after": F.lead(wb_exist).over(wb).isNotNull(),
+    in_bucket = Window.partitionBy(key, "_nb_bucket").orderBy(ts, tie)
+    rows = df.withColumn("_nb_bucket", bucket).withColumns({
+        "_nb_prev": F.lag(cell).over(in_bucket), "_nb_next": F.lead(cell).over(in_bucket)})
+
+    boundary = F.col("_nb_prev").isNull() | F.col("_nb_next").isNull()
+    across = Window.partitionBy(key).orderBy(ts, tie)
+    edges = rows.where(boundary).withColumns({
+        "_nb_prev": F.coalesce(F.col("_nb_prev"), F.lag(cell).over(across)),
+        "_nb_next": F.coalesce(F.col("_nb_next"), F.lead(cell).over(across)),
     })
+    whole = rows.where(~boundary).unionByName(edges)
 
-    joined = rows.join(edges, [key, "_nb_bucket"], "left")
-    lit_default = F.lit(default)
-    prev_col = (F.when(F.col("_nb_prev").isNotNull(), F.col("_nb_prev.v"))
-                .when(F.col("_nb_has_before"), F.col("_nb_before"))
-                .otherwise(lit_default))
-    next_col = (F.when(F.col("_nb_next").isNotNull(), F.col("_nb_next.v"))
-                .when(F.col("_nb_has_after"), F.col("_nb_after"))
-                .otherwise(lit_default))
-    out = joined.withColumns({prev_name: prev_col, next_name: next_col})
-    return out.drop("_nb_bucket", "_nb_prev", "_nb_next", "_nb_before", "_nb_after",
-                    "_nb_has_edges", "_nb_has_before", "_nb_has_after")
+    out = whole.withColumns({
+        prev_name: F.when(F.col("_nb_prev").isNull(), F.lit(default)).otherwise(F.col("_nb_prev.v")),
+        next_name: F.when(F.col("_nb_next").isNull(), F.lit(default)).otherwise(F.col("_nb_next.v")),
+    })
+    return out.drop("_nb_bucket", "_nb_prev", "_nb_next")
