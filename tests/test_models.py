@@ -114,3 +114,15 @@ def test_sample_is_repeatable(spark):
     a = sorted(x.reading_id for x in sample_fixed_n(r, 100).collect())
     b = sorted(x.reading_id for x in sample_fixed_n(r.repartition(5), 100).collect())
     assert len(a) == 100 and a == b
+
+
+def test_pipeline_plans(spark, scratch):
+    from wattspark.plans.pipeline import dashboard_views, train_and_evaluate
+    r = orders_readings(spark, "/root/testdata/sf0.001")
+    models, cmp = train_and_evaluate(r, model_dir=f"{scratch}/models", forest_params={"numTrees": 3, "maxDepth": 3},
+                                     boosted_params={"maxIter": 3, "maxDepth": 3})
+    assert cmp.count() == 3 and set(models) == {"linear", "forest", "boosted"}
+    assert training.load(f"{scratch}/models/boosted") is not None
+    views = dashboard_views(r, start_date="1996-01-01", end_date="1996-12-31", hour_range=(6, 21))
+    assert views["daily_summary"].count() > 0 and views["heatmap_day_hour"].count() == 7
+    assert spark.conf.get("spark.checkpoint.dir")

@@ -17,6 +17,7 @@ from wattspark import constants as C
 from wattspark.functions import labels as lab
 from wattspark.operators.errors import error_metrics
 from wattspark.operators.features import assembler, feature_descriptions
+from wattspark.session import checkpoint_dir
 
 MODEL_NAMES = {"linear": "Linear Regression", "forest": "Random Forest", "boosted": "Gradient Boosting"}
 
@@ -34,7 +35,8 @@ def forest_pipeline(numTrees: int = C.FOREST_PARAMS["numTrees"], maxDepth: int =
     """Random forest; every feature is a split candidate at each node, as the original regressor."""
     rf = RandomForestRegressor(featuresCol="features", labelCol=C.LABEL, predictionCol="predicted",
                                numTrees=numTrees, maxDepth=maxDepth, minInstancesPerNode=minInstancesPerNode,
-                               featureSubsetStrategy="all", seed=seed, maxBins=maxBins)
+                               featureSubsetStrategy="all", seed=seed, maxBins=maxBins,
+                               cacheNodeIds=True, checkpointInterval=10)
     return Pipeline(stages=[assembler(), rf])
 
 
@@ -44,11 +46,16 @@ def boosted_pipeline(maxIter: int = C.BOOSTED_PARAMS["maxIter"], stepSize: float
                      maxBins: int = 32) -> Pipeline:
     gbt = GBTRegressor(featuresCol="features", labelCol=C.LABEL, predictionCol="predicted", maxIter=maxIter,
                        stepSize=stepSize, maxDepth=maxDepth, minInstancesPerNode=minInstancesPerNode, seed=seed,
-                       maxBins=maxBins)
+                       maxBins=maxBins, cacheNodeIds=True, checkpointInterval=10)
     return Pipeline(stages=[assembler(), gbt])
 
 
 def fit(pipeline: Pipeline, train: DataFrame) -> PipelineModel:
+    """Fit on the executors. Tree learners checkpoint their node-id cache every
+    ``checkpointInterval`` iterations into the session's shared checkpoint
+    folder, so a lost executor late in a long boosting run does not replay
+    the whole lineage."""
+    checkpoint_dir(train.sparkSession)
     return pipeline.fit(train)
 
 

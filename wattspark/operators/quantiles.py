@@ -23,10 +23,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wattspark import constants as C
+
 
 def grouped_quantiles(df: DataFrame, group: str, value: str, probs: dict[str, float],
-                      num_partitions: int | None = None) -> DataFrame:
-    """One row per group with a column per named probability."""
+                      num_partitions: int | None = None, max_groups: int | None = None) -> DataFrame:
+    """One row per group with a column per named probability.
+
+    The per-partition summary has at most ``num_partitions + groups - 1`` rows
+    (each range partition holds a contiguous run of groups). When the caller
+    knows the number of groups is bounded (``max_groups``, e.g. a fixed
+    vocabulary) that bound is proven and the summary is broadcast, so the
+    ranked rows are never shuffled again; otherwise AQE picks the join from
+    the summary's measured size.
+    """
     spark = df.sparkSession
     n_parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     v = df.select(F.col(group).alias("_g"), F.col(value).cast("double").alias("_v")) \
@@ -41,6 +51,8 @@ def grouped_quantiles(df: DataFrame, group: str, value: str, probs: dict[str, fl
         "_n": F.sum("_c").over(Window.partitionBy("_g")),
     }).drop("_c")
 
+    if max_groups is not None:
+        parts = F.broadcast(parts)
     rows = ranked.join(parts, ["_pid", "_g"]).withColumn("_rank", F.col("_before") + F.col("_mid") - F.col("_m0"))
     keep = F.lit(False)
     aggs = []
@@ -74,5 +86,6 @@ def season_box(e: DataFrame, approximate: bool = False, accuracy: int = 10000) -
     if approximate:
         q = e.groupBy("season").agg(*[F.percentile_approx(kwh, p, accuracy).alias(n) for n, p in probs.items()])
     else:
-        q = grouped_quantiles(e, "season", "energy_consumption", probs)
+        # four seasons: the rank summary is bounded by partitions + 3 rows
+        q = grouped_quantiles(e, "season", "energy_consumption", probs, max_groups=len(C.SEASONS))
     return stats.join(q, "season")
