@@ -50,6 +50,8 @@ def test_slicer_and_fallback(spark):
     e = _days(spark, 10)
     assert filters.slicer_filter(e, start_date="2025-01-02", end_date="2025-01-04").count() == 3
     assert filters.slicer_filter(e, day_names=("Monday",)).count() == 1  # only 2025-01-06
+    assert filters.slicer_filter(e, start_date="2025-01-08").count() == 3        # open end: up to the max
+    assert filters.slicer_filter(e, end_date="2025-01-02", hour_range=(12, 12)).count() == 2
     assert filters.slicer_with_fallback(e, start_date="2030-01-01", end_date="2030-12-31").count() == 10
     assert filters.slicer_with_fallback(e, start_date="2025-01-02", end_date="2025-01-02").count() == 1
 

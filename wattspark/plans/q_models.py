@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from wattspark.session import session_key
+
 from wattspark.models import scoring, training
 from wattspark.operators.anomaly import with_z_score
 from wattspark.operators.errors import error_metrics
@@ -29,7 +31,7 @@ def _split(spark, sf):
 
 
 def _model(spark, sf, kind):
-    key = (spark.sparkContext.applicationId, sf, kind)
+    key = (session_key(spark), sf, kind)
     if key not in _CACHE:
         train, _ = _split(spark, sf)
         pipe = {"linear": training.linear_pipeline,

@@ -322,6 +322,15 @@ def q_slicer_filter(spark, sf):
     return filters.slicer_filter(r, **_SLICE).select("reading_id", "timestamp", "energy_consumption")
 
 
+@register("avg_by_hour_sliced", _osql(f"""
+SELECT hour, {R('avg(energy_consumption)')} AS avg_kwh FROM e
+WHERE date BETWEEN DATE '1996-03-01' AND DATE '1997-10-31'
+  AND day_name IN ('Monday', 'Tuesday', 'Wednesday', 'Thursday', 'Friday') AND hour BETWEEN 6 AND 21
+GROUP BY hour"""))
+def q_avg_by_hour_sliced(spark, sf):
+    return rollups.avg_by_hour(filters.slicer_filter(_orders(spark, sf), **_SLICE))
+
+
 @register("slicer_fallback", _osql(f"""
 SELECT date, {R('sum(energy_consumption)')} AS total_kwh, {R('avg(energy_consumption)')} AS avg_kwh,
        {R('max(energy_consumption)')} AS max_kwh, {R('min(energy_consumption)')} AS min_kwh, dayname(date) AS day_name

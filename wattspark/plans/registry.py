@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wattspark.session import session_key
+
 
 @dataclass(frozen=True)
 class Query:
@@ -33,7 +35,7 @@ def base(spark: SparkSession, sf_dir: str, kind: str, make: Callable[[], DataFra
     A DataFrame is an immutable lazy plan, so queries can share it; this saves
     the file listing and the analysis of the shared prefix on every query.
     """
-    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    key = (session_key(spark), sf_dir, kind)
     if key not in _BASES:
         _BASES[key] = make()
     return _BASES[key]

@@ -35,6 +35,14 @@ def get_session(master: str = "local[*]", shuffle_partitions: int = 8, app: str
     return spark
 
 
+def session_key(spark: SparkSession):
+    """A key identifying the running application (the session object under Spark Connect)."""
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001 - no SparkContext on a Connect client
+        return id(spark)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, setting a scratch one only when none is configured.
 
@@ -43,13 +51,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     folder is created and registered.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Connect: the server owns the checkpoint folder
+        return configured
     if configured:
-        spark.sparkContext.setCheckpointDir(configured)
+        sc.setCheckpointDir(configured)
         return configured
-    current = spark.sparkContext.getCheckpointDir()
+    current = sc.getCheckpointDir()
     if current:
         return current
     path = tempfile.mkdtemp(prefix="wattspark-ckpt-")
     spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    sc.setCheckpointDir(path)
     return path
