@@ -48,3 +48,32 @@ def test_hourly_bucket(spark):
     got = neighbour_values(df, "load_shedding_stage", prev_name="p", next_name="n",
                            bucket=F.date_trunc("hour", F.col("timestamp").cast("timestamp")))
     assert sorted(got.select("reading_id", "p", "n").collect()) == sorted(_reference(df).collect())
+
+
+try:
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+except ImportError:  # pragma: no cover
+    given = None
+
+if given is not None:
+    _row = st.tuples(st.sampled_from(["House_1", "House_2"]), st.integers(0, 6), st.sampled_from([0, 11, 23]),
+                     st.one_of(st.none(), st.integers(0, 6)))
+
+    @settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+    @given(st.lists(_row, min_size=1, max_size=40))
+    def test_property_equals_plain_window(spark, rows):
+        """Any layout of households, days (with gaps), tied hours and null values."""
+        data = [(i, h, f"2025-03-{d + 1:02d} {hr:02d}:00", 1.0, s, False) for i, (h, d, hr, s) in enumerate(rows)]
+        import datetime as dt
+        df = spark.createDataFrame(
+            [(i, h, dt.datetime.strptime(t, "%Y-%m-%d %H:%M"), k, s, b) for i, h, t, k, s, b in data],
+            "reading_id long, household_id string, timestamp timestamp_ntz, energy_consumption double, "
+            "load_shedding_stage int, backup_power boolean")
+        w = Window.partitionBy("household_id").orderBy("timestamp", "reading_id")
+        cell = F.struct(F.col("load_shedding_stage").alias("v"))
+        expected = df.select("reading_id",
+                             F.when(F.lag(cell).over(w).isNull(), F.lit(0)).otherwise(F.lag(cell).over(w).v).alias("p"),
+                             F.when(F.lead(cell).over(w).isNull(), F.lit(0)).otherwise(F.lead(cell).over(w).v).alias("n"))
+        got = neighbour_values(df, "load_shedding_stage", prev_name="p", next_name="n").select("reading_id", "p", "n")
+        assert sorted(got.collect()) == sorted(expected.collect())
