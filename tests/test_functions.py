@@ -87,3 +87,17 @@ def test_tariff(spark):
                                "energy_consumption double, time_period string")
     got = [r[0] for r in df.select(lab.estimated_cost()).collect()]
     assert got == [2.85, 1.45, 5.7, 1.45]
+
+
+def test_order_key_sorts_like_timestamp_then_id(spark):
+    import datetime as dt
+    from wattspark.functions.ordering import order_key
+    rows = [(dt.datetime(1969, 12, 31, 23, 59, 59, 999999), 5), (dt.datetime(1970, 1, 1), -3),
+            (dt.datetime(2024, 1, 1, 0, 0, 7, 179575), 2), (dt.datetime(2024, 1, 1, 0, 0, 7, 179575), 1),
+            (dt.datetime(2024, 1, 1, 0, 0, 7, 179576), -9), (dt.datetime(1899, 6, 1, 12), 9_000_000_000_000_000_000)]
+    df = spark.createDataFrame(rows, "timestamp timestamp_ntz, reading_id long")
+    by_key = [(r.timestamp, r.reading_id) for r in df.orderBy(order_key()).collect()]
+    assert by_key == sorted(rows)
+    plan = df.groupBy().agg(F.min_by(F.col("reading_id") > 0, order_key()))._jdf.queryExecution() \
+        .executedPlan().toString()
+    assert "SortAggregate" not in plan

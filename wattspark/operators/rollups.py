@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from wattspark import constants as C
 from wattspark.functions import labels as lab
+from wattspark.functions.ordering import order_key
 
 def kwh():
     return F.col("energy_consumption")
@@ -108,7 +109,7 @@ def evening_peak_by_season(e: DataFrame) -> DataFrame:
 
 def household_stats(r: DataFrame) -> DataFrame:
     """Per household mean / std / min / max and backup flag of its first reading."""
-    first = F.min_by("backup_power", F.struct("timestamp", "reading_id"))
+    first = F.min_by("backup_power", order_key("timestamp", "reading_id"))
     return (r.where(F.col("household_id").isNotNull()).groupBy("household_id")
             .agg(F.avg(kwh()).alias("mean_kwh"), F.stddev_samp(kwh()).alias("std_kwh"),
                  F.min(kwh()).alias("min_kwh"), F.max(kwh()).alias("max_kwh"), first.alias("backup_power"))
@@ -194,7 +195,7 @@ def peak_shift_savings(e: DataFrame, shift: float = C.PEAK_SHIFT_FRACTION) -> Da
 
 def household_cost(e: DataFrame) -> DataFrame:
     """Per household: cost, kWh, backup flag of the first reading, cost per kWh."""
-    first = F.min_by("backup_power", F.struct("timestamp", "reading_id"))
+    first = F.min_by("backup_power", order_key("timestamp", "reading_id"))
     return (e.where(F.col("household_id").isNotNull()).groupBy("household_id")
             .agg(F.sum("estimated_cost").alias("estimated_cost"), F.sum(kwh()).alias("energy_consumption"),
                  first.alias("backup_power"))

@@ -44,9 +44,10 @@ def forecast_7d(e: DataFrame, days: int = C.FORECAST_DAYS) -> DataFrame:
 def daily_peak_hour(e: DataFrame) -> DataFrame:
     """For each day name, the hour with the highest mean kWh; earliest hour on ties."""
     hourly = e.groupBy("day_name", "hour").agg(F.avg("energy_consumption").alias("avg_kwh"))
-    return hourly.groupBy("day_name").agg(
-        F.max_by("hour", F.struct(F.col("avg_kwh"), -F.col("hour"))).alias("peak_hour"),
-        F.max("avg_kwh").alias("peak_avg_kwh"))
+    # at most 7 x 24 rows after the aggregate: rank the hours of each day name
+    w = Window.partitionBy("day_name").orderBy(F.desc("avg_kwh"), F.asc("hour"))
+    return (hourly.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1)
+            .select("day_name", F.col("hour").alias("peak_hour"), F.col("avg_kwh").alias("peak_avg_kwh")))
 
 
 def cost_outage_trend(daily_cost: DataFrame, min_days: int = C.TREND_MIN_DAYS) -> DataFrame:
