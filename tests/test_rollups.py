@@ -95,3 +95,16 @@ def test_shares_sum_to_totals(spark):
     by_day = sum(r.total_kwh for r in rollups.day_totals(e).collect())
     s = rollups.peak_shift_savings(e).first()
     assert by_day == pytest.approx(total) and s.peak_kwh + s.offpeak_kwh == pytest.approx(total)
+
+
+def test_null_group_keys_are_left_out(spark):
+    base = readings_df(spark, [(1, "House_1", "2025-01-01 00:00", 1.0, 0, False),
+                               (2, "House_1", "2025-01-01 01:00", 2.0, 3, False)])
+    nulls = base.limit(1).select(F.lit(9).cast("long").alias("reading_id"), F.lit("House_2").alias("household_id"),
+                                 F.lit(None).cast("timestamp_ntz").alias("timestamp"),
+                                 F.lit(5.0).alias("energy_consumption"),
+                                 F.lit(None).cast("int").alias("load_shedding_stage"), F.lit(True).alias("backup_power"))
+    e = enrich(base.unionByName(nulls))
+    assert [(r.date, r.total_kwh) for r in rollups.daily_summary(e).collect()] == [(dt.date(2025, 1, 1), 3.0)]
+    assert sorted(r.stage for r in rollups.stage_impact(e).collect()) == [0, 3]
+    assert rollups.kpi_cards(e).first().total_kwh == 8.0   # global aggregates keep every row

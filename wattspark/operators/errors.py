@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from wattspark import constants as C
 from wattspark.functions import labels as lab
+from wattspark.operators.rollups import grouped
 
 def actual():
     return F.col("energy_consumption")
@@ -56,7 +57,7 @@ def prediction_bands(df: DataFrame) -> DataFrame:
     band = predicted +- 1.96 * residual_std * sqrt(24).
     """
     res = actual() - pred()
-    d = df.groupBy(F.to_date("timestamp").alias("date")).agg(
+    d = grouped(df, (F.to_date("timestamp"), "date")).agg(
         F.sum(actual()).alias("actual"), F.sum(pred()).alias("predicted"),
         F.avg(res).alias("residual_mean"), F.stddev_samp(res).alias("residual_std"))
     width = F.lit(C.BAND_Z * math.sqrt(C.BAND_HOURS)) * F.col("residual_std")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wattspark.operators.rollups import grouped
+
 from wattspark import constants as C
 
 def kwh():
@@ -26,7 +28,7 @@ def heatmap_day_hour(e: DataFrame) -> DataFrame:
     the aggregate runs partial-then-final. Day names absent from the data still
     get a row (all null), through a right join from the broadcast day dimension.
     """
-    pivoted = e.groupBy("day_name").pivot("hour", list(range(24))).agg(F.avg(kwh()))
+    pivoted = grouped(e, "day_name").pivot("hour", list(range(24))).agg(F.avg(kwh()))
     pivoted = pivoted.select("day_name", *[F.col(str(h)).alias(f"h{h:02d}") for h in range(24)])
     days = F.broadcast(day_dimension(e.sparkSession))
     return pivoted.join(days, "day_name", "right").orderBy("day_order")
@@ -34,7 +36,7 @@ def heatmap_day_hour(e: DataFrame) -> DataFrame:
 
 def weekday_weekend_profile(e: DataFrame) -> DataFrame:
     """Mean kWh per hour for weekdays and weekends side by side."""
-    return (e.groupBy("hour").pivot("is_weekend", [0, 1]).agg(F.avg(kwh()))
+    return (grouped(e, "hour").pivot("is_weekend", [0, 1]).agg(F.avg(kwh()))
             .select("hour", F.col("0").alias("weekday_kwh"), F.col("1").alias("weekend_kwh"))
             .orderBy("hour"))
 
@@ -49,7 +51,7 @@ def monthly_cost_by_period(e: DataFrame) -> DataFrame:
     Grouped by month name, so the same month of different years is merged;
     only months present in the data appear.
     """
-    pivoted = (e.groupBy("month_name", "month")
+    pivoted = (grouped(e, "month_name", "month")
                .pivot("time_period", [p for p, _ in _PERIOD_COLUMNS]).agg(F.sum("estimated_cost")))
     return (pivoted.select("month_name", "month", *[F.col(p).alias(n) for p, n in _PERIOD_COLUMNS])
             .orderBy("month"))

@@ -30,6 +30,20 @@ def outage():
 
 
 
+def grouped(df: DataFrame, *keys):
+    """``groupBy`` that leaves out rows whose grouping keys are null, as a pandas groupby does.
+
+    ``keys`` are column names or (column, alias) pairs; the null filter is
+    pushed below the aggregate (and into the scan where it can be).
+    """
+    cols = [F.col(k) if isinstance(k, str) else k[0].alias(k[1]) for k in keys]
+    raw = [F.col(k) if isinstance(k, str) else k[0] for k in keys]
+    cond = raw[0].isNotNull()
+    for c in raw[1:]:
+        cond = cond & c.isNotNull()
+    return df.where(cond).groupBy(*cols)
+
+
 def _pct(num, den):
     return F.try_divide(num.cast("double"), den.cast("double")) * 100.0
 
@@ -93,7 +107,7 @@ def backup_outage_split(r: DataFrame) -> DataFrame:
 
 def seasonal_stats(e: DataFrame) -> DataFrame:
     """Mean, sum, sample std by season, highest mean first."""
-    return (e.groupBy("season")
+    return (grouped(e, "season")
             .agg(F.avg(kwh()).alias("mean_kwh"), F.sum(kwh()).alias("sum_kwh"), F.stddev_samp(kwh()).alias("std_kwh"))
             .orderBy(F.desc("mean_kwh")))
 
@@ -110,7 +124,7 @@ def evening_peak_by_season(e: DataFrame) -> DataFrame:
 def household_stats(r: DataFrame) -> DataFrame:
     """Per household mean / std / min / max and backup flag of its first reading."""
     first = F.min_by("backup_power", order_key("timestamp", "reading_id"))
-    return (r.where(F.col("household_id").isNotNull()).groupBy("household_id")
+    return (grouped(r, "household_id")
             .agg(F.avg(kwh()).alias("mean_kwh"), F.stddev_samp(kwh()).alias("std_kwh"),
                  F.min(kwh()).alias("min_kwh"), F.max(kwh()).alias("max_kwh"), first.alias("backup_power"))
             .orderBy("mean_kwh"))
@@ -118,12 +132,12 @@ def household_stats(r: DataFrame) -> DataFrame:
 
 def hourly_profile_by_season(e: DataFrame) -> DataFrame:
     """Mean kWh by season and hour."""
-    return e.groupBy("season", "hour").agg(F.avg(kwh()).alias("avg_kwh")).orderBy("season", "hour")
+    return grouped(e, "season", "hour").agg(F.avg(kwh()).alias("avg_kwh")).orderBy("season", "hour")
 
 
 def daily_summary(e: DataFrame) -> DataFrame:
     """Per calendar day: total, mean, max, min kWh and the day name (A10)."""
-    return (e.groupBy("date")
+    return (grouped(e, "date")
             .agg(F.sum(kwh()).alias("total_kwh"), F.avg(kwh()).alias("avg_kwh"),
                  F.max(kwh()).alias("max_kwh"), F.min(kwh()).alias("min_kwh"))
             .withColumn("day_name", F.date_format("date", "EEEE")))
@@ -137,7 +151,7 @@ def daily_kpis(daily: DataFrame) -> DataFrame:
 
 def stage_impact(r: DataFrame) -> DataFrame:
     """Per outage stage: label, mean, sample std and count of readings."""
-    return (r.groupBy(stage().alias("stage"))
+    return (grouped(r, (stage(), "stage"))
             .agg(F.avg(kwh()).alias("mean_kwh"), F.stddev_samp(kwh()).alias("std_kwh"), F.count(F.lit(1)).alias("readings"))
             .withColumn("label", lab.stage_label("stage", "No Outage"))
             .orderBy("stage"))
@@ -152,7 +166,7 @@ def backup_effect(r: DataFrame) -> DataFrame:
     b = F.col("backup_power")
     has_no_backup = r.select(F.count_if(~b) > 0).scalar()
     has_backup = r.select(F.count_if(b) > 0).scalar()
-    out = (r.groupBy(stage().alias("stage"))
+    out = (grouped(r, (stage(), "stage"))
            .agg(F.avg(F.when(~b, kwh())).alias("_no"), F.avg(F.when(b, kwh())).alias("_with")))
     return (out.select("stage", lab.stage_label("stage", "Normal").alias("label"),
                        F.when(has_no_backup, F.col("_no")).otherwise(F.lit(0.0)).alias("no_backup_kwh"),
@@ -162,23 +176,23 @@ def backup_effect(r: DataFrame) -> DataFrame:
 
 def outage_by_hour(e: DataFrame) -> DataFrame:
     """Outage readings per hour of day; hours without outages are left out."""
-    return (e.where(outage()).groupBy("hour").agg(F.count(F.lit(1)).alias("outage_hours"))
+    return (grouped(e.where(outage()), "hour").agg(F.count(F.lit(1)).alias("outage_hours"))
             .orderBy("hour"))
 
 
 def avg_by_hour(e: DataFrame) -> DataFrame:
     """Mean kWh per hour of day."""
-    return e.groupBy("hour").agg(F.avg(kwh()).alias("avg_kwh")).orderBy("hour")
+    return grouped(e, "hour").agg(F.avg(kwh()).alias("avg_kwh")).orderBy("hour")
 
 
 def day_hour_distribution(e: DataFrame) -> DataFrame:
     """Mean and total kWh per (day name, hour)."""
-    return e.groupBy("day_name", "hour").agg(F.avg(kwh()).alias("avg_kwh"), F.sum(kwh()).alias("total_kwh"))
+    return grouped(e, "day_name", "hour").agg(F.avg(kwh()).alias("avg_kwh"), F.sum(kwh()).alias("total_kwh"))
 
 
 def day_totals(e: DataFrame) -> DataFrame:
     """Total kWh per day name."""
-    return e.groupBy("day_name").agg(F.sum(kwh()).alias("total_kwh"))
+    return grouped(e, "day_name").agg(F.sum(kwh()).alias("total_kwh"))
 
 
 def peak_shift_savings(e: DataFrame, shift: float = C.PEAK_SHIFT_FRACTION) -> DataFrame:
@@ -196,7 +210,7 @@ def peak_shift_savings(e: DataFrame, shift: float = C.PEAK_SHIFT_FRACTION) -> Da
 def household_cost(e: DataFrame) -> DataFrame:
     """Per household: cost, kWh, backup flag of the first reading, cost per kWh."""
     first = F.min_by("backup_power", order_key("timestamp", "reading_id"))
-    return (e.where(F.col("household_id").isNotNull()).groupBy("household_id")
+    return (grouped(e, "household_id")
             .agg(F.sum("estimated_cost").alias("estimated_cost"), F.sum(kwh()).alias("energy_consumption"),
                  first.alias("backup_power"))
             .withColumn("cost_per_kwh", F.try_divide(F.col("estimated_cost"), F.col("energy_consumption"))))
@@ -204,27 +218,27 @@ def household_cost(e: DataFrame) -> DataFrame:
 
 def daily_cost_outage(e: DataFrame) -> DataFrame:
     """Per day: cost, outage hours and kWh."""
-    return e.groupBy("date").agg(F.sum("estimated_cost").alias("cost"),
+    return grouped(e, "date").agg(F.sum("estimated_cost").alias("cost"),
                                  F.count_if(outage()).alias("outage_hours"),
                                  F.sum(kwh()).alias("consumption"))
 
 
 def daily_trend(e: DataFrame) -> DataFrame:
     """Per day: total kWh, highest stage, and whether any outage happened."""
-    return (e.groupBy("date").agg(F.sum(kwh()).alias("total_kwh"), F.max(stage()).alias("max_stage"))
+    return (grouped(e, "date").agg(F.sum(kwh()).alias("total_kwh"), F.max(stage()).alias("max_stage"))
             .withColumn("is_outage_day", F.col("max_stage") > 0))
 
 
 def hourly_extract(e: DataFrame) -> DataFrame:
     """BI hourly extract: date, day_name, hour, total / avg / min / max kWh."""
-    return e.groupBy("date", "day_name", "hour").agg(
+    return grouped(e, "date", "day_name", "hour").agg(
         F.sum(kwh()).alias("total_kwh"), F.avg(kwh()).alias("avg_kwh"),
         F.min(kwh()).alias("min_kwh"), F.max(kwh()).alias("max_kwh"))
 
 
 def daily_extract(e: DataFrame) -> DataFrame:
     """BI daily extract: date, day_name, day_of_week, total / avg / min / max kWh."""
-    return e.groupBy("date", "day_name", "day_of_week").agg(
+    return grouped(e, "date", "day_name", "day_of_week").agg(
         F.sum(kwh()).alias("total_kwh"), F.avg(kwh()).alias("avg_kwh"),
         F.min(kwh()).alias("min_kwh"), F.max(kwh()).alias("max_kwh"))
 

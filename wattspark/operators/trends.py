@@ -10,12 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wattspark.operators.rollups import grouped
+
 from wattspark import constants as C
 
 
 def moving_averages(e: DataFrame) -> DataFrame:
     """Daily total kWh with 7- and 30-row trailing means, null until the frame is full."""
-    daily = e.groupBy("date").agg(F.sum("energy_consumption").alias("total_kwh"),
+    daily = grouped(e, "date").agg(F.sum("energy_consumption").alias("total_kwh"),
                                   F.max("load_shedding_stage").alias("max_stage"))
     w = Window.orderBy("date")
     out = daily
@@ -32,7 +34,7 @@ def forecast_7d(e: DataFrame, days: int = C.FORECAST_DAYS) -> DataFrame:
     Needs at least 7 days of data, else no rows. The last 7 days come from a
     top-k (each task keeps its 7 latest days), not a sort of all days.
     """
-    daily = e.groupBy("date").agg(F.sum("energy_consumption").alias("total_kwh"))
+    daily = grouped(e, "date").agg(F.sum("energy_consumption").alias("total_kwh"))
     last = daily.orderBy(F.desc("date")).limit(days)
     s = last.agg(F.avg("total_kwh").alias("baseline_kwh"), F.count(F.lit(1)).alias("_n"),
                  F.max("date").alias("_last"))
@@ -43,7 +45,7 @@ def forecast_7d(e: DataFrame, days: int = C.FORECAST_DAYS) -> DataFrame:
 
 def daily_peak_hour(e: DataFrame) -> DataFrame:
     """For each day name, the hour with the highest mean kWh; earliest hour on ties."""
-    hourly = e.groupBy("day_name", "hour").agg(F.avg("energy_consumption").alias("avg_kwh"))
+    hourly = grouped(e, "day_name", "hour").agg(F.avg("energy_consumption").alias("avg_kwh"))
     # at most 7 x 24 rows after the aggregate: rank the hours of each day name
     w = Window.partitionBy("day_name").orderBy(F.desc("avg_kwh"), F.asc("hour"))
     return (hourly.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1)
