@@ -74,3 +74,20 @@ def test_daily_stream_matches_batch_for_closed_days(spark, scratch):
     assert got and set(got) < set(batch)           # the last day is still open
     assert all(got[k] == batch[k] for k in got)
     assert dt.date(2025, 2, 1) in got
+
+
+def test_hourly_stream_matches_batch_for_closed_hours(spark, scratch):
+    rows = [(i, "House_1", f"2025-02-01 {i // 4:02d}:{(i % 4) * 15:02d}", 0.25 * (i % 7), 0, False) for i in range(40)]
+    r = readings_df(spark, rows).select(*READING_COLUMNS)
+    src = f"{scratch}/in_h"
+    for h in range(10):
+        r.where(F.hour("timestamp") == h).write.mode("append").parquet(src)
+    stream = stream_rollups.hourly_extract_stream(
+        stream_rollups.read_readings_stream(spark, src, max_files_per_trigger=1), lateness="30 minutes")
+    q = stream.writeStream.outputMode("append").format("memory").queryName("hourly_out") \
+        .option("checkpointLocation", f"{scratch}/ckpt_h").start()
+    q.processAllAvailable()
+    q.stop()
+    got = {(x.date, x.hour): round(x.total_kwh, 9) for x in spark.table("hourly_out").collect()}
+    batch = {(x.date, x.hour): round(x.total_kwh, 9) for x in rollups.hourly_extract(enrich(r)).collect()}
+    assert got and set(got) < set(batch) and all(got[k] == batch[k] for k in got)
