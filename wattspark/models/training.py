@@ -83,12 +83,12 @@ def importances(model: PipelineModel, spark: SparkSession) -> DataFrame:
     of the original order reversed.
     """
     vec = model.stages[-1].featureImportances.toArray().tolist()
-    rows = [(name, float(v), i) for i, (name, v) in enumerate(zip(C.FEATURES, vec))]
-    df = spark.createDataFrame(rows, "feature string, importance double, position int")
-    from pyspark.sql import Window
-    ranked = df.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("importance"), F.desc("position"))))
+    order = sorted(range(len(vec)), key=lambda i: (-vec[i], -i))
+    rank = {i: r for r, i in enumerate(order, start=1)}
+    rows = [(name, float(v), rank[i]) for i, (name, v) in enumerate(zip(C.FEATURES, vec))]
+    ranked = spark.createDataFrame(rows, "feature string, importance double, rank int")
     return (ranked.join(F.broadcast(feature_descriptions(spark)), "feature", "left")
-            .withColumn("family", lab.feature_family("feature")).drop("position"))
+            .withColumn("family", lab.feature_family("feature")))
 
 
 def top_drivers(model: PipelineModel, spark: SparkSession, k: int = C.TOP_DRIVERS) -> DataFrame:
