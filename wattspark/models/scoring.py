@@ -10,7 +10,7 @@ from wattspark import constants as C
 from wattspark.functions import calendar as cal
 from wattspark.functions import encoding as enc
 from wattspark.functions import labels as lab
-from wattspark.models.training import top_drivers
+from wattspark.models.training import top_driver_values
 from wattspark.operators.errors import with_errors
 from wattspark.operators.features import with_features
 from wattspark.operators.requests import parse_requests, request_features, validate_requests
@@ -64,18 +64,17 @@ def score_requests(boosted: PipelineModel, forest: PipelineModel, requests: Data
     Valid requests get ``status = success`` and a nested ``prediction``
     (kWh clipped at 0 and rounded to 2, category, explanation), the echoed
     ``input_context`` and the ``top_drivers`` of the forest model; invalid
-    ones get ``status = error`` and the validation message. The drivers are a
-    21-row table, attached as a scalar subquery (no join with the requests).
+    ones get ``status = error`` and the validation message. The drivers are
+    the forest's three largest importances (model metadata), attached as a
+    literal array.
     """
-    spark = requests.sparkSession
     checked = validate_requests(parse_requests(requests))
     feats = request_features(checked)
     scored = boosted.transform(feats).withColumn("kwh", lab.clip_at_zero("predicted"))
     category = lab.category_seasonal("kwh", "season", "hour")
-    drivers = (top_drivers(forest, spark)
-               .select(F.sort_array(F.collect_list(F.struct("rank", "feature", "importance"))).alias("d"))
-               .select(F.transform("d", lambda x: F.struct(x["feature"].alias("factor"),
-                                                           x["importance"].alias("importance")))))
+    # three (feature, importance) pairs of model metadata: a literal, not a subquery per run
+    drivers = F.array(*[F.struct(F.lit(f).alias("factor"), F.lit(v).alias("importance"))
+                        for f, v in top_driver_values(forest)])
     prediction = F.struct(F.round("kwh", 2).alias("expected_consumption_kwh"), category.alias("consumption_category"),
                           lab.explanation(category, "hour", "day_type", "season", "load_shedding_stage",
                                           "has_backup_power").alias("explanation"))
@@ -86,5 +85,5 @@ def score_requests(boosted: PipelineModel, forest: PipelineModel, requests: Data
         F.when(ok, F.lit("success")).otherwise(F.lit("error")).alias("status"),
         F.when(ok, prediction).alias("prediction"),
         F.when(ok, context).alias("input_context"),
-        F.when(ok, drivers.scalar()).alias("top_drivers"),
+        F.when(ok, drivers).alias("top_drivers"),
         "error")

@@ -91,6 +91,13 @@ def importances(model: PipelineModel, spark: SparkSession) -> DataFrame:
             .withColumn("family", lab.feature_family("feature")))
 
 
+def top_driver_values(model: PipelineModel, k: int = C.TOP_DRIVERS) -> list[tuple[str, float]]:
+    """The k most important (feature, importance) pairs, from the model's own metadata."""
+    vec = model.stages[-1].featureImportances.toArray().tolist()
+    order = sorted(range(len(vec)), key=lambda i: (-vec[i], -i))[:k]
+    return [(C.FEATURES[i], float(vec[i])) for i in order]
+
+
 def top_drivers(model: PipelineModel, spark: SparkSession, k: int = C.TOP_DRIVERS) -> DataFrame:
     """The k most important features."""
     return importances(model, spark).where(F.col("rank") <= k).orderBy("rank")
