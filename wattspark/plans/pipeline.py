@@ -35,7 +35,7 @@ def train_and_evaluate(readings: DataFrame, model_dir: str | None = None, forest
     if model_dir:
         for k, m in models.items():
             training.save(m, f"{model_dir.rstrip('/')}/{k}")
-    comparison = training.compare([training.evaluate(models[k], train, test, training.MODEL_NAMES[k])
+    comparison = training.compare([training.evaluate_split(models[k], feats, training.MODEL_NAMES[k])
                                    for k in ("linear", "forest", "boosted")])
     return models, comparison
 

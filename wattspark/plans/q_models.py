@@ -42,8 +42,8 @@ def _model(spark, sf, kind):
 
 
 def _evaluate(spark, sf, kind):
-    train, test = _split(spark, sf)
-    return training.evaluate(_model(spark, sf, kind), train, test, training.MODEL_NAMES[kind])
+    feats = train_test_split(with_features(orders(spark, sf)))
+    return training.evaluate_split(_model(spark, sf, kind), feats, training.MODEL_NAMES[kind])
 
 
 @register("train_linear", note="R: predictions are not bit-equal across solvers")
