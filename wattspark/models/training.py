@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from wattspark import constants as C
 from wattspark.functions import labels as lab
-from wattspark.operators.errors import error_metrics
 from wattspark.operators.features import assembler, feature_descriptions
 from wattspark.session import checkpoint_dir
 

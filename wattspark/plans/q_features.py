@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 from wattspark import constants as C
 from wattspark.functions import encoding as enc
 from wattspark.functions import labels as lab
-from wattspark.operators.enrich import enrich
 from wattspark.operators.features import feature_matrix
 from wattspark.operators.requests import parse_requests, request_features, validate_requests
 from wattspark.operators.sampling import train_test_split
-from wattspark.plans.registry import events, events_enriched, orders, orders_enriched, register
+from wattspark.plans.registry import orders, orders_enriched, register
 from wattspark.plans.sql import ENRICH, NEIGHBOURS, ORDERS_READINGS, R, with_ctes
 from wattspark.sources.adapters import requests_from_events
 

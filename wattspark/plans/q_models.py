@@ -17,7 +17,7 @@ from wattspark.operators.anomaly import with_z_score
 from wattspark.operators.errors import error_metrics
 from wattspark.operators.features import with_features
 from wattspark.operators.sampling import sample_fixed_n, train_test_split
-from wattspark.plans.registry import events, events_enriched, orders, orders_enriched, register
+from wattspark.plans.registry import orders, register
 from wattspark.sources.adapters import requests_from_events
 
 QUERY_FOREST = {"numTrees": 20, "maxDepth": 8}

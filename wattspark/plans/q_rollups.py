@@ -8,7 +8,7 @@ from wattspark.functions import calendar as cal
 from wattspark.operators import filters, reshape, rollups
 from wattspark.operators.enrich import enrich
 from wattspark.operators.quantiles import season_box
-from wattspark.plans.registry import events, events_enriched, orders, orders_enriched, register
+from wattspark.plans.registry import events, orders, orders_enriched, register
 from wattspark.plans.sql import ENRICH, EVENTS_READINGS, ORDERS_READINGS, R, with_ctes
 
 
@@ -16,10 +16,6 @@ def _orders(spark, sf):
     return orders_enriched(spark, sf)
 
 
-def _events(spark, sf):
-    return enrich(events(spark, sf))
-
-
 def _osql(body: str) -> str:
     return with_ctes(ORDERS_READINGS, ENRICH, body=body)
 
@@ -143,10 +139,6 @@ SELECT load_shedding_stage AS stage,
             THEN {R('avg(energy_consumption) FILTER (WHERE backup_power)')} ELSE 0.0 END AS with_backup_kwh
 FROM e GROUP BY load_shedding_stage"""))
 def q_backup_effect(spark, sf):
-    return reshape_backup(spark, sf)
-
-
-def reshape_backup(spark, sf):
     return rollups.backup_effect(orders(spark, sf))
 
 

@@ -9,7 +9,7 @@ from wattspark.operators import anomaly, errors, outages, trends
 from wattspark.operators.baseline import with_expected_load
 from wattspark.operators.enrich import enrich
 from wattspark.operators.rollups import daily_cost_outage
-from wattspark.plans.registry import base, events, events_enriched, orders, orders_enriched, register
+from wattspark.plans.registry import base, events, orders, orders_enriched, register
 from wattspark.plans.sql import ENRICH, EVENTS_READINGS, EXPECTED, NEIGHBOURS, ORDERS_READINGS, R, with_ctes
 from wattspark.sources.adapters import events_outage_schedule
 
