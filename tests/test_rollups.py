@@ -108,3 +108,46 @@ def test_null_group_keys_are_left_out(spark):
     assert [(r.date, r.total_kwh) for r in rollups.daily_summary(e).collect()] == [(dt.date(2025, 1, 1), 3.0)]
     assert sorted(r.stage for r in rollups.stage_impact(e).collect()) == [0, 3]
     assert rollups.kpi_cards(e).first().total_kwh == 8.0   # global aggregates keep every row
+
+
+def test_quantiles_many_groups_without_broadcast_hint(spark):
+    rnd = np.random.default_rng(11)
+    data = [(f"g{g}", float(v)) for g in range(40) for v in rnd.gamma(2.0, 1.0, 25 + g)]
+    df = spark.createDataFrame(data, "g string, v double")
+    got = {r.g: r.med for r in grouped_quantiles(df, "g", "v", {"med": 0.5}, 7).collect()}
+    for g in range(40):
+        arr = np.array([v for k, v in data if k == f"g{g}"])
+        assert got[f"g{g}"] == pytest.approx(np.median(arr), rel=1e-12)
+
+
+def test_season_box_approximate_is_close(spark):
+    from wattspark.operators.quantiles import season_box
+    from wattspark.sources.adapters import orders_readings
+    e = enrich(orders_readings(spark, "/root/testdata/sf0.001"))
+    exact = {r.season: r for r in season_box(e).collect()}
+    approx = {r.season: r for r in season_box(e, approximate=True).collect()}
+    assert set(exact) == set(approx)
+    for s in exact:
+        assert abs(exact[s].median_kwh - approx[s].median_kwh) < 0.05
+
+
+def test_histogram_and_normal_fit_formulas(spark):
+    from wattspark.operators import errors
+    rnd = np.random.default_rng(5)
+    actual = rnd.normal(1.0, 0.3, 500)
+    pred = np.full(500, 1.0)
+    df = spark.createDataFrame([(float(a), float(p)) for a, p in zip(actual, pred)],
+                               "energy_consumption double, predicted double")
+    res = actual - pred
+    counts, edges = np.histogram(res, bins=50)
+    h = sorted((r["bin"], r["count"]) for r in errors.residual_histogram(df).collect())
+    got = np.zeros(50, dtype=int)
+    for b, c in h:
+        got[b] = c
+    assert (got == counts).all()
+    fit = sorted(errors.residual_normal_fit(df).collect(), key=lambda r: r.point)
+    x = np.linspace(res.min(), res.max(), 100)
+    sd = res.std(ddof=1)
+    pdf = np.exp(-0.5 * ((x - res.mean()) / sd) ** 2) / (sd * np.sqrt(2 * np.pi))
+    want = pdf * len(res) * (res.max() - res.min()) / 50
+    assert np.allclose([r.density for r in fit], want, rtol=1e-9) and np.allclose([r.x for r in fit], x)
