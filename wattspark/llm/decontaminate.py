@@ -36,14 +36,15 @@ from pyspark.sql import functions as F
 
 from wattspark.llm.shared import lower_ascii, stage_table
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: A word is a run of anything else.
+NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SHINGLE = 3
 BLOCK_BYTES = 16 << 20
 
 
 def words_of(text: Column) -> Column:
     """Lower-cased (A-Z) words of a text; null has none."""
-    return F.regexp_extract_all(lower_ascii(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), NO_WORD), "")
 
 
 def _shingle(words: Column, at: Column, k: int) -> Column:
