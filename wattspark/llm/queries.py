@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wattspark.llm import decontaminate, simhash
+from wattspark.llm import decontaminate, mixing, sharding, simhash, wordpiece
 from wattspark.llm.shared import table
 
 
@@ -14,19 +15,51 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("tkey")
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs).withColumn("rate", F.round("rate", 9))
+
+
+def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordpiece.token_counts(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"), shards=40, carry=["doc_id"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
+    "op4_mixing": op4_mixing,
+    "op5_tokens": op5_tokens,
     "op6_simhash": op6_simhash,
+    "op9_sharding": op9_sharding,
 }
 
 _WORDS = (r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
           r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_mixing": """
+WITH s AS (SELECT source, CAST(sum(strlen(coalesce(text, '')) + 1) AS BIGINT) AS units FROM documents GROUP BY source),
+w AS (SELECT source, units, CAST(floor(sqrt(units) * 1000) AS BIGINT) AS weight FROM s),
+r AS (SELECT source, CAST(weight AS DOUBLE) * CAST((SELECT sum(units) FROM w) AS DOUBLE)
+             / (CAST((SELECT sum(weight) FROM w) AS DOUBLE) * CAST(units AS DOUBLE)) AS rate FROM w),
+k AS (SELECT source, rate, unnest(range(0, CAST(ceil(rate + 12 * sqrt(rate) + 40) AS BIGINT))) AS k FROM r),
+c AS (SELECT source, k, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS cdf FROM k),
+u AS (SELECT doc_id, source, text,
+             CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) / 4503599627370496.0 AS u
+      FROM documents),
+n AS (SELECT doc_id, source, text, (SELECT count(*) FROM c WHERE c.source IS NOT DISTINCT FROM u.source AND c.cdf <= u.u) AS copies FROM u),
+e AS (SELECT doc_id, source, text, copies, unnest(range(1, copies + 1)) AS copy FROM n)
+SELECT e.doc_id, e.source, e.text, copy, copies, round(rate, 9) AS rate,
+       md5('mix-1-order:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || CAST(copy AS VARCHAR)) AS shuffle_key
+FROM e JOIN r ON e.source IS NOT DISTINCT FROM r.source
+""",
     "op3_decontaminate": f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 b AS (SELECT item_id, w, least(len(w), 13) AS l FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
