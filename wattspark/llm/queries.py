@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattspark.llm import decontaminate, mixing, sharding, simhash, wordpiece
+from wattspark.llm import decontaminate, langid, mixing, sharding, simhash, wordpiece
 from wattspark.llm.shared import table
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = langid.identify(docs.select("doc_id", "text"), langid.fit(docs), carry=["doc_id"])
+    return out.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("tkey")
 
@@ -33,6 +39,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_langid": op1_langid,
     "op3_decontaminate": op3_decontaminate,
     "op4_mixing": op4_mixing,
     "op5_tokens": op5_tokens,
