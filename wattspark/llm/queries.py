@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattspark.llm import decontaminate, langid, mixing, neighbours, quality, sharding, simhash, wordpiece
+from wattspark.llm import decontaminate, langid, mixing, neighbours, quality, sharding, simhash, suffixes, word_windows, wordpiece
 from wattspark.llm.shared import table
 
 
@@ -38,6 +38,14 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.drop_repeats(table(spark, sf_dir, "documents"), length=400)
+
+
+def op8_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_windows.drop_repeats(table(spark, sf_dir, "documents"), width=35)
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=40, carry=["doc_id"])
 
@@ -54,6 +62,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
     "op5_tokens": op5_tokens,
     "op6_simhash": op6_simhash,
+    "op7_suffixes": op7_suffixes,
+    "op8_windows": op8_windows,
     "op9_sharding": op9_sharding,
     "op10_quality": op10_quality,
 }
@@ -62,6 +72,32 @@ _WORDS = (r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQR
           r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_suffixes": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+w AS (SELECT doc_id, s, md5(substr(h, 2 * s + 1, 800)) AS k
+      FROM (SELECT doc_id, h, unnest(range(0, greatest(n - 399, 0))) AS s FROM d)),
+r AS (SELECT doc_id, s FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
+e AS (SELECT doc_id, s, max(s) OVER (PARTITION BY doc_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 400 AS before FROM r),
+g AS (SELECT doc_id, s, sum(CASE WHEN before IS NULL OR s > before THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s) AS span FROM e),
+x AS (SELECT doc_id, span, min(s) AS a, max(s) + 400 AS b FROM g GROUP BY doc_id, span),
+c AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS tail FROM x GROUP BY doc_id),
+k AS (SELECT x.doc_id, string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) AS kept
+      FROM (SELECT doc_id, a, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p FROM x) x JOIN d USING (doc_id) GROUP BY x.doc_id)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(CASE WHEN c.doc_id IS NULL THEN h ELSE kept || substr(h, 2 * tail + 1) END)) AS kept_sha256
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id)
+""",
+    "op8_windows": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, s, md5(array_to_string(w[s + 1 : s + 35], ' ')) AS k
+      FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 34, 0))) AS s FROM d)),
+g AS (SELECT DISTINCT doc_id, unnest(range(s, s + 35)) AS p FROM s WHERE k IN (SELECT k FROM s GROUP BY k HAVING count(*) > 1)),
+a AS (SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS p FROM d),
+k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n FROM a ANTI JOIN g USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+""",
     "op4_mixing": """
 WITH s AS (SELECT source, CAST(sum(strlen(coalesce(text, '')) + 1) AS BIGINT) AS units FROM documents GROUP BY source),
 w AS (SELECT source, units, CAST(floor(sqrt(units) * 1000) AS BIGINT) AS weight FROM s),
