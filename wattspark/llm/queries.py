@@ -74,7 +74,7 @@ _WORDS = (r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQR
 ORACLE_SQL: dict[str, str] = {
     "op7_suffixes": """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
-w AS (SELECT doc_id, s, md5(substr(h, 2 * s + 1, 800)) AS k
+w AS (SELECT doc_id, s, hash(substr(h, 2 * s + 1, 800)) AS k
       FROM (SELECT doc_id, h, unnest(range(0, greatest(n - 399, 0))) AS s FROM d)),
 r AS (SELECT doc_id, s FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
 e AS (SELECT doc_id, s, max(s) OVER (PARTITION BY doc_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 400 AS before FROM r),
