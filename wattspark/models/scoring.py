@@ -51,11 +51,24 @@ def scenario_grid(spark: SparkSession, seasons=("Winter", "Summer", "Spring", "A
                     *enc.one_hot("household_id", C.HOUSEHOLDS, "household"))
 
 
+def scenario_actuals(readings: DataFrame, grid: DataFrame) -> DataFrame:
+    """The grid's scenarios with the readings that fall in each: n_readings and actual_kwh (null where none does).
+
+    The readings are rolled up to their scenarios first (at most 1,344 groups, combined map-side).
+    """
+    keys = ["hour", "season", "load_shedding_stage", "has_backup_power"]
+    seen = readings.groupBy(cal.hour("timestamp").alias("hour"), cal.season(cal.month("timestamp")).alias("season"),
+                            "load_shedding_stage", F.col("backup_power").alias("has_backup_power")).agg(
+        F.count("energy_consumption").alias("n_readings"), F.avg("energy_consumption").alias("actual_kwh"))
+    return grid.join(seen, keys, "left").withColumn("n_readings", F.coalesce("n_readings", F.lit(0).cast("long")))
+
+
 def score_scenarios(model: PipelineModel, grid: DataFrame) -> DataFrame:
-    """Predicted kWh and the simulator category of each scenario."""
+    """Predicted kWh and the simulator category of each scenario, beside whatever actuals the grid carries."""
     out = model.transform(grid)
+    actuals = [c for c in ("n_readings", "actual_kwh") if c in grid.columns]
     return out.select("hour", "season", "load_shedding_stage", "has_backup_power",
-                      F.col("predicted").alias("expected_kwh"), lab.category_fixed("predicted").alias("category"))
+                      F.col("predicted").alias("expected_kwh"), lab.category_fixed("predicted").alias("category"), *actuals)
 
 
 def score_requests(boosted: PipelineModel, forest: PipelineModel, requests: DataFrame) -> DataFrame:
@@ -69,21 +82,18 @@ def score_requests(boosted: PipelineModel, forest: PipelineModel, requests: Data
     literal array.
     """
     checked = validate_requests(parse_requests(requests))
-    feats = request_features(checked)
+    feats = request_features(checked.where("is_valid"))
     scored = boosted.transform(feats).withColumn("kwh", lab.clip_at_zero("predicted"))
     category = lab.category_seasonal("kwh", "season", "hour")
     # three (feature, importance) pairs of model metadata: a literal, not a subquery per run
     drivers = F.array(*[F.struct(F.lit(f).alias("factor"), F.lit(v).alias("importance"))
                         for f, v in top_driver_values(forest)])
-    prediction = F.struct(F.round("kwh", 2).alias("expected_consumption_kwh"), category.alias("consumption_category"),
+    prediction = F.struct(F.bround("kwh", 2).alias("expected_consumption_kwh"), category.alias("consumption_category"),
                           lab.explanation(category, "hour", "day_type", "season", "load_shedding_stage",
                                           "has_backup_power").alias("explanation"))
     context = F.struct("hour", "day_type", "season", "load_shedding_stage", "has_backup_power", "household_id")
-    ok = F.col("is_valid")
-    return scored.select(
-        "request_id",
-        F.when(ok, F.lit("success")).otherwise(F.lit("error")).alias("status"),
-        F.when(ok, prediction).alias("prediction"),
-        F.when(ok, context).alias("input_context"),
-        F.when(ok, drivers).alias("top_drivers"),
-        "error")
+    good = scored.select("request_id", F.lit("success").alias("status"), prediction.alias("prediction"),
+                         context.alias("input_context"), drivers.alias("top_drivers"), "error")
+    nothing = [F.lit(None).cast(good.schema[c].dataType).alias(c) for c in ("prediction", "input_context", "top_drivers")]
+    bad = checked.where("not is_valid").select("request_id", F.lit("error").alias("status"), *nothing, "error")
+    return good.unionByName(bad)

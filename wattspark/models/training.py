@@ -86,14 +86,38 @@ def evaluate(model: PipelineModel, train: DataFrame, test: DataFrame, name: str)
     return evaluate_split(model, both, name, split="_split")
 
 
-def compare(evaluations: list[DataFrame]) -> DataFrame:
-    """Stack per-model evaluation rows into one comparison table (M6)."""
-    out = evaluations[0]
-    for e in evaluations[1:]:
-        out = out.unionByName(e)
+def predict_all(models: dict[str, PipelineModel], features: DataFrame) -> DataFrame:
+    """One scoring pass for several models: a column ``predicted_<key>`` each."""
+    out = features
+    for key, model in models.items():
+        out = model.transform(out).drop("features").withColumnRenamed("predicted", f"predicted_{key}")
     return out
 
 
+def compare(models: dict[str, PipelineModel], features: DataFrame, split: str = "split") -> DataFrame:
+    """One evaluation row per model (M6), as ``evaluate_split``, from one scoring pass and one aggregate."""
+    y = F.col(C.LABEL)
+    tr, te = F.col(split) == "train", F.col(split) == "test"
+    aggs = [(F.var_pop(F.when(te, y)) * F.count_if(te)).alias("_tot"), F.count_if(te).alias("_n")]
+    rows = []
+    for key in models:
+        res = y - F.col(f"predicted_{key}")
+        aggs += [F.sqrt(F.avg(F.when(tr, res * res))).alias(f"_tr_{key}"), F.sqrt(F.avg(F.when(te, res * res))).alias(f"_te_{key}"),
+                 F.avg(F.when(te, F.abs(res))).alias(f"_mae_{key}"), F.sum(F.when(te, res * res)).alias(f"_ss_{key}")]
+        rows.append(F.struct(F.lit(MODEL_NAMES.get(key, key)).alias("model"), F.col(f"_tr_{key}").alias("train_rmse"),
+                             F.col(f"_te_{key}").alias("test_rmse"), F.col(f"_mae_{key}").alias("test_mae"),
+                             (F.lit(1.0) - F.try_divide(F.col(f"_ss_{key}"), F.col("_tot"))).alias("test_r2"),
+                             F.col("_n").alias("test_rows")))
+    return predict_all(models, features).agg(*aggs).select(F.inline(F.array(*rows)))
+
+
+def normal_equations(model: PipelineModel, train: DataFrame) -> DataFrame:
+    """Mean of residual x feature over the training rows, a row per feature: all zero for a least-squares fit (M1 check)."""
+    res = F.col(C.LABEL) - F.col("predicted")
+    aggs = model.transform(train).agg(*[F.avg(res * F.col(f)).alias(f) for f in C.FEATURES])
+    return aggs.select(F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("moment")) for f in C.FEATURES])))
+
+
 def importances(model: PipelineModel, spark: SparkSession) -> DataFrame:
     """Feature importances of a tree model as a table (M4): feature, importance, rank, family, description.
 
@@ -131,5 +155,8 @@ def load(path: str) -> PipelineModel:
     """Load a fitted pipeline (S8); a missing model is a clear error, not a silent ``None``."""
     try:
         return PipelineModel.load(path)
-    except Exception as exc:  # noqa: BLE001 - the JVM error type varies by file system
-        raise FileNotFoundError(f"no trained model at {path}: train and save one first") from exc
+    except Exception as exc:  # noqa: BLE001 - the error type varies by file system; only a missing path is renamed
+        said = str(exc)
+        if "does not exist" in said or "FileNotFound" in said or "PATH_NOT_FOUND" in said or "No such file" in said:
+            raise FileNotFoundError(f"no trained model at {path}: train and save one first") from exc
+        raise

@@ -1,7 +1,9 @@
 """Prediction error analytics over a ``predicted`` column.
 
 None of these depends on which model produced the prediction; with the
-deterministic expected-load baseline they have exact SQL oracles.
+deterministic expected-load baseline they have exact SQL oracles. Every
+aggregate looks at scored readings only, those with an actual and a predicted
+value; ``error_metrics`` says how many readings were left out.
 """
 
 from __future__ import annotations
@@ -23,6 +25,13 @@ def pred():
     return F.col("predicted")
 
 
+def is_scored():
+    return actual().isNotNull() & pred().isNotNull()
+
+
+def scored(df: DataFrame) -> DataFrame:
+    """The readings that errors can be computed for."""
+    return df.where(is_scored())
 
 
 def with_errors(df: DataFrame) -> DataFrame:
@@ -35,17 +44,18 @@ def with_errors(df: DataFrame) -> DataFrame:
 
 
 def error_metrics(df: DataFrame) -> DataFrame:
-    """RMSE, MAE, R^2 and MAPE in one aggregate.
+    """RMSE, MAE, R^2 and MAPE of the ``n`` scored readings in one aggregate, and ``n_unscored``.
 
     R^2 = 1 - SS_res / SS_tot with SS_tot = n * var_pop(actual), both from the
     same pass (no second scan for the mean).
     """
     res = actual() - pred()
-    out = df.agg(F.count(F.lit(1)).alias("n"),
+    n = F.count(res)
+    out = df.agg(n.alias("n"), (F.count(F.lit(1)) - n).alias("n_unscored"),
                  F.sqrt(F.avg(res * res)).alias("rmse"),
                  F.avg(F.abs(res)).alias("mae"),
                  F.sum(res * res).alias("_ss_res"),
-                 (F.var_pop(actual()) * F.count(F.lit(1))).alias("_ss_tot"),
+                 (F.var_pop(F.when(is_scored(), actual())) * n).alias("_ss_tot"),
                  F.avg(lab.pct_error("energy_consumption", "predicted")).alias("mape"))
     return out.withColumn("r2", F.lit(1.0) - F.try_divide(F.col("_ss_res"), F.col("_ss_tot"))) \
         .drop("_ss_res", "_ss_tot")
@@ -57,7 +67,7 @@ def prediction_bands(df: DataFrame) -> DataFrame:
     band = predicted +- 1.96 * residual_std * sqrt(24).
     """
     res = actual() - pred()
-    d = grouped(df, (F.to_date("timestamp"), "date")).agg(
+    d = grouped(scored(df), (F.to_date("timestamp"), "date")).agg(
         F.sum(actual()).alias("actual"), F.sum(pred()).alias("predicted"),
         F.avg(res).alias("residual_mean"), F.stddev_samp(res).alias("residual_std"))
     width = F.lit(C.BAND_Z * math.sqrt(C.BAND_HOURS)) * F.col("residual_std")
@@ -92,42 +102,44 @@ def _scenario_conditions():
 def scenario_errors(e: DataFrame) -> DataFrame:
     """RMSE / MAE / n for six overlapping scenarios; empty scenarios are dropped.
 
-    Each reading is tagged with every scenario it belongs to (array, compacted,
-    exploded: at most six rows per reading, all built in one projection) and a
-    single grouped aggregate computes every scenario at once.
+    One global aggregate with conditional averages; its single row is then
+    unpivoted, so readings are never multiplied.
     """
-    tags = F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in _scenario_conditions()]))
     res = actual() - pred()
-    tagged = e.select(F.explode(tags).alias("scenario"), res.alias("_res"))
-    return tagged.groupBy("scenario").agg(F.sqrt(F.avg(F.col("_res") * F.col("_res"))).alias("rmse"),
-                                          F.avg(F.abs("_res")).alias("mae"),
-                                          F.count(F.lit(1)).alias("n"))
+    conditions = _scenario_conditions()
+    aggs = []
+    for i, (_, cond) in enumerate(conditions):
+        aggs += [F.avg(F.when(cond, res * res)).alias(f"_q{i}"), F.avg(F.when(cond, F.abs(res))).alias(f"_a{i}"),
+                 F.count(F.when(cond, res)).alias(f"_n{i}")]
+    cells = [F.struct(F.lit(name).alias("scenario"), F.sqrt(F.col(f"_q{i}")).alias("rmse"), F.col(f"_a{i}").alias("mae"),
+                      F.col(f"_n{i}").alias("n")) for i, (name, _) in enumerate(conditions)]
+    return e.agg(*aggs).select(F.inline(F.array(*cells))).where(F.col("n") > 0)
 
 
-def _residual_range(df: DataFrame):
+def residual_histogram(df: DataFrame, bins: int = C.HISTOGRAM_BINS) -> DataFrame:
+    """Counts of residuals in 50 equal bins from min to max, empty bins included.
+
+    The maximum falls in the last bin; equal residuals all fall in the first.
+    Without a scored reading there is no bin.
+    """
     res = actual() - pred()
     lo = df.select(F.min(res)).scalar()
     hi = df.select(F.max(res)).scalar()
-    return res, lo, hi
-
-
-def residual_histogram(df: DataFrame, bins: int = C.HISTOGRAM_BINS) -> DataFrame:
-    """Counts of residuals in 50 equal bins from min to max; the max falls in the last bin."""
-    res, lo, hi = _residual_range(df)
     width = (hi - lo) / F.lit(float(bins))
-    idx = F.least(F.floor(F.try_divide(res - lo, width)), F.lit(bins - 1))
-    idx = F.coalesce(idx, F.lit(0)).cast("int")
-    h = df.select(idx.alias("bin"), lo.alias("_lo"), width.alias("_w")) \
-        .groupBy("bin").agg(F.count(F.lit(1)).alias("count"), F.first("_lo").alias("_lo"), F.first("_w").alias("_w"))
-    return h.select("bin", (F.col("_lo") + F.col("bin") * F.col("_w")).alias("bin_start"),
-                    (F.col("_lo") + (F.col("bin") + 1) * F.col("_w")).alias("bin_end"), "count")
+    at = F.when(width > 0, F.least(F.floor((res - lo) / width), F.lit(bins - 1))).otherwise(F.lit(0)).cast("int")
+    counts = scored(df).select(at.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("_c"))
+    # one row: the filled bins (at most ``bins`` of them), then every bin with its count or zero
+    one = counts.agg(F.map_from_entries(F.collect_list(F.struct("bin", "_c"))).alias("_m"))
+    h = one.where(F.size("_m") > 0).select("_m", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    return h.select("bin", (lo + F.col("bin") * width).alias("bin_start"), (lo + (F.col("bin") + 1) * width).alias("bin_end"),
+                    F.coalesce(F.try_element_at("_m", F.col("bin")), F.lit(0).cast("long")).alias("count"))
 
 
 def residual_normal_fit(df: DataFrame, points: int = C.NORMAL_FIT_POINTS, bins: int = C.HISTOGRAM_BINS) -> DataFrame:
     """Normal-curve overlay for the histogram: 100 points from min to max, pdf x n x (max-min)/bins."""
     res = actual() - pred()
     s = df.agg(F.min(res).alias("_lo"), F.max(res).alias("_hi"), F.avg(res).alias("_mu"),
-               F.stddev_samp(res).alias("_sd"), F.count(F.lit(1)).alias("_n"))
+               F.stddev_samp(res).alias("_sd"), F.count(res).alias("_n"))
     s = s.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
     x = F.col("_lo") + F.col("point") * (F.col("_hi") - F.col("_lo")) / F.lit(float(points - 1))
     s = s.withColumn("x", x)

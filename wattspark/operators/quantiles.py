@@ -3,73 +3,70 @@
 ``percentile`` keeps a map of every distinct value of a group in one
 aggregation buffer, and a window ``row_number() over (partition by group)``
 sorts a whole group in one task: both break when one group holds a third of
-the data. Here the rank of each value is found with one distributed range
-sort instead:
-
-1. range-partition on (group, value) and sort each partition: each partition
-   holds a contiguous run of the global order, and a hot group spans many
-   partitions;
-2. per (partition, group): row count and first row id (a small table:
-   partitions x groups present in them);
-3. a running sum over that table gives each partition's rank offset in its
-   group, so every row knows its exact rank in its group;
-4. only the rows at the floor / ceiling ranks of each requested quantile are
-   kept (two per quantile per group) and interpolated linearly, the
+the data. Here ranks come from counts instead:
+
+1. count equal values per group, with a map-side combine: a value that fills
+   half a group is one row from here on;
+2. bucket the values by a monotone function of the value alone (4,096 buckets
+   for each factor e), and add up the buckets: a running sum over this small
+   table gives each bucket's rank offset, and so the buckets that hold the
+   wanted ranks (at most two per quantile and group);
+3. only the values of those buckets are ordered, each bucket by itself, and
+   the values at the floor and ceiling ranks interpolated linearly, the
    ``quantile_cont`` / ``percentile`` definition: position p x (n - 1).
+
+Every key is a function of the row, so the result does not depend on how (or
+how often) Spark evaluates, splits or reuses any exchange.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattspark import constants as C
+BUCKETS_PER_E = 4096
+#: Values below this in size share the buckets next to zero.
+SMALLEST = 2.0 ** -30
 
 
-def grouped_quantiles(df: DataFrame, group: str, value: str, probs: dict[str, float],
-                      num_partitions: int | None = None, max_groups: int | None = None) -> DataFrame:
-    """One row per group with a column per named probability.
+def _bucket(v: Column) -> Column:
+    size = F.floor(F.log1p(F.abs(v) / SMALLEST) * BUCKETS_PER_E)
+    return F.when(F.isnan(v), F.lit((1 << 63) - 1)).when(v < 0, -size).otherwise(size).cast("long")
 
-    The per-partition summary has at most ``num_partitions + groups - 1`` rows
-    (each range partition holds a contiguous run of groups). When the caller
-    knows the number of groups is bounded (``max_groups``, e.g. a fixed
-    vocabulary) that bound is proven and the summary is broadcast, so the
-    ranked rows are never shuffled again; otherwise AQE picks the join from
-    the summary's measured size.
-    """
-    spark = df.sparkSession
-    n_parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    v = df.select(F.col(group).alias("_g"), F.col(value).cast("double").alias("_v")) \
+
+def grouped_quantiles(df: DataFrame, group: str, value: str, probs: dict[str, float]) -> DataFrame:
+    """One row per group with a column per named probability; null groups and null values are left out."""
+    v = df.select(F.col(group).alias("_g"), (F.col(value).cast("double") + 0.0).alias("_v")) \
         .where(F.col("_g").isNotNull() & F.col("_v").isNotNull())
-    ranked = (v.repartitionByRange(n_parts, "_g", "_v").sortWithinPartitions("_g", "_v")
-              .withColumns({"_pid": F.spark_partition_id(), "_mid": F.monotonically_increasing_id()}))
-
-    parts = ranked.groupBy("_pid", "_g").agg(F.count(F.lit(1)).alias("_c"), F.min("_mid").alias("_m0"))
-    before = Window.partitionBy("_g").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumns({
-        "_before": F.coalesce(F.sum("_c").over(before), F.lit(0)),
-        "_n": F.sum("_c").over(Window.partitionBy("_g")),
-    }).drop("_c")
-
-    if max_groups is not None:
-        parts = F.broadcast(parts)
-    rows = ranked.join(parts, ["_pid", "_g"]).withColumn("_rank", F.col("_before") + F.col("_mid") - F.col("_m0"))
-    keep = F.lit(False)
-    aggs = []
-    for name, p in probs.items():
+    counts = v.groupBy("_g", "_v").agg(F.count(F.lit(1)).alias("_c")).withColumn("_b", _bucket(F.col("_v")))
+
+    in_group = Window.partitionBy("_g")
+    before = in_group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = counts.groupBy("_g", "_b").agg(F.sum("_c").alias("_bc")).select(
+        F.col("_g").alias("_bg"), F.col("_b").alias("_bb"), "_bc",
+        F.coalesce(F.sum("_bc").over(before), F.lit(0)).alias("_before"), F.sum("_bc").over(in_group).alias("_n"))
+
+    def ranks(p: float) -> tuple[Column, Column]:
         pos = F.lit(float(p)) * (F.col("_n") - 1)
-        lo, hi = F.floor(pos), F.ceil(pos)
-        keep = keep | (F.col("_rank") == lo) | (F.col("_rank") == hi)
-        aggs.append((name, p))
-    picked = rows.where(keep)
+        return F.floor(pos), F.ceil(pos)
+
+    wanted = [r for p in probs.values() for r in ranks(p)]
+    holds = reduce(lambda a, b: a | b, [(r >= F.col("_before")) & (r < F.col("_before") + F.col("_bc")) for r in wanted])
+    rows = counts.join(buckets.where(holds), (F.col("_g") == F.col("_bg")) & (F.col("_b") == F.col("_bb")))
+    earlier = Window.partitionBy("_g", "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_first", F.col("_before") + F.coalesce(F.sum("_c").over(earlier), F.lit(0)))
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((rank >= F.col("_first")) & (rank < F.col("_first") + F.col("_c")), F.col("_v")))
+
     exprs = []
-    for name, p in aggs:
-        pos = F.lit(float(p)) * (F.col("_n") - 1)
-        v_lo = F.max(F.when(F.col("_rank") == F.floor(pos), F.col("_v")))
-        v_hi = F.max(F.when(F.col("_rank") == F.ceil(pos), F.col("_v")))
-        frac = F.first(pos - F.floor(pos))
-        exprs.append((v_lo + frac * (v_hi - v_lo)).alias(name))
-    return picked.groupBy(F.col("_g").alias(group)).agg(*exprs)
+    for name, p in probs.items():
+        lo, hi = ranks(p)
+        frac = F.max(F.lit(float(p)) * (F.col("_n") - 1) - lo)
+        exprs.append((at(lo) + frac * (at(hi) - at(lo))).alias(name))
+    return rows.groupBy(F.col("_g").alias(group)).agg(*exprs)
 
 
 def season_box(e: DataFrame, approximate: bool = False, accuracy: int = 10000) -> DataFrame:
@@ -86,6 +83,5 @@ def season_box(e: DataFrame, approximate: bool = False, accuracy: int = 10000) -
     if approximate:
         q = e.groupBy("season").agg(*[F.percentile_approx(kwh, p, accuracy).alias(n) for n, p in probs.items()])
     else:
-        # four seasons: the rank summary is bounded by partitions + 3 rows
-        q = grouped_quantiles(e, "season", "energy_consumption", probs, max_groups=len(C.SEASONS))
+        q = grouped_quantiles(e, "season", "energy_consumption", probs)
     return stats.join(q, "season")

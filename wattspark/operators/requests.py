@@ -6,61 +6,92 @@ in, a table of responses (or rejections with the validation message) out.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from wattspark import constants as C
 from wattspark.functions import calendar as cal
 from wattspark.functions import encoding as enc
 
-REQUEST_SCHEMA = T.StructType([
-    T.StructField("hour", T.IntegerType()),
-    T.StructField("day_type", T.StringType()),
-    T.StructField("season", T.StringType()),
-    T.StructField("load_shedding_stage", T.IntegerType()),
-    T.StructField("has_backup_power", T.BooleanType()),
-    T.StructField("household_id", T.StringType()),
-])
+WHOLE_NUMBER = r"^\s*[+-]?[0-9]+(_[0-9]+)*\s*$"
+INVALID_JSON = "Invalid JSON in request body"
+
+
+def _once(df: DataFrame, **cols: Column) -> DataFrame:
+    """Add columns through a generator, which the optimiser neither repeats nor moves filters through."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
+
+
+def _whole(kind: Column, text: Column, default: int) -> Column:
+    """A whole number as ``int()`` reads it: fractions are cut off, digits in a string count, true is 1; else null."""
+    number = F.when(kind == "STRING", F.when(text.rlike(WHOLE_NUMBER), F.regexp_replace(F.trim(F.regexp_replace(text, r"\s", "")), "_", ""))) \
+        .when(kind == "BOOLEAN", F.when(text == "true", F.lit("1")).otherwise(F.lit("0"))) \
+        .when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), text)
+    # values beyond the range of int stay invalid, whatever their size
+    read = F.greatest(F.lit(-1.0), F.least(F.lit(1e6), number.try_cast("double"))).cast("int")
+    read = F.when(number.try_cast("double") <= -1, F.lit(-1)).otherwise(read)
+    return F.when(kind.isNull(), F.lit(default)).otherwise(F.when(number.isNotNull(), read))
+
+
+def _truth(kind: Column, text: Column, default: bool) -> Column:
+    """As ``bool()``: null, false, zero and what is empty are false, everything else (any other string too) is true."""
+    false = F.when(kind == "VOID", F.lit(True)).when(kind == "BOOLEAN", text == "false").when(kind == "STRING", text == "") \
+        .when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), text.try_cast("double") == 0).otherwise(text.isin("[]", "{}"))
+    return F.when(kind.isNull(), F.lit(default)).otherwise(~false)
 
 
 def parse_requests(df: DataFrame, body: str = "body") -> DataFrame:
-    """Decode each JSON body with the request schema; missing keys take the defaults.
+    """Decode each JSON body; a missing key takes its default, a present one is read or marked.
 
-    ``day_type`` is lower-cased, ``season`` and ``household_id`` are kept as
-    sent (case-sensitive). A body that is not JSON gets ``malformed = true``.
+    Numbers and truth values are coerced as the original's ``int()`` and
+    ``bool()`` do; ``day_type`` is lower-cased, ``season`` and ``household_id``
+    are kept as sent (case-sensitive). ``malformed`` marks a body that is no
+    JSON object; ``unreadable`` names the first field that is present but not
+    readable as its type (a null, text in a number, a number in a name); its
+    column is null. The body is decoded once.
     """
     d = C.REQUEST_DEFAULTS
-    parsed = df.withColumn("_req", F.from_json(F.col(body), REQUEST_SCHEMA))
-    r = F.col("_req")
-    out = parsed.withColumns({
-        "hour": F.coalesce(r["hour"], F.lit(d["hour"])),
-        "day_type": F.lower(F.coalesce(r["day_type"], F.lit(d["day_type"]))),
-        "season": F.coalesce(r["season"], F.lit(d["season"])),
-        "load_shedding_stage": F.coalesce(r["load_shedding_stage"], F.lit(d["load_shedding_stage"])),
-        "has_backup_power": F.coalesce(r["has_backup_power"], F.lit(d["has_backup_power"])),
-        "household_id": F.coalesce(r["household_id"], F.lit(d["household_id"])),
-        # json_object_keys is null for anything that is not a JSON object
-        "malformed": F.json_object_keys(F.col(body)).isNull(),
-    })
-    return out.drop("_req")
+    names = list(d)
+    read = _once(df, _v=F.try_parse_json(F.col(body)))
+    read = _once(read, **{f"_k{i}": F.schema_of_variant(F.try_variant_get("_v", f"$.{n}", "variant")) for i, n in enumerate(names)},
+                 **{f"_t{i}": F.try_variant_get("_v", f"$.{n}", "string") for i, n in enumerate(names)},
+                 _kind=F.schema_of_variant("_v"))
+    kind = {n: F.col(f"_k{i}") for i, n in enumerate(names)}
+    text = {n: F.col(f"_t{i}") for i, n in enumerate(names)}
+
+    def name(n: str) -> Column:
+        return F.when(kind[n].isNull(), F.lit(d[n])).otherwise(F.when(kind[n] == "STRING", text[n]))
+
+    out = _once(read, hour=_whole(kind["hour"], text["hour"], d["hour"]), day_type=F.lower(name("day_type")), season=name("season"),
+                load_shedding_stage=_whole(kind["load_shedding_stage"], text["load_shedding_stage"], d["load_shedding_stage"]),
+                has_backup_power=_truth(kind["has_backup_power"], text["has_backup_power"], d["has_backup_power"]),
+                household_id=name("household_id"),
+                malformed=~F.coalesce(F.col("_kind").startswith("OBJECT"), F.lit(False)))
+    unreadable = F.coalesce(*[F.when(F.col(n).isNull(), F.lit(n)) for n in ("hour", "day_type", "load_shedding_stage")])
+    out = out.withColumn("unreadable", F.when(~F.col("malformed"), unreadable))
+    return out.drop("_v", "_kind", *[f"_{x}{i}" for x in "kt" for i in range(len(names))])
 
 
 def validation_error(hour="hour", day_type="day_type", season="season", stage="load_shedding_stage",
                      household="household_id"):
-    """The first failing rule's message, or null for a valid request."""
+    """The first failing rule's message, or null for a valid request; a name that is missing fails its rule."""
     m = C.VALIDATION_MESSAGES
-    return (F.when(~F.col(hour).between(0, 23), F.lit(m[0]))
-            .when(~F.col(day_type).isin(*C.DAY_TYPES), F.lit(m[1]))
-            .when(~F.col(season).isin(*C.SEASON_MID_MONTH.keys()), F.lit(m[2]))
-            .when(~F.col(stage).between(0, C.MAX_STAGE), F.lit(m[3]))
-            .when(~F.col(household).isin(*C.HOUSEHOLDS), F.lit(m[4])))
+
+    def fails(ok: Column) -> Column:
+        return ~F.coalesce(ok, F.lit(False))
+    return (F.when(fails(F.col(hour).between(0, 23)), F.lit(m[0]))
+            .when(fails(F.col(day_type).isin(*C.DAY_TYPES)), F.lit(m[1]))
+            .when(fails(F.col(season).isin(*C.SEASON_MID_MONTH.keys())), F.lit(m[2]))
+            .when(fails(F.col(stage).between(0, C.MAX_STAGE)), F.lit(m[3]))
+            .when(fails(F.col(household).isin(*C.HOUSEHOLDS)), F.lit(m[4])))
 
 
 def validate_requests(parsed: DataFrame) -> DataFrame:
-    """Add ``error`` (null when valid) and ``is_valid``; malformed JSON is rejected first."""
-    err = F.when(F.col("malformed"), F.lit("Invalid JSON in request body")).otherwise(validation_error())
-    return parsed.withColumn("error", err).withColumn("is_valid", F.col("error").isNull())
+    """Add ``error`` (null when valid) and ``is_valid``; malformed JSON goes first, then unreadable fields, then the rules."""
+    err = F.when(F.col("malformed"), F.lit(INVALID_JSON)) \
+        .when(F.col("unreadable").isNotNull(), F.concat(F.col("unreadable"), F.lit(" cannot be read"))) \
+        .otherwise(validation_error())
+    return _once(parsed, error=err).withColumn("is_valid", F.col("error").isNull())
 
 
 def request_features(valid: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ def sample_fixed_n(df: DataFrame, n: int, seed: int = C.SEED, key: str = "readin
     Rows are ranked by a seeded hash of their key and the ``n`` smallest kept:
     a top-k (each task keeps its own ``n`` best, then one merge), not a full sort.
     """
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(n)
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), F.col(key)).limit(n)
 
 
 def train_test_split(df: DataFrame, key: str = "reading_id", buckets: int = C.TEST_FRACTION_BUCKETS) -> DataFrame:

@@ -8,6 +8,7 @@ DataFrames (and fitted models); nothing is collected.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,9 +25,11 @@ def train_and_evaluate(readings: DataFrame, model_dir: str | None = None, forest
 
     Returns ``(models, comparison)``; ``models`` maps linear / forest / boosted
     to fitted pipelines (saved under ``model_dir`` when given) and
-    ``comparison`` is the one-row-per-model evaluation table.
+    ``comparison`` is the one-row-per-model evaluation table, one scoring pass
+    over the feature rows, which stay persisted on disk until the session ends
+    or ``spark.catalog.clearCache()``.
     """
-    feats = train_test_split(with_features(readings))
+    feats = train_test_split(with_features(readings)).persist(StorageLevel.DISK_ONLY)  # one neighbour shuffle for all fits
     train, test = feats.where(F.col("split") == "train"), feats.where(F.col("split") == "test")
     pipes = {"linear": training.linear_pipeline(),
              "forest": training.forest_pipeline(**(forest_params or {})),
@@ -35,9 +38,7 @@ def train_and_evaluate(readings: DataFrame, model_dir: str | None = None, forest
     if model_dir:
         for k, m in models.items():
             training.save(m, f"{model_dir.rstrip('/')}/{k}")
-    comparison = training.compare([training.evaluate_split(models[k], feats, training.MODEL_NAMES[k])
-                                   for k in ("linear", "forest", "boosted")])
-    return models, comparison
+    return models, training.compare(models, feats)
 
 
 def dashboard_views(readings: DataFrame, **slicer) -> dict[str, DataFrame]:

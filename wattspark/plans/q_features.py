@@ -68,24 +68,32 @@ def q_train_test_split(spark, sf):
     return train_test_split(orders(spark, sf)).select("reading_id", "split")
 
 
-_REQ = """q AS (
-  SELECT event_id AS request_id,
+REQUEST_CTES = """k AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events),
+p AS (
+  SELECT event_id AS request_id, k, k NOT BETWEEN 10 AND 21 AS plain,
          CAST(hour(ts) AS INTEGER) AS hour,
          CASE WHEN isodow(ts) >= 6 THEN 'weekend' ELSE 'weekday' END AS day_type,
-         CASE WHEN CAST(json_extract_string(props, '$.k') AS INTEGER) % 10 = 3 THEN 'Summer'
-              WHEN CAST(json_extract_string(props, '$.k') AS INTEGER) = 99 THEN 'Monsoon'
-              WHEN CAST(json_extract_string(props, '$.k') AS INTEGER) % 4 = 0 THEN 'Winter'
-              WHEN CAST(json_extract_string(props, '$.k') AS INTEGER) % 4 = 1 THEN 'Summer'
-              WHEN CAST(json_extract_string(props, '$.k') AS INTEGER) % 4 = 2 THEN 'Spring' ELSE 'Autumn' END AS season,
-         CAST(CAST(json_extract_string(props, '$.k') AS INTEGER) % 8 AS INTEGER) AS load_shedding_stage,
+         CASE WHEN k % 10 = 3 THEN 'Summer' WHEN k = 99 THEN 'Monsoon' WHEN k % 4 = 0 THEN 'Winter'
+              WHEN k % 4 = 1 THEN 'Summer' WHEN k % 4 = 2 THEN 'Spring' ELSE 'Autumn' END AS season,
+         CAST(k % 8 AS INTEGER) AS load_shedding_stage,
          user_id % 2 = 1 AS has_backup_power,
-         CASE WHEN CAST(json_extract_string(props, '$.k') AS INTEGER) % 10 = 7 THEN 'House_1'
-              ELSE 'House_' || CAST(user_id % 6 + 1 AS VARCHAR) END AS household_id
-  FROM events)"""
-
-_VALIDATION = """CASE WHEN NOT hour BETWEEN 0 AND 23 THEN 'hour must be 0-23'
+         CASE WHEN k % 10 = 7 THEN 'House_1' ELSE 'House_' || CAST(user_id % 6 + 1 AS VARCHAR) END AS household_id
+  FROM k),
+q AS (
+  SELECT request_id, k,
+         CASE WHEN plain THEN hour WHEN k IN (10, 12) THEN 18 WHEN k IN (11, 17) THEN NULL ELSE 12 END AS hour,
+         CASE WHEN plain THEN day_type ELSE 'weekday' END AS day_type,
+         CASE WHEN plain THEN season WHEN k = 19 THEN NULL ELSE 'Summer' END AS season,
+         CASE WHEN plain THEN load_shedding_stage WHEN k = 13 THEN 5 WHEN k = 14 THEN 1000000 ELSE 0 END AS load_shedding_stage,
+         CASE WHEN plain THEN has_backup_power ELSE k IN (15, 16) END AS has_backup_power,
+         CASE WHEN plain THEN household_id ELSE 'House_1' END AS household_id
+  FROM p)"""
+
+VALIDATION = """CASE WHEN k IN (20, 21) THEN 'Invalid JSON in request body'
+            WHEN k IN (11, 17) THEN 'hour cannot be read'
+            WHEN NOT hour BETWEEN 0 AND 23 THEN 'hour must be 0-23'
             WHEN day_type NOT IN ('weekday', 'weekend') THEN 'day_type must be ''weekday'' or ''weekend'''
-            WHEN season NOT IN ('Winter', 'Summer', 'Spring', 'Autumn')
+            WHEN season IS NULL OR season NOT IN ('Winter', 'Summer', 'Spring', 'Autumn')
               THEN 'season must be Winter, Summer, Spring, or Autumn'
             WHEN NOT load_shedding_stage BETWEEN 0 AND 6 THEN 'load_shedding_stage must be 0-6'
             WHEN household_id NOT IN ('House_1', 'House_2', 'House_3', 'House_4', 'House_5')
@@ -96,20 +104,20 @@ def _requests(spark, sf):
     return validate_requests(parse_requests(requests_from_events(spark, sf)))
 
 
-@register("parse_requests", with_ctes(_REQ, body="""
+@register("parse_requests", with_ctes(REQUEST_CTES, body="""
 SELECT request_id, hour, day_type, season, load_shedding_stage, has_backup_power, household_id FROM q"""))
 def q_parse_requests(spark, sf):
     return parse_requests(requests_from_events(spark, sf)).select(
         "request_id", "hour", "day_type", "season", "load_shedding_stage", "has_backup_power", "household_id")
 
 
-@register("validate_requests", with_ctes(_REQ, body=f"""
-SELECT request_id, {_VALIDATION} AS error, ({_VALIDATION}) IS NULL AS is_valid FROM q"""))
+@register("validate_requests", with_ctes(REQUEST_CTES, body=f"""
+SELECT request_id, {VALIDATION} AS error, ({VALIDATION}) IS NULL AS is_valid FROM q"""))
 def q_validate_requests(spark, sf):
     return _requests(spark, sf).select("request_id", "error", "is_valid")
 
 
-@register("request_features", with_ctes(_REQ, body=f"""
+@register("request_features", with_ctes(REQUEST_CTES, body=f"""
 SELECT request_id, hour,
        CASE WHEN day_type <> 'weekday' THEN 5 ELSE 0 END AS day_of_week,
        CAST(day_type <> 'weekday' AS INTEGER) AS is_weekend,
@@ -128,7 +136,7 @@ SELECT request_id, hour,
        CAST(household_id = 'House_3' AS INTEGER) AS household_House_3,
        CAST(household_id = 'House_4' AS INTEGER) AS household_House_4,
        CAST(household_id = 'House_5' AS INTEGER) AS household_House_5
-FROM q WHERE ({_VALIDATION}) IS NULL"""))
+FROM q WHERE ({VALIDATION}) IS NULL"""))
 def q_request_features(spark, sf):
     feats = request_features(_requests(spark, sf).where(F.col("is_valid")))
     cols = [c for c in C.FEATURES if c != "has_backup_power"]

@@ -180,7 +180,7 @@ def q_prediction_errors(spark, sf):
 
 
 @register("error_metrics", _xsql(f"""
-SELECT count(*) AS n, {R('sqrt(avg((energy_consumption - predicted) * (energy_consumption - predicted)))')} AS rmse,
+SELECT count(predicted) AS n, count(*) - count(predicted) AS n_unscored, {R('sqrt(avg((energy_consumption - predicted) * (energy_consumption - predicted)))')} AS rmse,
        {R('avg(abs(energy_consumption - predicted))')} AS mae,
        {R('avg(abs(energy_consumption - predicted) / greatest(energy_consumption, 0.01) * 100.0)')} AS mape,
        {R('1 - sum((energy_consumption - predicted) * (energy_consumption - predicted)) / (var_pop(energy_consumption) * count(*))')} AS r2
@@ -224,10 +224,11 @@ def q_scenario_errors(spark, sf):
 
 
 @register("residual_histogram", _xesql(f"""
-SELECT bin, {R('lo + bin * w')} AS bin_start, {R('lo + (bin + 1) * w')} AS bin_end, count(*) AS count
-FROM (SELECT CAST(least(floor((residual - lo) / w), 49) AS INTEGER) AS bin, lo, w
-      FROM xe, (SELECT min(residual) AS lo, (max(residual) - min(residual)) / 50.0 AS w FROM xe))
-GROUP BY bin, lo, w"""))
+SELECT CAST(k AS INTEGER) AS bin, {R('lo + k * w')} AS bin_start, {R('lo + (k + 1) * w')} AS bin_end, count(bin) AS count
+FROM (SELECT min(residual) AS lo, (max(residual) - min(residual)) / 50.0 AS w FROM xe) CROSS JOIN range(0, 50) AS t(k)
+LEFT JOIN (SELECT least(floor((residual - lo) / w), 49) AS bin
+           FROM xe, (SELECT min(residual) AS lo, (max(residual) - min(residual)) / 50.0 AS w FROM xe)) b ON b.bin = t.k
+GROUP BY k, lo, w"""))
 def q_residual_histogram(spark, sf):
     return errors.residual_histogram(_predicted(spark, sf))
 

@@ -1,8 +1,9 @@
 """Session helpers.
 
 Library code never creates a session on its own: operators take DataFrames.
-``get_session`` is for scripts and tests; ``checkpoint_dir`` reads the shared
-checkpoint folder the cluster names and only sets a scratch one when unset.
+``get_session`` is for scripts and tests and leaves the master and the number
+of shuffle partitions to the cluster unless the caller passes them;
+``checkpoint_dir`` reads the shared checkpoint folder that the cluster names.
 """
 
 from __future__ import annotations
@@ -22,11 +23,14 @@ DEFAULT_CONF = {
 }
 
 
-def get_session(master: str = "local[*]", shuffle_partitions: int = 8, app: str = "wattspark",
+def get_session(master: str | None = None, shuffle_partitions: int | None = None, app: str = "wattspark",
                 extra: dict | None = None) -> SparkSession:
-    builder = SparkSession.builder.master(master).appName(app)
+    builder = SparkSession.builder.appName(app)
+    if master:
+        builder = builder.master(master)
     conf = dict(DEFAULT_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if shuffle_partitions:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
     for key, value in conf.items():
         builder = builder.config(key, value)
@@ -44,24 +48,27 @@ def session_key(spark: SparkSession):
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting a scratch one only when none is configured.
+    """The shared checkpoint folder: ``spark.checkpoint.dir``, or what the context was given.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared, fault-tolerant folder
-    and is used as is. Only when it is unset (local tests) a fresh temporary
-    folder is created and registered.
+    Only a session on one machine (master ``local``) may be without; it gets a
+    scratch folder. On a cluster a local folder would be lost with its machine,
+    so a missing setting is an error there.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     try:
         sc = spark.sparkContext
     except Exception:  # noqa: BLE001 - Connect: the server owns the checkpoint folder
+        sc = None
+    if sc is None:
+        if not configured:
+            raise ValueError("spark.checkpoint.dir names no shared folder")
         return configured
-    if configured:
-        sc.setCheckpointDir(configured)
-        return configured
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    path = tempfile.mkdtemp(prefix="wattspark-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    sc.setCheckpointDir(path)
-    return path
+    if not configured:
+        configured = sc.getCheckpointDir()
+    if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
+        configured = tempfile.mkdtemp(prefix="wattspark-ckpt-")
+        spark.conf.set("spark.checkpoint.dir", configured)
+    sc.setCheckpointDir(configured)
+    return configured

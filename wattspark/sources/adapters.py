@@ -71,16 +71,27 @@ def events_outage_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Bodies whose values have another type than asked, or none; events with k from 10 to 21 send them, by k.
+ODD_BODIES = (
+    '{"hour": "18"}', '{"hour": "abc"}', '{"hour": 18.9}', '{"load_shedding_stage": "5"}', '{"load_shedding_stage": 99999999999}',
+    '{"has_backup_power": "true"}', '{"has_backup_power": 1}', '{"hour": null}', '{"has_backup_power": ""}', '{"season": 3}',
+    '[1, 2]', '{"hour": 7',
+)
+
+
 def requests_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scoring requests as JSON text, one per event (some deliberately invalid).
 
     hour = hour of ts (0..23); day_type from the event weekday; season cycles
     through the four seasons and, for k = 99, an invalid one; stage = k mod 8
     (7 is invalid); backup when user_id is odd; household = user mod 6 + 1
-    (House_6 is invalid). Keys are omitted for some rows to exercise defaults.
+    (House_6 is invalid). Keys are omitted for some rows to exercise defaults,
+    and events with k from 10 to 21 send the odd bodies above.
     """
     e = _table(spark, sf_dir, "events")
-    k = F.get_json_object(F.col("props"), "$.k").cast("int")
+    # a generator: k is read once for each event
+    e = e.select("event_id", "ts", "user_id", F.explode(F.array(F.get_json_object(F.col("props"), "$.k").cast("int"))).alias("k"))
+    k = F.col("k")
     season = (F.when(k == 99, F.lit("Monsoon"))
               .when(k % 4 == 0, F.lit("Winter")).when(k % 4 == 1, F.lit("Summer"))
               .when(k % 4 == 2, F.lit("Spring")).otherwise(F.lit("Autumn")))
@@ -93,8 +104,9 @@ def requests_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 10 == 7, F.lit(None))
         .otherwise(F.concat(F.lit("House_"), (F.col("user_id") % 6 + 1).cast("string"))).alias("household_id"),
     )
+    odd = F.get(F.array(*[F.lit(b) for b in ODD_BODIES]), k - 10)
     # to_json drops null fields, so the request omits those keys and defaults apply.
-    return e.select(F.col("event_id").alias("request_id"), F.to_json(fields).alias("body"))
+    return e.select(F.col("event_id").alias("request_id"), F.coalesce(F.when(k >= 10, odd), F.to_json(fields)).alias("body"))
 
 
 __all__ = ["orders_readings", "events_readings", "events_outage_schedule", "requests_from_events",

@@ -12,19 +12,25 @@ from pyspark.sql import functions as F
 
 from wattspark.operators import rollups
 from wattspark.operators.enrich import enrich
+from wattspark.sources.readings import PARTITION_COLUMNS, READING_COLUMNS
 
 
 def write_readings(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
                    partitioned: bool = True) -> None:
-    """Write readings; with ``partitioned`` the layout is ``year=YYYY/month=M/``."""
-    out = df
-    writer_cols = []
+    """Write the reading columns; with ``partitioned`` the layout is ``part_year=YYYY/part_month=M/``.
+
+    Rows are range-partitioned by time first: a month is written by few tasks
+    (and a hot month by several), so the number of files follows the data and
+    not tasks x months. ``read_readings`` reads either layout back.
+    """
+    year, month = PARTITION_COLUMNS
+    out = df.select(*READING_COLUMNS)
     if partitioned:
-        out = out.withColumns({"year": F.year("timestamp"), "month": F.month("timestamp")})
-        writer_cols = ["year", "month"]
+        out = out.withColumns({year: F.year("timestamp"), month: F.month("timestamp")}) \
+            .repartitionByRange(year, month, "timestamp")
     w = out.write.mode(mode)
-    if writer_cols:
-        w = w.partitionBy(*writer_cols)
+    if partitioned:
+        w = w.partitionBy(year, month)
     if fmt == "csv":
         w.option("header", True).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(path)
     else:
