@@ -53,8 +53,11 @@ def test_trees_learn_noiseless_target(spark, noiseless):
     imp = training.importances(forest, spark).orderBy("rank").collect()
     assert len(imp) == 21 and imp[0].importance >= imp[1].importance
     assert sum(r.importance for r in imp) == pytest.approx(1.0)
-    cmp = training.compare([training.evaluate(forest, train, test, "Random Forest"),
-                            training.evaluate(boosted, train, test, "Gradient Boosting")]).collect()
+    both = train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
+    cmp = training.compare({"forest": forest, "boosted": boosted}, both).collect()
+    assert [x.asDict() for x in cmp] == [
+        {k: pytest.approx(v) if isinstance(v, float) else v for k, v in training.evaluate(m, train, test, n).first().asDict().items()}
+        for m, n in ((forest, "Random Forest"), (boosted, "Gradient Boosting"))]
     assert [r.model for r in cmp] == ["Random Forest", "Gradient Boosting"]
 
 
@@ -126,3 +129,24 @@ def test_pipeline_plans(spark, scratch):
     views = dashboard_views(r, start_date="1996-01-01", end_date="1996-12-31", hour_range=(6, 21))
     assert views["daily_summary"].count() > 0 and views["heatmap_day_hour"].count() == 7
     assert spark.conf.get("spark.checkpoint.dir")
+
+
+def test_request_values_are_coerced_or_rejected(spark):
+    bodies = ['{"hour":"18"}', '{"hour":"abc"}', '{"hour":18.9}', '{"load_shedding_stage":"5"}', '{"load_shedding_stage":99999999999}',
+              '{"has_backup_power":"true"}', '{"has_backup_power":1}', '{"hour":null}', '{"has_backup_power":0}', '{"season":null}',
+              '{"hour":-1}', '{"hour":" 7 "}', '{"day_type":5}', '[]', 'nope', '{}', None, '{"has_backup_power":[]}', '{"hour":true}']
+    out = validate_requests(parse_requests(_requests(spark, bodies)))
+    got = [(r.error, r.hour, r.load_shedding_stage, r.has_backup_power) for r in out.orderBy("request_id").collect()]
+    cannot, stage = "hour cannot be read", "load_shedding_stage must be 0-6"
+    assert [g[0] for g in got] == [None, cannot, None, None, stage, None, None, cannot, None, "season must be Winter, Summer, Spring, or Autumn",
+                                   "hour must be 0-23", None, "day_type cannot be read", "Invalid JSON in request body",
+                                   "Invalid JSON in request body", None, "Invalid JSON in request body", None, None]
+    assert (got[0][1], got[2][1], got[3][2], got[5][3], got[6][3], got[8][3], got[11][1], got[15][1], got[17][3], got[18][1]) == (
+        18, 18, 5, True, True, False, 7, 12, False, 1)
+
+
+def test_a_body_is_decoded_once(spark):
+    from wattspark.sources.adapters import requests_from_events
+    feats = request_features(validate_requests(parse_requests(requests_from_events(spark, "/root/testdata/sf0.001"))).where("is_valid"))
+    plan = feats._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 1 and plan.count("get_json_object") == 1

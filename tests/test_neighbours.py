@@ -42,14 +42,24 @@ def test_household_and_bucket_boundaries(spark):
     assert got == {1: (0, 3), 2: (0, 0), 3: (3, 0), 4: (0, 0), 5: (5, 0)}
 
 
-def test_hourly_bucket(spark):
+def test_hot_day_is_cut_into_parts(spark):
     rows = [(i, "House_1", f"2025-01-01 {i % 24:02d}:{i // 24:02d}", 1, i % 3, False) for i in range(72)]
     df = readings_df(spark, rows)
-    got = neighbour_values(df, "load_shedding_stage", prev_name="p", next_name="n",
-                           bucket=F.date_trunc("hour", F.col("timestamp").cast("timestamp")))
+    got = neighbour_values(df, "load_shedding_stage", prev_name="p", next_name="n", hot_rows=4)
     assert sorted(got.select("reading_id", "p", "n").collect()) == sorted(_reference(df).collect())
 
 
+def test_rows_without_time_or_household_have_no_neighbours(spark):
+    import datetime as dt
+    t = dt.datetime(2025, 1, 1)
+    rows = [(1, "House_1", t, 1.0, 2, False), (2, "House_1", None, 1.0, 3, False), (3, "House_1", t + dt.timedelta(hours=1), 1.0, 4, False),
+            (4, None, t, 1.0, 5, False), (5, None, t, 1.0, 6, False)]
+    df = spark.createDataFrame(rows, "reading_id long, household_id string, timestamp timestamp_ntz, energy_consumption double, "
+                                     "load_shedding_stage int, backup_power boolean")
+    got = neighbour_values(df, "load_shedding_stage", prev_name="p", next_name="n").collect()
+    assert {r.reading_id: (r.p, r.n) for r in got} == {1: (0, 4), 2: (0, 0), 3: (2, 0), 4: (0, 0), 5: (0, 0)}
+
+
 try:
     from hypothesis import HealthCheck, given, settings
     from hypothesis import strategies as st
@@ -75,5 +85,5 @@ if given is not None:
         expected = df.select("reading_id",
                              F.when(F.lag(cell).over(w).isNull(), F.lit(0)).otherwise(F.lag(cell).over(w).v).alias("p"),
                              F.when(F.lead(cell).over(w).isNull(), F.lit(0)).otherwise(F.lead(cell).over(w).v).alias("n"))
-        got = neighbour_values(df, "load_shedding_stage", prev_name="p", next_name="n").select("reading_id", "p", "n")
+        got = neighbour_values(df, "load_shedding_stage", prev_name="p", next_name="n", hot_rows=3).select("reading_id", "p", "n")
         assert sorted(got.collect()) == sorted(expected.collect())

@@ -82,7 +82,7 @@ def test_exact_quantiles_match_numpy_with_hot_group(spark):
     cold = rnd.normal(5, 1, 40)
     data = [("hot", float(v)) for v in hot] + [("cold", float(v)) for v in cold] + [("one", 2.5)]
     df = spark.createDataFrame(data, "g string, v double")
-    got = {r.g: r for r in grouped_quantiles(df, "g", "v", {"q1": 0.25, "med": 0.5, "q3": 0.75}, 16).collect()}
+    got = {r.g: r for r in grouped_quantiles(df, "g", "v", {"q1": 0.25, "med": 0.5, "q3": 0.75}).collect()}
     for name, arr in (("hot", hot), ("cold", cold), ("one", np.array([2.5]))):
         for col, p in (("q1", 25), ("med", 50), ("q3", 75)):
             assert getattr(got[name], col) == pytest.approx(np.percentile(arr, p), rel=1e-12, abs=1e-12)
@@ -114,7 +114,7 @@ def test_quantiles_many_groups_without_broadcast_hint(spark):
     rnd = np.random.default_rng(11)
     data = [(f"g{g}", float(v)) for g in range(40) for v in rnd.gamma(2.0, 1.0, 25 + g)]
     df = spark.createDataFrame(data, "g string, v double")
-    got = {r.g: r.med for r in grouped_quantiles(df, "g", "v", {"med": 0.5}, 7).collect()}
+    got = {r.g: r.med for r in grouped_quantiles(df, "g", "v", {"med": 0.5}).collect()}
     for g in range(40):
         arr = np.array([v for k, v in data if k == f"g{g}"])
         assert got[f"g{g}"] == pytest.approx(np.median(arr), rel=1e-12)
@@ -151,3 +151,38 @@ def test_histogram_and_normal_fit_formulas(spark):
     pdf = np.exp(-0.5 * ((x - res.mean()) / sd) ** 2) / (sd * np.sqrt(2 * np.pi))
     want = pdf * len(res) * (res.max() - res.min()) / 50
     assert np.allclose([r.density for r in fit], want, rtol=1e-9) and np.allclose([r.x for r in fit], x)
+
+
+def test_quantiles_do_not_depend_on_caching_or_reuse(spark):
+    from wattspark.operators.quantiles import grouped_quantiles
+    rows = spark.range(60_000).select((F.col("id") % 3).alias("g"),
+                                      F.when(F.col("id") % 5 < 3, F.lit(0.0)).otherwise((F.hash("id") % 1000) / F.lit(7.0)).alias("v"))
+    probs = {"q1": 0.25, "m": 0.5, "q3": 0.75, "hi": 0.999}
+    want = {r.g: [round(x, 9) for x in r.p] for r in rows.groupBy("g").agg(F.percentile("v", F.array(*[F.lit(p) for p in probs.values()])).alias("p")).collect()}
+    for key in ("spark.sql.exchange.reuse", "spark.sql.adaptive.enabled"):
+        spark.conf.set(key, "false")
+    try:
+        for df in (rows, rows.cache()):
+            got = {r.g: [round(r[n], 9) for n in probs] for r in grouped_quantiles(df, "g", "v", probs).collect()}
+            assert got == want
+    finally:
+        for key in ("spark.sql.exchange.reuse", "spark.sql.adaptive.enabled"):
+            spark.conf.unset(key)
+        rows.unpersist()
+
+
+def test_errors_look_at_scored_readings_only(spark):
+    from wattspark.operators import errors
+    cols = "energy_consumption double, predicted double, timestamp timestamp_ntz"
+    import datetime as dt
+    t = dt.datetime(2025, 1, 1)
+    df = spark.createDataFrame([(1.0, 2.0, t), (3.0, 1.0, t), (2.0, None, t), (None, 5.0, t)], cols)
+    m = errors.error_metrics(df).first()
+    assert (m.n, m.n_unscored, round(m.r2, 9)) == (2, 2, round(1 - 5 / 2, 9))
+    h = [r["count"] for r in errors.residual_histogram(df, 5).orderBy("bin").collect()]
+    assert h == [1, 0, 0, 0, 1]
+    same = spark.createDataFrame([(1.0, 2.0, t), (2.0, 3.0, t)], cols)
+    assert [r["count"] for r in errors.residual_histogram(same, 3).orderBy("bin").collect()] == [2, 0, 0]
+    assert errors.residual_histogram(df.where("predicted is null"), 5).count() == 0
+    b = errors.prediction_bands(df).first()
+    assert (b.actual, b.predicted) == (4.0, 3.0)

@@ -16,3 +16,5 @@ def test_hot_household_is_split_across_tasks():
     assert res["hot_rows"] > res["rows"] / 2
     assert res["plain_max_task_records"] >= res["hot_rows"]            # the plain window: one task per household
     assert res["bucketed_max_task_records"] <= 0.25 * res["hot_rows"]  # bucketed: spread over tasks
+    # half the rows on one household-day, a tenth without a timestamp: below twice the mean task
+    assert res["hot_day_max_task_records"] <= 2 * res["rows"] / res["partitions"]

@@ -26,14 +26,44 @@ def test_csv_roundtrip_and_schema(spark, scratch):
     assert back.agg(F.round(F.sum("energy_consumption"), 6)).first()[0] == a
 
 
-def test_partitioned_parquet_prunes(spark, scratch):
-    r = orders_readings(spark, "/root/testdata/sf0.001").select(*READING_COLUMNS)
+def _plan(df):
+    df.sparkSession.conf.set("spark.sql.maxMetadataStringLength", "4000")
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_written_layout_reads_back_and_prunes(spark, scratch):
+    r = orders_readings(spark, "/root/testdata/sf0.001")
     sinks.write_readings(r, f"{scratch}/pq")
-    assert any(d.startswith("year=") for d in os.listdir(f"{scratch}/pq"))
-    back = spark.read.parquet(f"{scratch}/pq").where("year = 1996 AND month = 3")
-    plan = back._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters" in plan and "year" in plan
-    assert back.count() == r.where((F.year("timestamp") == 1996) & (F.month("timestamp") == 3)).count()
+    assert any(d.startswith("part_year=") for d in os.listdir(f"{scratch}/pq"))
+    n_files = sum(f.endswith(".parquet") for _, _, names in os.walk(f"{scratch}/pq") for f in names)
+    months = r.select(F.date_trunc("month", F.col("timestamp").cast("timestamp"))).distinct().count()
+    assert n_files <= months + 4  # range-partitioned by time: a month is written once, or by two neighbours
+    back = read_readings(spark, f"{scratch}/pq")
+    assert back.columns == [*READING_COLUMNS, "reading_id"]
+    assert sorted(back.select(*READING_COLUMNS).collect()) == sorted(r.select(*READING_COLUMNS).collect())
+    for rollup in (rollups.daily_summary, rollups.seasonal_stats, rollups.household_stats):
+        assert rollup(enrich(back)).count() == rollup(enrich(r)).count()
+    from wattspark.operators.reshape import monthly_cost_by_period
+    assert monthly_cost_by_period(enrich(back)).count() == monthly_cost_by_period(enrich(r)).count()
+    part = read_readings(spark, f"{scratch}/pq", start_date="1996-03-01", end_date="1996-03-31")
+    plan = _plan(part)
+    filters = plan[plan.index("PartitionFilters"):]
+    assert "part_month" in filters[:filters.index("]")] and "GreaterThanOrEqual(timestamp" in plan
+    assert part.count() == r.where((F.year("timestamp") == 1996) & (F.month("timestamp") == 3)).count()
+
+
+def test_reading_ids_do_not_depend_on_splits_and_let_filters_through(spark, scratch):
+    from wattspark.operators.filters import slicer_filter
+    r = orders_readings(spark, "/root/testdata/sf0.01").select(*READING_COLUMNS)
+    r.repartition(3).write.parquet(f"{scratch}/pq")
+    ids = []
+    for size in ("32k", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        ids.append(sorted(x.reading_id for x in read_readings(spark, f"{scratch}/pq").select("reading_id").collect()))
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert ids[0] == ids[1] and len(set(ids[0])) == r.distinct().count()
+    assert "PushedFilters: [IsNotNull(timestamp), GreaterThanOrEqual(timestamp" in _plan(
+        slicer_filter(read_readings(spark, f"{scratch}/pq"), start_date="1996-01-01"))
 
 
 def test_missing_source_is_an_error(spark, scratch):

@@ -1,7 +1,7 @@
 """Measure task skew of the neighbour lookup with one household holding half of all readings.
 
-Runs a plain ``partitionBy(household)`` window and the bucketed lookup in two
-separate Spark applications, each writing its event log to a fresh scratch
+Runs a plain ``partitionBy(household)`` window, the bucketed lookup, and the
+bucketed lookup with half of all readings on one household-*day* in separate Spark applications, each writing its event log to a fresh scratch
 folder, and reports for each the largest number of shuffle records a single
 task reads (``max_task_records``), next to the hot household's row count and
 its number of distinct days (the bucketed lookup's boundary rows are at most
@@ -32,6 +32,16 @@ def _hot_readings(spark, sf_dir):
     return r.withColumn("household_id", hot)
 
 
+def _hot_day(spark, sf_dir):
+    """Half of all readings on one day of one household, and a tenth without a timestamp."""
+    from pyspark.sql import functions as F
+    r = _hot_readings(spark, sf_dir)
+    second = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.col("reading_id") * 7919 % 86400).cast("decimal(18,6)"))
+    t = F.when(F.col("reading_id") % 2 == 0, F.to_timestamp_ntz(F.lit("1996-05-01")) + second) \
+        .when(F.col("reading_id") % 10 != 1, F.col("timestamp"))
+    return r.withColumn("timestamp", t)
+
+
 def _run(mode: str, sf_dir: str) -> tuple[str, dict]:
     from pyspark.sql import SparkSession, Window
     from pyspark.sql import functions as F
@@ -45,7 +55,7 @@ def _run(mode: str, sf_dir: str) -> tuple[str, dict]:
              .config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", log_dir)
              .config("spark.eventLog.compress", "false")
              .getOrCreate())
-    r = _hot_readings(spark, sf_dir)
+    r = (_hot_day if mode == "hot_day" else _hot_readings)(spark, sf_dir)
     stats = r.agg(F.count(F.lit(1)).alias("rows"),
                   F.count_if(F.col("household_id") == "House_1").alias("hot_rows"),
                   F.count_distinct(F.when(F.col("household_id") == "House_1", F.to_date("timestamp")))
@@ -77,9 +87,10 @@ def _max_task_records(log_dir: str) -> int:
 def main():
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
     res = {"partitions": PARTITIONS}
-    for mode in ("plain", "bucketed"):
+    for mode in ("plain", "bucketed", "hot_day"):
         log_dir, stats = _run(mode, sf_dir)
-        res.update(stats)
+        if mode != "hot_day":
+            res.update(stats)
         res[f"{mode}_max_task_records"] = _max_task_records(log_dir)
     print(json.dumps(res))
 
