@@ -150,3 +150,18 @@ def test_a_body_is_decoded_once(spark):
     feats = request_features(validate_requests(parse_requests(requests_from_events(spark, "/root/testdata/sf0.001"))).where("is_valid"))
     plan = feats._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("parseJson") == 1 and plan.count("get_json_object") == 1
+
+
+def test_open_households_are_learned_and_unseen_ones_are_zero(spark):
+    from wattspark.operators.features import open_household_stages
+    from pyspark.ml import Pipeline
+    r = with_features(orders_readings(spark, "/root/testdata/sf0.001"))
+    users = r.withColumn("household_id", F.concat(F.lit("User_"), (F.col("reading_id") % 9).cast("string")))
+    prepared = Pipeline(stages=open_household_stages()).fit(users.where("household_id <> 'User_8'"))
+    rows = prepared.transform(users).select("household_id", "features").collect()
+    fixed = len([f for f in C.FEATURES if not f.startswith("household_")])
+    for row in rows:
+        hot = [i for i, v in enumerate(row.features.toArray()[fixed:]) if v]
+        assert hot == ([] if row.household_id == "User_8" else [int(row.household_id[-1])])
+    model = training.fit(training.linear_pipeline(open_households=True), users)
+    assert model.transform(users).where("predicted is null").count() == 0

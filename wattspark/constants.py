@@ -22,11 +22,8 @@ SEASON_MID_MONTH_DEFAULT = 1
 DAY_NAMES = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
 WEEKEND_DAYS = ("Saturday", "Sunday")
 WEEKDAY_DAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday")
-MONTH_NAMES = ("January", "February", "March", "April", "May", "June", "July", "August",
-               "September", "October", "November", "December")
 
 # Time-of-use periods (dashboard): [6,9) Morning Peak, [9,17) Daytime, [17,21) Evening Peak, else Off-Peak.
-TIME_PERIODS = ("Morning Peak", "Daytime", "Evening Peak", "Off-Peak")
 PEAK_PERIODS = ("Morning Peak", "Evening Peak")
 
 # BI calculated field: 17..21 Evening Peak, 7..10 Morning Peak (inclusive), else Off-Peak.
@@ -81,7 +78,6 @@ FORECAST_DAYS = 7
 # ---------------------------------------------------------------------------
 # FIXED VALUES: error-by-scenario subsets (name, description)
 # ---------------------------------------------------------------------------
-SCENARIOS = ("Normal Hours", "During Outage", "Winter Peak", "Summer Midday", "Weekend", "With Backup")
 WINTER_PEAK_HOURS = (17, 21)
 SUMMER_MIDDAY_HOURS = (11, 14)
 
@@ -178,11 +174,9 @@ EXPLAIN_EVENING = "evening peak time"              # 18 <= hour <= 21
 EXPLAIN_NIGHT = "night (low consumption)"          # 0 <= hour < 5
 EXPLAIN_WINTER = "winter season (higher heating demand)"
 EXPLAIN_SUMMER = "summer season (lower heating, more cooling)"
-EXPLAIN_OUTAGE = "electricity outage (Stage {stage})"
 EXPLAIN_BACKUP = "backup power available during outage"
 EXPLAIN_WEEKEND = "weekend (different consumption pattern)"
 EXPLAIN_DEFAULT = "standard conditions"
-EXPLAIN_TEMPLATE = "{category} consumption expected due to: {reasons}"
 TOP_DRIVERS = 3
 
 # Scenario simulator fixes the weekday to Wednesday and the household to House_1.

@@ -23,17 +23,6 @@ def outage_severity(stage="load_shedding_stage") -> Column:
     return expr  # no otherwise: null outside the bins
 
 
-def severity_order(stage="load_shedding_stage") -> Column:
-    """Ordinal of the severity bin (0..3), null outside."""
-    s = _c(stage)
-    e = C.SEVERITY_EDGES
-    expr = None
-    for i, (lo, hi) in enumerate(zip(e[:-1], e[1:])):
-        cond = (s > lo) & (s <= hi)
-        expr = F.when(cond, F.lit(i)) if expr is None else expr.when(cond, F.lit(i))
-    return expr
-
-
 def is_peak_period(period="time_period") -> Column:
     return _c(period).isin(*C.PEAK_PERIODS)
 

@@ -15,15 +15,19 @@ from pyspark.sql import functions as F
 
 from wattspark import constants as C
 from wattspark.functions import labels as lab
-from wattspark.operators.features import assembler, feature_descriptions
+from wattspark.operators.features import assembler, feature_descriptions, open_household_stages
 from wattspark.session import checkpoint_dir
 
 MODEL_NAMES = {"linear": "Linear Regression", "forest": "Random Forest", "boosted": "Gradient Boosting"}
 
 
-def linear_pipeline() -> Pipeline:
-    """Ordinary least squares on all 21 features (collinear dummies are fine: predictions are unique)."""
-    return Pipeline(stages=[assembler(), LinearRegression(featuresCol="features", labelCol=C.LABEL,
+def linear_pipeline(open_households: bool = False) -> Pipeline:
+    """Ordinary least squares on all features (collinear dummies are fine: predictions are unique).
+
+    ``open_households`` one-hots the households found in the training rows instead of the five known ones.
+    """
+    first = open_household_stages() if open_households else [assembler()]
+    return Pipeline(stages=[*first, LinearRegression(featuresCol="features", labelCol=C.LABEL,
                                                           predictionCol="predicted", regParam=0.0,
                                                           elasticNetParam=0.0, solver="normal")])
 

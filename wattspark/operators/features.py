@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +48,19 @@ def assembler(output: str = "features") -> VectorAssembler:
     return VectorAssembler(inputCols=list(C.FEATURES), outputCol=output, handleInvalid="keep")
 
 
+def open_household_stages(output: str = "features") -> list:
+    """Pipeline stages for an open set of households (P9): index and one-hot whatever the training rows hold.
+
+    The vocabulary is fitted with the model and saved in it, so training and
+    scoring agree; a household that training never saw is all zeros in both.
+    """
+    fixed = [f for f in C.FEATURES if not f.startswith("household_")]
+    index = StringIndexer(inputCol="household_id", outputCol="household_index", handleInvalid="keep", stringOrderType="alphabetAsc")
+    # the last index stands for the unseen: dropping it leaves them all zeros
+    one_hot = OneHotEncoder(inputCol="household_index", outputCol="household_onehot", dropLast=True)
+    return [index, one_hot, VectorAssembler(inputCols=[*fixed, "household_onehot"], outputCol=output, handleInvalid="keep")]
+
+
 def feature_descriptions(spark: SparkSession) -> DataFrame:
     """Feature name -> human-readable description (21 rows, fixed: safe to broadcast)."""
     return spark.createDataFrame(list(C.FEATURE_DESCRIPTIONS), "feature string, description string")

@@ -42,8 +42,9 @@ def slicer_filter(df: DataFrame, **kwargs) -> DataFrame:
 def slicer_with_fallback(df: DataFrame, **kwargs) -> DataFrame:
     """Rows inside the slicer, or every row when the slicer matches nothing (F2).
 
-    One scalar subquery counts the matches; no collect and no second plan on the driver.
+    One probe with the pushed predicate stops at the first match; the plan is
+    then either the sliced one, whose predicate still reaches the scan, or the
+    full one. Neither reads the table twice.
     """
-    pred = slicer_predicate(**kwargs)
-    matched = df.where(pred).select(F.count(F.lit(1))).scalar()
-    return df.where(pred | (matched == 0))
+    sliced = slicer_filter(df, **kwargs)
+    return df if sliced.limit(1).isEmpty() else sliced

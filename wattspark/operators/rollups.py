@@ -164,13 +164,16 @@ def backup_effect(r: DataFrame) -> DataFrame:
     a stage without readings on a side that exists elsewhere stays null.
     """
     b = F.col("backup_power")
-    has_no_backup = r.select(F.count_if(~b) > 0).scalar()
-    has_backup = r.select(F.count_if(b) > 0).scalar()
-    out = (grouped(r, (stage(), "stage"))
-           .agg(F.avg(F.when(~b, kwh())).alias("_no"), F.avg(F.when(b, kwh())).alias("_with")))
-    return (out.select("stage", lab.stage_label("stage", "Normal").alias("label"),
-                       F.when(has_no_backup, F.col("_no")).otherwise(F.lit(0.0)).alias("no_backup_kwh"),
-                       F.when(has_backup, F.col("_with")).otherwise(F.lit(0.0)).alias("with_backup_kwh"))
+    out = (r.groupBy(stage().alias("stage"))
+           .agg(F.avg(F.when(~b, kwh())).alias("no"), F.avg(F.when(b, kwh())).alias("with"),
+                F.count_if(~b).alias("n_no"), F.count_if(b).alias("n_with")))
+    # at most eight rows (the stages and null) become one, which knows whether a side exists at all
+    one = out.agg(F.collect_list(F.struct("stage", "no", "with")).alias("rows"),
+                  (F.sum("n_no") > 0).alias("has_no"), (F.sum("n_with") > 0).alias("has_with"))
+    rows = one.select("has_no", "has_with", F.inline("rows")).where("stage is not null")
+    return (rows.select("stage", lab.stage_label("stage", "Normal").alias("label"),
+                        F.when(F.col("has_no"), F.col("no")).otherwise(F.lit(0.0)).alias("no_backup_kwh"),
+                        F.when(F.col("has_with"), F.col("with")).otherwise(F.lit(0.0)).alias("with_backup_kwh"))
             .orderBy("stage"))
 
 
@@ -248,13 +251,15 @@ def categorize_bi(hourly: DataFrame) -> DataFrame:
     return hourly.withColumn("category", lab.category_bi("avg_kwh"))
 
 
-def bi_measures(daily: DataFrame, hourly: DataFrame) -> DataFrame:
-    """BI measures: mean of daily avg_kwh, and the highest hourly avg_kwh.
+def bi_measures(e: DataFrame) -> DataFrame:
+    """BI measures: mean of the days' mean kWh, and the highest mean of an hour of a day.
 
-    Two one-row aggregates combined as scalar subqueries: no join.
+    Both come from one rollup of sum and count per day and hour: one scan.
     """
-    peak = hourly.select(F.max("avg_kwh")).scalar()
-    return daily.agg(F.avg("avg_kwh").alias("daily_average_kwh")).withColumn("peak_hour_kwh", peak)
+    hourly = grouped(e, "date", "hour").agg(F.sum(kwh()).alias("_s"), F.count(kwh()).alias("_n"))
+    daily = hourly.groupBy("date").agg(F.try_divide(F.sum("_s"), F.sum("_n")).alias("_d"),
+                                       F.max(F.try_divide(F.col("_s"), F.col("_n"))).alias("_p"))
+    return daily.agg(F.avg("_d").alias("daily_average_kwh"), F.max("_p").alias("peak_hour_kwh"))
 
 
 def weekend_vs_weekday_total(hourly: DataFrame) -> DataFrame:

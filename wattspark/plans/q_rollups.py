@@ -9,6 +9,7 @@ from wattspark.operators import filters, reshape, rollups
 from wattspark.operators.enrich import enrich
 from wattspark.operators.quantiles import season_box
 from wattspark.plans.registry import events, orders, orders_enriched, register
+from wattspark.sources.adapters import orders_between
 from wattspark.plans.sql import ENRICH, EVENTS_READINGS, ORDERS_READINGS, R, with_ctes
 
 
@@ -241,7 +242,7 @@ SELECT {R('(SELECT avg(avg_kwh) FROM (SELECT date, avg(energy_consumption) AS av
        {R('(SELECT max(avg_kwh) FROM h)')} AS peak_hour_kwh"""))
 def q_bi_measures(spark, sf):
     e = _orders(spark, sf)
-    return rollups.bi_measures(rollups.daily_extract(e), rollups.hourly_extract(e))
+    return rollups.bi_measures(e)
 
 
 @register("weekend_vs_weekday_total", with_ctes(ORDERS_READINGS, ENRICH, _HOURLY, body=f"""
@@ -310,7 +311,7 @@ SELECT reading_id, "timestamp", {R('energy_consumption')} AS energy_consumption
 WHERE date BETWEEN DATE '1996-03-01' AND DATE '1997-10-31'
   AND day_name IN ('Monday', 'Tuesday', 'Wednesday', 'Thursday', 'Friday') AND hour BETWEEN 6 AND 21"""))
 def q_slicer_filter(spark, sf):
-    r = orders(spark, sf)
+    r = orders_between(spark, sf, _SLICE["start_date"], _SLICE["end_date"])
     return filters.slicer_filter(r, **_SLICE).select("reading_id", "timestamp", "energy_consumption")
 
 
@@ -320,7 +321,8 @@ WHERE date BETWEEN DATE '1996-03-01' AND DATE '1997-10-31'
   AND day_name IN ('Monday', 'Tuesday', 'Wednesday', 'Thursday', 'Friday') AND hour BETWEEN 6 AND 21
 GROUP BY hour"""))
 def q_avg_by_hour_sliced(spark, sf):
-    return rollups.avg_by_hour(filters.slicer_filter(_orders(spark, sf), **_SLICE))
+    r = orders_between(spark, sf, _SLICE["start_date"], _SLICE["end_date"])
+    return rollups.avg_by_hour(enrich(filters.slicer_filter(r, **_SLICE)))
 
 
 @register("slicer_fallback", _osql(f"""
@@ -331,8 +333,8 @@ WHERE (date BETWEEN DATE '1990-01-01' AND DATE '1990-12-31')
    OR (SELECT count(*) FROM e WHERE date BETWEEN DATE '1990-01-01' AND DATE '1990-12-31') = 0
 GROUP BY date"""))
 def q_slicer_fallback(spark, sf):
-    r = orders(spark, sf)
-    sliced = filters.slicer_with_fallback(r, start_date="1990-01-01", end_date="1990-12-31")
+    start, end = "1990-01-01", "1990-12-31"
+    sliced = filters.slicer_with_fallback(orders(spark, sf), start_date=start, end_date=end)
     return rollups.daily_summary(enrich(sliced))
 
 

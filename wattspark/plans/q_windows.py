@@ -8,10 +8,11 @@ from wattspark.functions import labels as lab
 from wattspark.operators import anomaly, errors, outages, trends
 from wattspark.operators.baseline import with_expected_load
 from wattspark.operators.enrich import enrich
-from wattspark.operators.rollups import daily_cost_outage
+from wattspark.operators.rollups import daily_cost_outage, household_stats
 from wattspark.plans.registry import base, events, orders, orders_enriched, register
-from wattspark.plans.sql import ENRICH, EVENTS_READINGS, EXPECTED, NEIGHBOURS, ORDERS_READINGS, R, with_ctes
-from wattspark.sources.adapters import events_outage_schedule
+from wattspark.plans.sql import (ENRICH, EVENTS_BY_USER, EVENTS_READINGS, EXPECTED, NEIGHBOURS, ORDERS_OPEN, ORDERS_READINGS, R,
+                                 with_ctes)
+from wattspark.sources.adapters import events_by_user, events_outage_schedule, orders_open_households
 
 N_OVER_R = NEIGHBOURS.format(src="r")
 
@@ -265,3 +266,74 @@ FROM x"""))
 def q_categorize_fixed(spark, sf):
     e = with_expected_load(orders(spark, sf))
     return e.select("reading_id", "predicted", lab.category_fixed("predicted").alias("category"))
+
+
+# --- open household sets: every user a household; households without a profile -----------------
+@register("user_outage_flags", with_ctes(EVENTS_BY_USER, N_OVER_R, body="""
+SELECT reading_id, household_id, CAST(load_shedding_stage > 0 AS INTEGER) AS is_outage,
+       CAST(load_shedding_stage = 0 AND next_stage > 0 AS INTEGER) AS before_outage,
+       CAST(load_shedding_stage = 0 AND prev_stage > 0 AS INTEGER) AS after_outage
+FROM n"""))
+def q_user_outage_flags(spark, sf):
+    f = outages.with_outage_flags(events_by_user(spark, sf))
+    return f.select("reading_id", "household_id", "is_outage", "before_outage", "after_outage")
+
+
+@register("user_stats", with_ctes(EVENTS_BY_USER, body=f"""
+SELECT household_id, {R('avg(energy_consumption)')} AS mean_kwh, {R('stddev_samp(energy_consumption)')} AS std_kwh,
+       {R('min(energy_consumption)')} AS min_kwh, {R('max(energy_consumption)')} AS max_kwh,
+       arg_min(backup_power, ("timestamp", reading_id)) AS backup_power
+FROM r GROUP BY household_id"""))
+def q_user_stats(spark, sf):
+    return household_stats(events_by_user(spark, sf))
+
+
+def _open_sql(body: str) -> str:
+    """Over readings of which some have no prediction; ``x`` and ``xe`` are the scored ones."""
+    return with_ctes(ORDERS_OPEN, N_OVER_R, EXPECTED.replace("x AS (", "x0 AS (", 1),
+                     "x AS (SELECT * FROM x0 WHERE predicted IS NOT NULL)", _XE, body=body)
+
+
+def _predicted_open(spark, sf):
+    return base(spark, sf, "open+expected", lambda: enrich(with_expected_load(orders_open_households(spark, sf))))
+
+
+@register("error_metrics_open", _open_sql(f"""
+SELECT count(*) AS n, (SELECT count(*) FROM x0) - count(*) AS n_unscored, {R('sqrt(avg(residual * residual))')} AS rmse,
+       {R('avg(abs(residual))')} AS mae, {R('avg(abs(residual) / greatest(energy_consumption, 0.01) * 100.0)')} AS mape,
+       {R('1 - sum(residual * residual) / (var_pop(energy_consumption) * count(*))')} AS r2
+FROM xe"""))
+def q_error_metrics_open(spark, sf):
+    return errors.error_metrics(_predicted_open(spark, sf))
+
+
+@register("prediction_bands_open", _open_sql(f"""
+SELECT date, {R('a')} AS actual, {R('p')} AS predicted, {R('m')} AS residual_mean, {R('s')} AS residual_std,
+       {R('p + 1.96 * sqrt(24) * s')} AS upper, {R('p - 1.96 * sqrt(24) * s')} AS lower
+FROM (SELECT CAST("timestamp" AS DATE) AS date, sum(energy_consumption) AS a, sum(predicted) AS p,
+             avg(residual) AS m, stddev_samp(residual) AS s FROM xe GROUP BY 1)"""))
+def q_prediction_bands_open(spark, sf):
+    return errors.prediction_bands(_predicted_open(spark, sf))
+
+
+@register("residual_histogram_open", _open_sql(f"""
+SELECT CAST(k AS INTEGER) AS bin, {R('lo + k * w')} AS bin_start, {R('lo + (k + 1) * w')} AS bin_end, count(bin) AS count
+FROM (SELECT min(residual) AS lo, (max(residual) - min(residual)) / 50.0 AS w FROM xe) CROSS JOIN range(0, 50) AS t(k)
+LEFT JOIN (SELECT least(floor((residual - lo) / w), 49) AS bin
+           FROM xe, (SELECT min(residual) AS lo, (max(residual) - min(residual)) / 50.0 AS w FROM xe)) b ON b.bin = t.k
+GROUP BY k, lo, w"""))
+def q_residual_histogram_open(spark, sf):
+    return errors.residual_histogram(_predicted_open(spark, sf))
+
+
+@register("scenario_errors_open", _open_sql(f"""
+SELECT scenario, {R('sqrt(avg(residual * residual))')} AS rmse, {R('avg(abs(residual))')} AS mae, count(*) AS n
+FROM (SELECT 'Normal Hours' AS scenario, residual FROM xe WHERE load_shedding_stage = 0
+      UNION ALL SELECT 'During Outage', residual FROM xe WHERE load_shedding_stage > 0
+      UNION ALL SELECT 'Winter Peak', residual FROM xe WHERE season = 'Winter' AND hour BETWEEN 17 AND 21
+      UNION ALL SELECT 'Summer Midday', residual FROM xe WHERE season = 'Summer' AND hour BETWEEN 11 AND 14
+      UNION ALL SELECT 'Weekend', residual FROM xe WHERE is_weekend = 1
+      UNION ALL SELECT 'With Backup', residual FROM xe WHERE backup_power)
+GROUP BY scenario"""))
+def q_scenario_errors_open(spark, sf):
+    return errors.scenario_errors(_predicted_open(spark, sf))

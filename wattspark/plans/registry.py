@@ -90,8 +90,3 @@ def orders_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wattspark.sources.adapters import events_readings
     return base(spark, sf_dir, "events", lambda: events_readings(spark, sf_dir))
-
-
-def events_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from wattspark.operators.enrich import enrich
-    return base(spark, sf_dir, "events+enrich", lambda: enrich(events(spark, sf_dir)))

@@ -22,6 +22,9 @@ ORDERS_READINGS = """r AS (
          o_custkey % 5 IN (1, 3) AS backup_power
   FROM orders)"""
 
+# Seven households, two of them without a profile.
+ORDERS_OPEN = ORDERS_READINGS.replace("o_custkey % 5 + 1", "o_custkey % 7 + 1")
+
 EVENTS_READINGS = """r AS (
   SELECT event_id AS reading_id,
          'House_' || CAST(user_id % 5 + 1 AS VARCHAR) AS household_id,
@@ -33,6 +36,9 @@ EVENTS_READINGS = """r AS (
          user_id % 5 IN (1, 3) AS backup_power
   FROM events)"""
 
+# Every user is a household.
+EVENTS_BY_USER = EVENTS_READINGS.replace("'House_' || CAST(user_id % 5 + 1 AS VARCHAR)", "'User_' || CAST(user_id AS VARCHAR)")
+
 SEASON = """CASE WHEN month({t}) IN (6, 7, 8) THEN 'Winter'
      WHEN month({t}) IN (12, 1, 2) THEN 'Summer'
      WHEN month({t}) IN (3, 4, 5) THEN 'Autumn' ELSE 'Spring' END"""

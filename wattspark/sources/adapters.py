@@ -8,7 +8,7 @@ projection: Catalyst prunes the scan to the source columns it needs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattspark.sources.readings import READING_COLUMNS
@@ -18,6 +18,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def orders_between(spark: SparkSession, sf_dir: str, start_date: str, end_date: str) -> DataFrame:
+    """``orders_readings`` that can fall between two days (inclusive): the bounds that the timestamp (date plus less
+    than a day) implies on ``o_orderdate`` are pushed into the scan; the slicer still compares the timestamp itself."""
+    day = F.col("o_orderdate")
+    near = (day > F.to_timestamp_ntz(F.lit(start_date)) - F.expr("INTERVAL 1 DAY")) & (
+        day < F.to_timestamp_ntz(F.lit(end_date)) + F.expr("INTERVAL 1 DAY"))
+    return _orders_readings(_table(spark, sf_dir, "orders").where(near))
+
+
 def orders_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One reading per order.
 
@@ -26,10 +35,18 @@ def orders_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     averages never end exactly on a rounding tie), urgent orders are outages of stage (key mod 6)+1,
     households 2 and 4 have backup power.
     """
-    o = _table(spark, sf_dir, "orders")
+    return _orders_readings(_table(spark, sf_dir, "orders"))
+
+
+def orders_open_households(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``orders_readings`` over seven households, two of which (House_6, House_7) have no profile."""
+    return _orders_readings(_table(spark, sf_dir, "orders"), households=7)
+
+
+def _orders_readings(o: DataFrame, households: int = 5) -> DataFrame:
     return o.select(
         F.col("o_orderkey").alias("reading_id"),
-        F.concat(F.lit("House_"), (F.col("o_custkey") % 5 + 1).cast("string")).alias("household_id"),
+        F.concat(F.lit("House_"), (F.col("o_custkey") % households + 1).cast("string")).alias("household_id"),
         (F.col("o_orderdate") + F.make_dt_interval(F.lit(0), (F.col("o_orderkey") % 24).cast("int")))
         .alias("timestamp"),
         (F.col("o_totalprice") / F.lit(249989.0)).alias("energy_consumption"),
@@ -40,12 +57,22 @@ def orders_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def events_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One reading per event: kWh = value / 25, error events are outages of stage (k mod 6)+1."""
+    """One reading per event: kWh = value / 25, error events are outages of stage (k mod 6)+1; five households."""
+    household = F.concat(F.lit("House_"), (F.col("user_id") % 5 + 1).cast("string"))
+    return _events_readings(spark, sf_dir, household)
+
+
+def events_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events_readings`` with every user as a household of its own (an open set of households)."""
+    return _events_readings(spark, sf_dir, F.concat(F.lit("User_"), F.col("user_id").cast("string")))
+
+
+def _events_readings(spark: SparkSession, sf_dir: str, household: Column) -> DataFrame:
     e = _table(spark, sf_dir, "events")
     k = F.get_json_object(F.col("props"), "$.k").cast("int")
     return e.select(
         F.col("event_id").alias("reading_id"),
-        F.concat(F.lit("House_"), (F.col("user_id") % 5 + 1).cast("string")).alias("household_id"),
+        household.alias("household_id"),
         F.col("ts").alias("timestamp"),
         (F.col("value") / F.lit(25.0)).alias("energy_consumption"),
         F.when(F.col("event_type") == "error", (k % 6 + 1).cast("int")).otherwise(F.lit(0))
