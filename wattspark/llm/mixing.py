@@ -68,11 +68,9 @@ def source_rates(documents: DataFrame, weights: DataFrame | None = None) -> Data
         w = weights.select(F.col("source").alias("w_src"), F.col("weight").cast("long").alias("weight"))
         units = units.join(w, F.col("src").eqNullSafe(F.col("w_src"))).drop("w_src")
     units = stage_table(units, "mix-units")
-    total = units.agg(F.sum("units").alias("all_units"), F.sum("weight").alias("all_weight"))
-    # one row of totals
-    rate = F.col("weight").cast("double") * F.col("all_units").cast("double") / (
-        F.col("all_weight").cast("double") * F.col("units").cast("double"))
-    return units.join(F.broadcast(total)).select("src", F.coalesce(rate, F.lit(0.0)).alias("rate"))
+    all_units, all_weight = (units.select(F.sum(c)).scalar().cast("double") for c in ("units", "weight"))
+    rate = F.col("weight").cast("double") * all_units / (all_weight * F.col("units").cast("double"))
+    return units.select("src", F.coalesce(rate, F.lit(0.0)).alias("rate"))
 
 
 def mix(documents: DataFrame, weights: DataFrame | None = None, seed: str = SEED) -> DataFrame:

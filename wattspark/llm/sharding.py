@@ -102,7 +102,7 @@ def shard(documents: DataFrame, shards: int = 40, carry: list[str] | None = None
     """
     carry = documents.columns if carry is None else carry
     rows = measured(documents, carry)
-    if len(carry) == 1:  # no texts carried: small rows, kept once
+    if "text" not in carry:  # small rows, kept once
         rows = stage_table(rows, "shard-rows")
     dealt, placed = place(rows, shards)
     mine = dealt.join(stage_table(placed, "shard-places"), ["gkey", "part"])
