@@ -9,7 +9,7 @@ from wattspark.operators import anomaly, errors, outages, trends
 from wattspark.operators.baseline import with_expected_load
 from wattspark.operators.enrich import enrich
 from wattspark.operators.rollups import daily_cost_outage, household_stats
-from wattspark.plans.registry import base, events, orders, orders_enriched, register
+from wattspark.plans.registry import events, orders, orders_enriched, register
 from wattspark.plans.sql import (ENRICH, EVENTS_BY_USER, EVENTS_READINGS, EXPECTED, NEIGHBOURS, ORDERS_OPEN, ORDERS_READINGS, R,
                                  with_ctes)
 from wattspark.sources.adapters import events_by_user, events_outage_schedule, orders_open_households
@@ -156,7 +156,7 @@ def q_outage_overlay(spark, sf):
 
 # --- errors against the expected load (P16, P18, P19, A21-A25, J5) -----------------------------
 def _predicted(spark, sf):
-    return base(spark, sf, "orders+expected", lambda: enrich(with_expected_load(orders(spark, sf))))
+    return enrich(with_expected_load(orders(spark, sf)))
 
 
 _XE = f"""xe AS (
@@ -295,7 +295,7 @@ def _open_sql(body: str) -> str:
 
 
 def _predicted_open(spark, sf):
-    return base(spark, sf, "open+expected", lambda: enrich(with_expected_load(orders_open_households(spark, sf))))
+    return enrich(with_expected_load(orders_open_households(spark, sf)))
 
 
 @register("error_metrics_open", _open_sql(f"""

@@ -14,8 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wattspark.session import session_key
-
 
 @dataclass(frozen=True)
 class Query:
@@ -26,19 +24,6 @@ class Query:
 
 
 REGISTRY: dict[str, Query] = {}
-_BASES: dict = {}
-
-
-def base(spark: SparkSession, sf_dir: str, kind: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """Build a base plan (scan + adapter + enrichment) once per session and data folder.
-
-    A DataFrame is an immutable lazy plan, so queries can share it; this saves
-    the file listing and the analysis of the shared prefix on every query.
-    """
-    key = (session_key(spark), sf_dir, kind)
-    if key not in _BASES:
-        _BASES[key] = make()
-    return _BASES[key]
 
 
 def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -79,14 +64,14 @@ def _load() -> None:
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wattspark.sources.adapters import orders_readings
-    return base(spark, sf_dir, "orders", lambda: orders_readings(spark, sf_dir))
+    return orders_readings(spark, sf_dir)
 
 
 def orders_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wattspark.operators.enrich import enrich
-    return base(spark, sf_dir, "orders+enrich", lambda: enrich(orders(spark, sf_dir)))
+    return enrich(orders(spark, sf_dir))
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wattspark.sources.adapters import events_readings
-    return base(spark, sf_dir, "events", lambda: events_readings(spark, sf_dir))
+    return events_readings(spark, sf_dir)
