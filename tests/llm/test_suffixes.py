@@ -3,7 +3,7 @@ import hashlib
 import numpy as np
 import pytest
 
-from wattspark.llm import blocks, suffixes
+from wattspark.llm import suffixes
 
 
 def brute(rows, length):
@@ -48,7 +48,7 @@ def corpus(seed=4):
 
 @pytest.mark.parametrize("length,block_bytes", [(400, 4 << 20), (400, 5000), (40, 3000), (9, 9000)])
 def test_same_as_brute_force(spark, monkeypatch, length, block_bytes):
-    monkeypatch.setattr(blocks.pack, "__defaults__", (block_bytes,))
+    monkeypatch.setattr(suffixes, "BLOCK_BYTES", block_bytes)
     rows = corpus()
     df = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, n_spans int")
     got = suffixes.drop_repeats(df, length).collect()

@@ -40,9 +40,10 @@ from wattspark.llm.shared import stage_table
 from wattspark.llm.word_windows import BASES, window_hashes
 
 ANCHOR = 32
+BLOCK_BYTES = 2 << 20
 #: Symbols are bytes plus one, the end of a segment is zero; so many are compared at once.
 _BITS, _AT_ONCE = 9, 7
-_PLACE_BITS = np.uint64(28)
+_PLACE_BITS, _PIECE = np.uint64(20), 1 << 18
 
 
 # --- two-stage suffix sorting -------------------------------------------------
@@ -63,16 +64,41 @@ def smaller_than_next(x: np.ndarray) -> np.ndarray:
     return np.repeat(rising[ends], np.diff(np.concatenate(([-1], ends))))
 
 
+def agree(pairs: np.ndarray, order: np.ndarray, keys: np.ndarray, at: int, depth: int) -> np.ndarray:
+    """Those of ``pairs`` (i stands for order[i] and order[i + 1]) whose symbols from ``at`` to ``depth`` are equal."""
+    for k in range(at, depth, _AT_ONCE):
+        if not len(pairs):
+            break
+        k = max(0, min(k, depth - _AT_ONCE))  # the last look goes back to end at the depth
+        last = len(keys) - 1
+        pairs = pairs[keys[np.minimum(order[pairs] + k, last)] == keys[np.minimum(order[pairs + 1] + k, last)]]
+    return pairs
+
+
 def sort_directly(pos: np.ndarray, keys: np.ndarray, depth: int) -> np.ndarray:
-    """Positions in the order of their first ``depth`` symbols; only ties are looked at again."""
+    """Positions in the order of their first ``depth`` symbols.
+
+    Only ties are looked at again; now and then groups of ties that agree to
+    the full depth are found by comparing neighbours, and left as they are.
+    """
     order = pos[np.argsort(keys[pos], kind="stable")]
     k = keys[order]
     same = k[1:] == k[:-1]
-    for at in range(_AT_ONCE, depth, _AT_ONCE):
+    for round_, at in enumerate(range(_AT_ONCE, depth, _AT_ONCE), 1):
         if not same.any():
             break
+        if round_ & (round_ - 1) == 0:  # after 1, 2, 4, 8 ... rounds
+            tied = np.flatnonzero(same)
+            group = np.cumsum(np.concatenate(([True], ~same)))
+            differs = same.copy()
+            differs[agree(tied, order, keys, at, depth)] = False
+            open_ = np.zeros(group[-1] + 1, bool)
+            open_[group[np.flatnonzero(differs)]] = True
+            same &= open_[group[:-1]]
         tied = np.concatenate((same, [False])) | np.concatenate(([False], same))
         where = np.flatnonzero(tied)
+        if not len(where):
+            break
         group = np.cumsum(np.concatenate(([True], ~same)))[where]
         own = order[where]
         ahead = keys[np.minimum(own + at, len(keys) - 1)]
@@ -141,12 +167,13 @@ def suffix_order(x: np.ndarray, starts: np.ndarray, depth: int, keys: np.ndarray
 def shared_prefix(order: np.ndarray, keys: np.ndarray, x: np.ndarray, depth: int) -> np.ndarray:
     """Whether each suffix in order has its first ``depth`` symbols in common with the one before it."""
     same = np.zeros(len(order), bool)
-    left = np.arange(1, len(order))
-    for at in range(0, depth - _AT_ONCE + 1, _AT_ONCE):
-        left = left[keys[order[left] + at] == keys[order[left - 1] + at]]
-    for at in range(depth - depth % _AT_ONCE, depth):
-        left = left[x[order[left] + at] == x[order[left - 1] + at]]
-    same[left] = True
+    pairs = np.arange(len(order) - 1)
+    if depth >= _AT_ONCE:
+        pairs = agree(pairs, order, keys, 0, depth)
+    else:
+        for at in range(depth):
+            pairs = pairs[x[order[pairs] + at] == x[order[pairs + 1] + at]]
+    same[pairs + 1] = True
     return same
 
 
@@ -188,28 +215,42 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 class _Block:
-    """The bytes of a block and its segments: first and last start, and the anchor's hash."""
+    """The bytes of a block and its segments: first and last start, and the anchor's hash. Worked off in pieces of ``_PIECE`` starts."""
 
     def __init__(self, row: dict, length: int):
         sizes = np.frombuffer(row["sizes"], np.int64)
         self.raw = zstandard.decompress(row["raw"])
         self.ends = np.cumsum(sizes)
         self.begins = self.ends - sizes
-        gram = min(ANCHOR, length)
-        h = window_hashes(_BYTE[np.frombuffer(self.raw, np.uint8)], gram, BASES[0])
-        ranked = (h & ~((np.uint64(1) << _PLACE_BITS) - np.uint64(1))) | (np.arange(len(h), dtype=np.uint64) & ((np.uint64(1) << _PLACE_BITS) - np.uint64(1)))
-        least = sliding_least(ranked, length - gram + 1)
-        text = np.repeat(np.arange(len(sizes)), sizes)[:len(least)]
-        starts = np.flatnonzero(np.arange(len(least)) + length <= self.ends[text]) if len(least) else np.empty(0, np.int64)
-        least, text = least[starts], text[starts]
-        new = np.concatenate(([True], (least[1:] != least[:-1]) | (text[1:] != text[:-1]))) if len(starts) else np.empty(0, bool)
-        self.first = starts[new]
-        self.last = starts[np.append(np.flatnonzero(new)[1:], len(starts)) - 1] if len(starts) else starts
-        anchor = (least[new] & ((np.uint64(1) << _PLACE_BITS) - np.uint64(1))).astype(np.int64)
-        # places beyond the bits wrap round
-        anchor += (self.first - anchor + (1 << 28) - 1) // (1 << 28) * (1 << 28) * (anchor < self.first)
-        self.keys = h[anchor] if len(anchor) else np.empty(0, np.uint64)
         self.length = length
+        found = [np.empty((4, 0), np.int64)]
+        for at in range(0, max(0, len(self.raw) - length + 1), _PIECE):
+            piece = self._segments(at, min(at + _PIECE, len(self.raw) - length + 1))
+            before = found[-1]
+            if before.shape[1] and piece.shape[1] and before[2, -1] == piece[2, 0] and before[1, -1] + 1 == piece[0, 0]:
+                before[1, -1] = piece[1, 0]  # a segment goes on over the end of a piece
+                piece = piece[:, 1:]
+            found += [piece] if piece.shape[1] else []
+        self.first, self.last, _, keys = np.concatenate(found, axis=1)
+        self.keys = keys.view(np.uint64)
+
+    def _segments(self, lo: int, hi: int) -> np.ndarray:
+        """First start, last start, anchor and its hash of the segments of the starts lo to hi."""
+        gram = min(ANCHOR, self.length)
+        h = window_hashes(_BYTE[np.frombuffer(self.raw, np.uint8, hi - lo + self.length - 1, lo)], gram, BASES[0])
+        low = (np.uint64(1) << _PLACE_BITS) - np.uint64(1)
+        # the place in the low bits makes the leftmost of equal hashes the least
+        least = sliding_least((h & ~low) | np.arange(len(h), dtype=np.uint64), self.length - gram + 1)
+        starts = np.arange(lo, hi)
+        text = np.searchsorted(self.ends, starts, side="right")
+        inside = starts + self.length <= self.ends[text]
+        starts, text, anchor = starts[inside], text[inside], (least[inside] & low).astype(np.int64)
+        if not len(starts):
+            return np.empty((4, 0), np.int64)
+        new = np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])))
+        last = np.append(np.flatnonzero(new)[1:], len(starts)) - 1
+        # anchors are the least hashes around: mixed again, their leading bits deal them out evenly
+        return np.stack((starts[new], starts[last], anchor[new] + lo, B.mixed(~h[anchor[new]]).view(np.int64)))
 
     def doubtful(self, answers) -> tuple[list[tuple[int, bytes]], dict[tuple[int, bytes], list[int]]]:
         """Distinct segments whose anchor occurs twice, in order, and the numbers of the segments equal to each."""
@@ -270,7 +311,7 @@ def ask_segments(blocks: DataFrame, length: int, bits: int) -> DataFrame:
 
 def drop_repeats(documents: DataFrame, length: int = 400, texts: bool = False) -> DataFrame:
     """One row per document row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and if asked the kept bytes."""
-    packed = B.pack(documents)
+    packed = B.pack(documents, BLOCK_BYTES)
     bits = B.bucket_bits(packed)
     first = stage_table(B.ask(packed, lambda row: _Block(row, length).keys[:, None], bits, 1), "suffix-anchors")
     known = packed.join(first, "block", "left")
