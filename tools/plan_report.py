@@ -1,4 +1,4 @@
-"""Tabulate the physical plan shape of every registered query (after execution, AQE final plans).
+"""Tabulate the physical plan shape of every registered query on readings (after execution, AQE final plans).
 
 usage: python tools/plan_report.py [sf_dir] > PLANS.md
 """
@@ -48,20 +48,20 @@ def shape(plan: str) -> dict:
 
 def main():
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    import __spark_entry__ as entry
+    from wattspark.plans import registry
     from wattspark.session import get_session
     spark = get_session("local[8]", 8)
     cols = ["shuffles", "gathers", "reused", "bhj", "smj", "nlj", "windows", "global_windows", "subqueries",
             "python", "sort_agg", "columns_read"]
     print("# Physical plan shapes\n")
-    print(f"Final adaptive plans of every registered query at `{sf_dir}` (generated by `tools/plan_report.py`).")
+    print(f"Final adaptive plans of every registered query on readings at `{sf_dir}` (generated by `tools/plan_report.py`).")
     print("shuffles = hash/range exchanges, gathers = exchanges to one partition (final merge of a global")
     print("aggregate or the ordered window over daily rows), reused = reused exchanges/subqueries, bhj/smj/nlj =")
     print("broadcast-hash / sort-merge / nested-loop joins, global_windows = windows without a partition key,")
     print("columns_read = distinct widths (column counts) of the Parquet scans.\n")
     print("| query | " + " | ".join(cols) + " |")
     print("|---|" + "---|" * len(cols))
-    for name, fn in entry.queries().items():
+    for name, fn in registry.queries().items():
         df = fn(spark, sf_dir)
         df.collect()   # executes this DataFrame's own plan, so the AQE final plan is reported
         plan = df._jdf.queryExecution().executedPlan().toString()
