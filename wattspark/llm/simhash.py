@@ -173,9 +173,16 @@ def near_duplicates(documents: DataFrame, shingle: int = 4, distance: int = 4) -
 
 
 def keep_one(documents: DataFrame, **options) -> DataFrame:
-    """``documents`` (all its columns) with one row of each near-duplicate group."""
-    kept = near_duplicates(documents, **options).where("keep").select(
-        F.col("doc_id").alias("__kept_id"), F.col("tkey").alias("__kept_key")).distinct()
-    rows = documents.join(kept, documents["doc_id"].eqNullSafe(F.col("__kept_id"))
-                          & (F.xxhash64(documents["text"]) == F.col("__kept_key")))
-    return rows.dropDuplicates(["__kept_id", "__kept_key"]).select(*[documents[c] for c in documents.columns])
+    """``documents`` (all its columns) with one row of each near-duplicate group.
+
+    Both sides have one key without nulls, so the join and the removal of
+    repeated rows need one exchange of the texts.
+    """
+    def key(doc_id, tkey):
+        return F.concat(F.coalesce(F.concat(F.lit("="), doc_id.cast("string")), F.lit("null")), F.lit(":"), tkey.cast("string"))
+
+    kept = near_duplicates(documents, **options).where("keep").select(key(F.col("doc_id"), F.col("tkey")).alias("k")).distinct()
+    rows = documents.select(F.struct(*[documents[f"`{c}`"] for c in documents.columns]).alias("doc"),
+                            key(documents["doc_id"], F.xxhash64(documents["text"])).alias("k"))
+    one = rows.join(kept, "k", "left_semi").dropDuplicates(["k"])
+    return one.select(*[F.col(f"doc.`{c}`").alias(c) for c in documents.columns])
