@@ -59,3 +59,22 @@ def test_without_labels(spark):
         assert model is None
     assert quality.score(docs, None).first().score == 0.5
     assert quality.score(docs.limit(0), None).count() == 0
+
+
+def test_scores_do_not_depend_on_the_size_of_the_table(spark):
+    """Equal documents, six times as many: the draw takes another class mix, the scores stay."""
+    rng = np.random.default_rng(6)
+    rows, labels, _ = corpus(1600)
+    rows = [(i, t + " JUNK!!" * int(rng.integers(0, 3)), lang, s, n) for i, t, lang, s, n in rows]
+    labels = [(i, int(rng.random() < (0.65 if "JUNK" in rows[i][1] else 0.95))) for i, _ in labels]
+    got = []
+    for times in (1, 6):
+        docs = spark.createDataFrame([(i + 10_000 * k, *r) for k in range(times) for i, *r in rows], SCHEMA)
+        known = spark.createDataFrame([(i + 10_000 * k, q) for k in range(times) for i, q in labels], "doc_id long, quality int")
+        out = quality.score(docs, quality.fit(docs, known, labelled=900)).where("doc_id < 10000").collect()
+        got.append({r.doc_id: (r.score, r.keep) for r in out})
+    few, many = got
+    good = np.mean([q for _, q in labels])
+    assert abs(np.mean([s for s, _ in many.values()]) - good) < 0.08
+    assert abs(np.mean([s for s, _ in few.values()]) - np.mean([s for s, _ in many.values()])) < 0.08
+    assert np.mean([few[i][1] == many[i][1] for i in few]) > 0.9

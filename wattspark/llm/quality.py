@@ -10,7 +10,9 @@ one labels the unlabelled pool, and the documents it is surest of (in the
 proportion of the classes) join the *other* view's training set with that
 label. Then each view is calibrated on labelled rows that no training has
 seen, the calibrated log-odds are combined by a third small regression on the
-same rows, and every document is scored.
+same rows, and every document is scored. The labelled sample is drawn class by
+class; calibration rows are weighted back to the shares of the classes among
+all labels, so a score does not depend on the size of the table.
 
 Training takes bounded samples, chosen by a hash of the doc_id: on average
 ``LABELLED`` rows of each class and ``POOL`` unlabelled rows. Scoring is one
@@ -130,14 +132,15 @@ def margin(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return np.clip(x @ w[:-1] + w[-1], -30, 30)
 
 
-def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+def platt(z: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[float, float]:
     """Slope and offset that turn margins into log-odds (Newton steps with a little shrinkage)."""
     x = np.column_stack([z, np.ones_like(z)])
+    weight = np.ones_like(z) if weight is None else weight
     w = np.array([1.0, 0.0])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (y - p) - 1e-3 * (w - [1.0, 0.0])
-        hess = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
+        grad = x.T @ (weight * (y - p)) - 1e-3 * (w - [1.0, 0.0])
+        hess = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
         w = w + np.clip(np.linalg.solve(hess, grad), -2, 2)
     return float(w[0]), float(w[1])
 
@@ -160,8 +163,11 @@ class Model:
         return tuple(1 / (1 + np.exp(-np.clip(s, -30, 30))) for s in (a, b, both))
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, check: np.ndarray) -> Model | None:
-    """y: 1, 0, or -1 without a label; check: labelled rows that are only used to calibrate."""
+def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, check: np.ndarray, good: float | None = None) -> Model | None:
+    """y: 1, 0, or -1 without a label; check: labelled rows that are only used to calibrate.
+
+    good: share of the good among all labels, where the rows given are drawn class by class; by default that of these rows.
+    """
     learn = (y >= 0) & ~check
     if len(np.unique(y[learn])) < 2 or len(np.unique(y[(y >= 0) & check])) < 2:
         return None
@@ -170,7 +176,7 @@ def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, check: np.ndarra
     own = [np.flatnonzero(learn)] * 2
     given = [y[learn].astype(np.float32)] * 2
     pool = np.flatnonzero(y < 0)
-    good = float(y[learn].mean())
+    good = float(y[y >= 0].mean()) if good is None else good
     models = [None, None]
     for left in range(ROUNDS, -1, -1):
         models = [logistic(v[i], g, m) for v, i, g, m in zip(views, own, given, models)]
@@ -191,15 +197,17 @@ def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, check: np.ndarra
     held = (y >= 0) & check
     target = y[held].astype(float)
     zs = [margin(v[held], m).astype(float) for v, m in zip(views, models)]
-    fits = [platt(z, target) for z in zs]
+    # rows count so that the classes have the shares they have among all labels, and 1 on average
+    weight = np.where(target > 0, good / target.mean(), (1 - good) / (1 - target.mean()))
+    fits = [platt(z, target, weight) for z in zs]
     odds = np.column_stack([f[0] * z + f[1] for f, z in zip(fits, zs)])
     # the joint weights: logistic regression on the calibrated log-odds, shrunk towards their mean
     w = np.array([0.5, 0.5, 0.0])
     x = np.column_stack([np.clip(odds, -8, 8), np.ones(len(odds))])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (target - p) - (w - [0.5, 0.5, 0.0])
-        w = w + np.clip(np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.eye(3), grad), -1, 1)
+        grad = x.T @ (weight * (target - p)) - (w - [0.5, 0.5, 0.0])
+        w = w + np.clip(np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + np.eye(3), grad), -1, 1)
     return Model(models[0], models[1], mean, spread, fits[0], fits[1], w)
 
 
@@ -243,7 +251,7 @@ def fit(documents: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool:
     text = np.frombuffer(b"".join(sample["text"].to_pylist()), np.float16).reshape(sample.num_rows, -1).astype(np.float32)
     meta = np.frombuffer(b"".join(sample["meta"].to_pylist()), np.float32).reshape(sample.num_rows, -1)
     check = sample["key"].to_numpy() // 7 % 4 == 0
-    return co_train(text, meta, sample["y"].to_numpy(), check)
+    return co_train(text, meta, sample["y"].to_numpy(), check, counts[1] / (counts[0] + counts[1]))
 
 
 def score(documents: DataFrame, model: Model | None) -> DataFrame:
