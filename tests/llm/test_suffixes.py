@@ -69,3 +69,29 @@ def test_kept_bytes_and_empty(spark):
     df = spark.createDataFrame([(1, "abcdefX"), (2, "Yabcdef")], "doc_id long, text string")
     assert {r.doc_id: bytes(r.kept) for r in suffixes.drop_repeats(df, 6, texts=True).collect()} == {1: b"X", 2: b"Y"}
     assert suffixes.drop_repeats(df.limit(0)).count() == 0
+
+
+def shared_passage(n=90):
+    """One passage in many texts, each time in other surroundings; some strings over its edges do repeat."""
+    rng = np.random.default_rng(9)
+
+    def text(k):
+        return "".join(rng.choice(list("abcdefgh "), k))
+    passage, sides = text(60), [text(50) for _ in range(5)]
+    return [(i, (text(80) if i % 4 else sides[i % 5]) + passage + (text(80) if i % 3 else sides[i % 5])) for i in range(n)]
+
+
+@pytest.mark.parametrize("block_bytes", [4 << 20, 1500])
+def test_an_anchor_of_many_segments_is_dealt_out(spark, monkeypatch, block_bytes):
+    monkeypatch.setattr(suffixes, "BLOCK_BYTES", block_bytes)
+    monkeypatch.setattr(suffixes, "MANY", 12)
+    rows = shared_passage() + [(None if i is None else 500 + i, t) for i, t in corpus()]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = suffixes.drop_repeats(df, 80).collect()
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute(rows, 80)
+    # 20 leading bits: a range is an anchor
+    packed = suffixes.B.pack(spark.createDataFrame(shared_passage(), "doc_id long, text string"), block_bytes)
+    known = packed.join(suffixes.ask_anchors(packed, 80, 20), "block", "left")
+    sent = suffixes.send_segments(known, 80, 20).selectExpr("range", "length(sizes) / 8 as n").groupBy("range").sum("n").collect()
+    assert sent and max(r[1] for r in sent) <= 12
+    assert suffixes.ask_strings(known, 80, 20).count() > 0

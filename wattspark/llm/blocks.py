@@ -103,10 +103,11 @@ def sorted_keys(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return own[first], number, np.diff(np.append(first, len(keys)))
 
 
-def ask(blocks: DataFrame, keys_of: Callable[..., np.ndarray], bits: int, width: int) -> DataFrame:
+def ask(blocks: DataFrame, keys_of: Callable[..., np.ndarray], bits: int, width: int, many: int | None = None) -> DataFrame:
     """(block, answers): for the sorted distinct keys of each block, packed bits of those that occur twice or more over all.
 
     keys_of takes a row of ``blocks`` as a dict and returns keys, n x ``width`` uint64; the first is dealt by its leading bits.
+    many: if given, answers also have packed bits of the keys that occur more often than that, null where none does.
     """
     shift = np.uint64(64 - bits)
 
@@ -121,29 +122,40 @@ def ask(blocks: DataFrame, keys_of: Callable[..., np.ndarray], bits: int, width:
                 cut = np.append(first, len(keys))
                 slices = [keys[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:])]
                 twice = [np.packbits(counts[i:j] > 1).tobytes() for i, j in zip(cut[:-1], cut[1:])]
+                # how often those that occur twice in the block do
+                often = [c[c > 1].astype(np.uint32).tobytes() if many else None for c in np.split(counts, cut[1:-1])]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ranges, pa.int64()), pa.array([row["block"]] * len(ranges), pa.int64()), pa.array(slices, pa.binary()),
-                     pa.array(twice, pa.binary())], ["range", "block", "slice", "twice"])
+                     pa.array(twice, pa.binary()), pa.array(often, pa.binary())], ["range", "block", "slice", "twice", "often"])
 
     def judge(group: pa.Table) -> pa.Table:
         slices = [np.frombuffer(s, np.uint64).reshape(-1, width) for s in group["slice"].to_pylist()]
         twice = [np.unpackbits(np.frombuffer(t, np.uint8), count=len(s)) for t, s in zip(group["twice"].to_pylist(), slices)]
         keys, number, counts = sorted_keys(np.concatenate(slices))
         again = counts > 1
-        np.logical_or.at(again, number, np.concatenate(twice).astype(bool))
+        twice = np.concatenate(twice).astype(bool)
+        np.logical_or.at(again, number, twice)
         cut = np.cumsum([len(s) for s in slices])[:-1]
         bits_ = [np.packbits(x).tobytes() for x in np.split(again[number], cut)]
+        many_ = [None] * len(slices)
+        if many:
+            times = np.ones(len(number), np.int64)
+            times[twice] = np.frombuffer(b"".join(group["often"].to_pylist()), np.uint32)
+            above = (np.bincount(number, times, len(keys)) > many)[number]
+            many_ = [np.packbits(x).tobytes() if x.any() else None for x in np.split(above, cut)]
         return pa.table({"block": group["block"], "range": group["range"], "n": pa.array([len(s) for s in slices], pa.int32()),
-                         "bits": pa.array(bits_, pa.binary())})
+                         "bits": pa.array(bits_, pa.binary()), "many": pa.array(many_, pa.binary())})
 
-    sent = blocks.mapInArrow(emit, "range long, block long, slice binary, twice binary")
-    found = sent.groupBy("range").applyInArrow(judge, "block long, range long, n int, bits binary")
-    return found.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("range", "n", "bits"))).alias("answers"))
+    sent = blocks.mapInArrow(emit, "range long, block long, slice binary, twice binary, often binary")
+    found = sent.groupBy("range").applyInArrow(judge, "block long, range long, n int, bits binary, many binary")
+    own = ["range", "n", "bits"] + ["many"] * bool(many)
+    return found.groupBy("block").agg(F.array_sort(F.collect_list(F.struct(*own))).alias("answers"))
 
 
-def answered(answers: list[dict] | None) -> np.ndarray:
+def answered(answers: list[dict] | None, name: str = "bits") -> np.ndarray:
     """The answers of one block, one for each of its sorted distinct keys."""
-    parts = [np.unpackbits(np.frombuffer(a["bits"], np.uint8), count=a["n"]).astype(bool) for a in answers or []]
+    parts = [np.unpackbits(np.frombuffer(a[name], np.uint8), count=a["n"]).astype(bool) if a[name] is not None else np.zeros(a["n"], bool)
+             for a in answers or []]
     return np.concatenate(parts) if parts else np.empty(0, bool)
 
 

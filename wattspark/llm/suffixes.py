@@ -15,11 +15,15 @@ A byte goes if a string of ``length`` bytes around it also starts anywhere else.
    one scan over the buckets of first bytes. Neighbours in the array with a
    common prefix of ``length`` or more are the repeated strings; so are all
    starts of a segment that came more than once. The answer is a bit a start.
-3. Blocks turn the starts into covered bytes.
+3. Anchors with more than ``MANY`` segments (a passage of many texts in different
+   surroundings: the strings over its edges are all different, yet their anchor
+   lies in the passage) would fill one task. Their strings are dealt out one by
+   one instead: a 128-bit hash of each string is the key of ``blocks.ask``.
+4. Blocks turn the starts into covered bytes.
 
 A segment is a few hundred bytes, and equal ones are sent once a block and
-sorted once, so copies add nothing to a task. Texts are stored once as
-compressed blocks and never shuffled.
+sorted once, so copies add nothing to a task; other segments of one anchor are
+at most ``MANY``. Texts are stored once as compressed blocks and never shuffled.
 
 Defined cases: a null text is empty; texts shorter than ``length`` lose nothing;
 repeated rows are separate texts, so what is long enough repeats; a null doc_id
@@ -41,6 +45,9 @@ from wattspark.llm.word_windows import BASES, window_hashes
 
 ANCHOR = 32
 BLOCK_BYTES = 2 << 20
+#: Most segments of one anchor that one task sorts.
+MANY = 5_000
+CROWDED = "exists(answers, a -> a.many is not null)"
 #: Symbols are bytes plus one, the end of a segment is zero; so many are compared at once.
 _BITS, _AT_ONCE = 9, 7
 _PLACE_BITS, _PIECE = np.uint64(20), 1 << 18
@@ -252,11 +259,38 @@ class _Block:
         # anchors are the least hashes around: mixed again, their leading bits deal them out evenly
         return np.stack((starts[new], starts[last], anchor[new] + lo, B.mixed(~h[anchor[new]]).view(np.int64)))
 
+    def different(self) -> np.ndarray:
+        """The anchors' hashes, one of each different segment (twice where equal ones of the block are all there is)."""
+        keys, number, counts = B.sorted_keys(self.keys[:, None])
+        seen: dict[tuple[int, bytes], int] = {}
+        left = np.ones(len(number), bool)
+        for i in np.flatnonzero((counts > 2)[number]).tolist() if len(number) else ():
+            own = (int(number[i]), self.raw[self.first[i]:self.last[i] + self.length])
+            seen[own] = seen.get(own, 0) + 1
+            left[i] = seen[own] <= 2
+        return self.keys[left][:, None]
+
+    def crowded(self, answers) -> np.ndarray:
+        """Numbers of the segments whose anchor has too many."""
+        above = B.answered(answers, "many")
+        return np.flatnonzero(above[B.sorted_keys(self.keys[:, None])[1]]) if above.any() else np.empty(0, np.int64)
+
+    def strings(self, segments: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The starts of these segments, and two hashes of the string at each."""
+        starts, keys = [np.empty(0, np.int64)], [np.empty((0, 2), np.uint64)]
+        data = np.frombuffer(self.raw, np.uint8)
+        for i in segments.tolist():
+            values = _BYTE[data[self.first[i]:self.last[i] + self.length]]
+            starts.append(np.arange(self.first[i], self.last[i] + 1))
+            keys.append(np.column_stack([window_hashes(values, self.length, b) for b in BASES]))
+        return np.concatenate(starts), np.concatenate(keys)
+
     def doubtful(self, answers) -> tuple[list[tuple[int, bytes]], dict[tuple[int, bytes], list[int]]]:
-        """Distinct segments whose anchor occurs twice, in order, and the numbers of the segments equal to each."""
+        """Distinct segments whose anchor occurs twice but not too often, in order, and the numbers of the segments equal to each."""
         again = B.answered(answers)
         if not len(again):
             return [], {}
+        again &= ~B.answered(answers, "many")
         _, number, _ = B.sorted_keys(self.keys[:, None])
         found: dict[tuple[int, bytes], list[int]] = {}
         for i in np.flatnonzero(again[number]).tolist():
@@ -264,8 +298,13 @@ class _Block:
         return sorted(found), found
 
 
-def ask_segments(blocks: DataFrame, length: int, bits: int) -> DataFrame:
-    """(block, answers): for the doubtful segments of each block, packed bits of the starts that repeat."""
+def ask_anchors(blocks: DataFrame, length: int, bits: int) -> DataFrame:
+    """(block, answers): which anchors of each block occur twice, and which have more than ``MANY`` different segments."""
+    return B.ask(blocks, lambda row: _Block(row, length).different(), bits, 1, MANY)
+
+
+def send_segments(blocks: DataFrame, length: int, bits: int) -> DataFrame:
+    """(range, block, sizes, twice, raw): the doubtful segments of each block, dealt out by anchor."""
 
     def emit(batches):
         for b in batches:
@@ -282,6 +321,12 @@ def ask_segments(blocks: DataFrame, length: int, bits: int) -> DataFrame:
                          pa.array([zstandard.compress(b"".join(s for _, s in part))], pa.binary())],
                         ["range", "block", "sizes", "twice", "raw"])
 
+    return blocks.mapInArrow(emit, "range long, block long, sizes binary, twice binary, raw binary")
+
+
+def ask_segments(blocks: DataFrame, length: int, bits: int) -> DataFrame:
+    """(block, answers): for the doubtful segments of each block, packed bits of the starts that repeat."""
+
     def judge(group: pa.Table) -> pa.Table:
         number: dict[bytes, int] = {}
         twice: list[bool] = []
@@ -304,19 +349,32 @@ def ask_segments(blocks: DataFrame, length: int, bits: int) -> DataFrame:
         return pa.table({"block": group["block"], "range": group["range"], "n": pa.array([len(o) for o in out], pa.int32()),
                          "bits": pa.array([np.packbits(o).tobytes() for o in out], pa.binary())})
 
-    sent = blocks.mapInArrow(emit, "range long, block long, sizes binary, twice binary, raw binary")
-    found = sent.groupBy("range").applyInArrow(judge, "block long, range long, n int, bits binary")
+    found = send_segments(blocks, length, bits).groupBy("range").applyInArrow(judge, "block long, range long, n int, bits binary")
     return found.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("range", "n", "bits"))).alias("answers"))
 
 
+def ask_strings(blocks: DataFrame, length: int, bits: int) -> DataFrame:
+    """(block, answers): for the different strings of each block's crowded segments, packed bits of those that occur twice."""
+
+    def keys_of(row):
+        block = _Block(row, length)
+        return block.strings(block.crowded(row["answers"]))[1]
+    return B.ask(blocks.where(CROWDED), keys_of, bits, 2)
+
+
 def drop_repeats(documents: DataFrame, length: int = 400, texts: bool = False) -> DataFrame:
     """One row per document row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and if asked the kept bytes."""
     packed = B.pack(documents, BLOCK_BYTES)
     bits = B.bucket_bits(packed)
-    first = stage_table(B.ask(packed, lambda row: _Block(row, length).keys[:, None], bits, 1), "suffix-anchors")
+    first = stage_table(ask_anchors(packed, length, bits), "suffix-anchors")
     known = packed.join(first, "block", "left")
     second = stage_table(ask_segments(known, length, bits), "suffix-segments")
     both = known.join(second.withColumnRenamed("answers", "hits"), "block", "left")
+    if first.where(CROWDED).isEmpty():
+        both = both.withColumn("string_hits", F.lit(None))
+    else:
+        third = stage_table(ask_strings(known, length, min(20, bits + 3)), "suffix-strings")
+        both = both.join(third.withColumnRenamed("answers", "string_hits"), "block", "left")
 
     def cut(batches):
         for b in batches:
@@ -332,6 +390,11 @@ def drop_repeats(documents: DataFrame, length: int = 400, texts: bool = False) -
                     for i in found[segment] if len(own) else ():
                         gone[block.first[i] + own] += 1
                         gone[block.first[i] + own + length] -= 1
+                starts, keys = block.strings(block.crowded(row["answers"]))
+                if len(starts):
+                    own = starts[B.answered(row["string_hits"])[B.sorted_keys(keys)[1]]]
+                    np.add.at(gone, own, 1)
+                    np.add.at(gone, own + length, -1)
                 gone = np.cumsum(gone)[:-1] > 0
                 data = np.frombuffer(block.raw, np.uint8)
                 rows = []
@@ -349,5 +412,5 @@ def drop_repeats(documents: DataFrame, length: int = 400, texts: bool = False) -
     schema = T.StructType([T.StructField("doc_id", packed.schema["ids"].dataType.elementType)] + [
         T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")] + [
         T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.BinaryType())])
-    out = both.select("block", "ids", "sizes", "raw", "answers", "hits").mapInArrow(cut, schema)
+    out = both.select("block", "ids", "sizes", "raw", "answers", "hits", "string_hits").mapInArrow(cut, schema)
     return out if texts else out.drop("kept")
