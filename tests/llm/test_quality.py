@@ -78,3 +78,22 @@ def test_scores_do_not_depend_on_the_size_of_the_table(spark):
     assert abs(np.mean([s for s, _ in many.values()]) - good) < 0.08
     assert abs(np.mean([s for s, _ in few.values()]) - np.mean([s for s, _ in many.values()])) < 0.08
     assert np.mean([few[i][1] == many[i][1] for i in few]) > 0.9
+
+
+def test_the_surest_of_all_unlabelled_rows_are_moved(spark, monkeypatch):
+    """Every unlabelled row is scored in each round, however small ``pool`` is and whatever part is unlabelled."""
+    rows, labels, _ = corpus()
+    seen, picked = {i for i, _ in labels}, []
+    surest = quality._Table.surest
+
+    def watched(self, models, scale, good):
+        out = surest(self, models, scale, good)
+        z = self.vectors.join(self.known, "doc_id", "left_anti").count()
+        picked.append((z, [len(y) for *_, y in out], len(self.taken)))
+        return out
+    monkeypatch.setattr(quality._Table, "surest", watched)
+    quality.fit(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int"), pool=100)
+    n = len(rows) - len(seen)
+    assert len(picked) == quality.ROUNDS and all(z == n for z, *_ in picked)
+    assert sum(picked[0][1]) > 0 and [t for *_, t in picked] == sorted({t for *_, t in picked})
+    assert sum(quality._moved(4_000_000, 0.5)) > 10 * sum(quality._moved(4_000, 0.5))

@@ -6,7 +6,7 @@
   of the page (lines, capitals, digits, marks, distinct words).
 
 Two logistic classifiers start from the labelled sample. In each round either
-one labels the unlabelled pool, and the documents it is surest of (in the
+one scores all unlabelled documents, and those of them it is surest of (in the
 proportion of the classes) join the *other* view's training set with that
 label. Then each view is calibrated on labelled rows that no training has
 seen, the calibrated log-odds are combined by a third small regression on the
@@ -14,9 +14,13 @@ same rows, and every document is scored. The labelled sample is drawn class by
 class; calibration rows are weighted back to the shares of the classes among
 all labels, so a score does not depend on the size of the table.
 
-Training takes bounded samples, chosen by a hash of the doc_id: on average
-``LABELLED`` rows of each class and ``POOL`` unlabelled rows. Scoring is one
-narrow pass over whole texts without a shuffle.
+Training takes a bounded sample of the labelled rows, chosen by a hash of the
+doc_id: on average ``LABELLED`` rows of each class. Both views of every document
+are written once as sparse vectors; each round scores all unlabelled ones in
+Spark. Of n unlabelled rows a view may move the surest ``MOVED`` in a round, of
+more than ``POOL`` as many as grow with the root of n. Mean and spread of the
+metadata are aggregates over all rows. Scoring is one narrow pass over whole
+texts without a shuffle.
 
 Defined cases: a null text is empty and has share zero of everything; null
 metadata is a value of its own; several labels of one doc_id count by their
@@ -32,6 +36,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -163,37 +168,110 @@ class Model:
         return tuple(1 / (1 + np.exp(-np.clip(s, -30, 30))) for s in (a, b, both))
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, check: np.ndarray, good: float | None = None) -> Model | None:
+class _Rows:
+    """Unlabelled rows in memory."""
+
+    def __init__(self, text: np.ndarray, meta: np.ndarray):
+        self.text, self.meta = text, meta
+
+    def surest(self, models: list[np.ndarray], scale: tuple[np.ndarray, np.ndarray], good: float):
+        """For each view: the text rows, metadata rows and labels of the rows it is surest of; both views' picks leave the pool."""
+        taken, out = [], []
+        for x, m in zip((self.text * 10, (self.meta - scale[0]) / scale[1]), models):
+            z = margin(x, m)
+            order = np.argsort(z, kind="stable")
+            n_good, n_bad = _moved(len(z), good)
+            sure_bad, sure_good = order[:n_bad], order[max(0, len(order) - n_good):]
+            sure_bad, sure_good = sure_bad[z[sure_bad] < 0], sure_good[z[sure_good] > 0]
+            picked = np.concatenate((sure_bad, sure_good))
+            out.append((self.text[picked], self.meta[picked], np.repeat(np.float32([0, 1]), [len(sure_bad), len(sure_good)])))
+            taken.append(picked)
+        gone = np.unique(np.concatenate(taken))
+        self.text, self.meta = np.delete(self.text, gone, axis=0), np.delete(self.meta, gone, axis=0)
+        return out
+
+
+def _moved(n: int, good: float, pool: int = POOL) -> tuple[int, int]:
+    """How many good and bad rows of n a view may label in a round: MOVED of them, of many rows growing with the root of n."""
+    share = MOVED * min(n, math.sqrt(n * pool))
+    return tuple(min(n, max(1, int(share * s))) for s in (good, 1 - good))
+
+
+class _Table:
+    """Unlabelled rows as a table of vectors: every round scores all of them in Spark, and only the surest come to the driver."""
+
+    def __init__(self, vectors: DataFrame, known: DataFrame, pool: int):
+        self.vectors, self.known, self.pool = vectors, known, pool
+        self.taken = np.empty(0, np.int64)
+
+    def surest(self, models: list[np.ndarray], scale: tuple[np.ndarray, np.ndarray], good: float):
+        spark = self.vectors.sparkSession
+        shared = spark.sparkContext.broadcast((models, scale, self.taken))
+
+        def run(batches):
+            (w_text, w_meta), (mean, spread), taken = shared.value
+            for b in batches:
+                b = b.filter(pa.array(~np.isin(b["row"].to_numpy(), taken)))
+                z = [10 * float(np.dot(w_text[np.frombuffer(i, np.uint16)].astype(float), np.frombuffer(v, np.float16))) + w_text[-1]
+                     for i, v in zip(b["places"].to_pylist(), b["shares"].to_pylist())]
+                meta = np.frombuffer(b"".join(b["meta"].to_pylist()), np.float32).reshape(b.num_rows, -1)
+                yield pa.RecordBatch.from_arrays([b["doc_id"], b["row"], b["hash"], pa.array(z, pa.float64()),
+                                                  pa.array(margin((meta - mean) / spread, w_meta).astype(float), pa.float64())],
+                                                 ["doc_id", "row", "hash", "z0", "z1"])
+
+        kind = self.vectors.schema["doc_id"].dataType.simpleString()
+        z = stage_table(self.vectors.select("doc_id", "row", "hash", "places", "shares", "meta").mapInArrow(
+            run, f"doc_id {kind}, row long, hash long, z0 double, z1 double").join(self.known.select("doc_id"), "doc_id", "left_anti"), "quality-margins")
+        n = z.count()
+        if not n:
+            return None
+        n_good, n_bad = _moved(n, good, self.pool)
+        picks = []
+        for c in ("z0", "z1"):
+            bad = z.where(F.col(c) < 0).orderBy(c, "hash", "row").limit(n_bad).select("row").toArrow()["row"].to_numpy()
+            best = z.where(F.col(c) > 0).orderBy(F.col(c).desc(), "hash", "row").limit(n_good).select("row").toArrow()["row"].to_numpy()
+            picks.append((np.concatenate((bad, best)), np.repeat(np.float32([0, 1]), [len(bad), len(best)])))
+        rows = np.unique(np.concatenate([p for p, _ in picks]))
+        self.taken = np.union1d(self.taken, rows)
+        wanted = spark.createDataFrame(pa.table({"row": pa.array(rows, pa.int64())}))
+        found = self.vectors.join(F.broadcast(wanted), "row").select("row", "places", "shares", "meta").toArrow().sort_by("row")
+        text, meta = _dense(found)
+        at = [np.searchsorted(rows, p) for p, _ in picks]
+        return [(text[i], meta[i], y) for i, (_, y) in zip(at, picks)]
+
+
+def _dense(found: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    text = np.zeros((found.num_rows, TEXT_BUCKETS + 1), np.float32)
+    for out, i, v in zip(text, found["places"].to_pylist(), found["shares"].to_pylist()):
+        out[np.frombuffer(i, np.uint16)] = np.frombuffer(v, np.float16)
+    return text, np.frombuffer(b"".join(found["meta"].to_pylist()), np.float32).reshape(found.num_rows, -1)
+
+
+def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, check: np.ndarray, good: float | None = None,
+             scale: tuple[np.ndarray, np.ndarray] | None = None, pool: _Table | None = None) -> Model | None:
     """y: 1, 0, or -1 without a label; check: labelled rows that are only used to calibrate.
 
     good: share of the good among all labels, where the rows given are drawn class by class; by default that of these rows.
+    scale: mean and spread of the metadata, and pool: the unlabelled rows; by default those of the rows given.
     """
     learn = (y >= 0) & ~check
     if len(np.unique(y[learn])) < 2 or len(np.unique(y[(y >= 0) & check])) < 2:
         return None
-    mean, spread = meta.mean(axis=0), meta.std(axis=0) + 1e-6
+    mean, spread = scale or (meta.mean(axis=0), meta.std(axis=0) + 1e-6)
     views = [text * 10, (meta - mean) / spread]
-    own = [np.flatnonzero(learn)] * 2
+    own = [v[learn] for v in views]
     given = [y[learn].astype(np.float32)] * 2
-    pool = np.flatnonzero(y < 0)
+    pool = pool or _Rows(text[y < 0], meta[y < 0])
     good = float(y[y >= 0].mean()) if good is None else good
     models = [None, None]
     for left in range(ROUNDS, -1, -1):
-        models = [logistic(v[i], g, m) for v, i, g, m in zip(views, own, given, models)]
-        if not left or not len(pool):
+        models = [logistic(x, g, m) for x, g, m in zip(own, given, models)]
+        picks = pool.surest(models, (mean, spread), good) if left else None
+        if not picks:
             break
-        taken = []
-        for a in (0, 1):
-            z = margin(views[a][pool], models[a])
-            order = np.argsort(z, kind="stable")
-            n_good, n_bad = (max(1, int(MOVED * len(pool) * s)) for s in (good, 1 - good))
-            sure_bad, sure_good = order[:n_bad], order[len(order) - n_good:]
-            sure_bad, sure_good = sure_bad[z[sure_bad] < 0], sure_good[z[sure_good] > 0]
-            picked = np.concatenate((sure_bad, sure_good))
-            own[1 - a] = np.concatenate((own[1 - a], pool[picked]))
-            given[1 - a] = np.concatenate((given[1 - a], np.repeat(np.float32([0, 1]), [len(sure_bad), len(sure_good)])))
-            taken.append(picked)
-        pool = np.delete(pool, np.unique(np.concatenate(taken)))
+        for a, (t, m, label) in enumerate(picks):
+            own[1 - a] = np.concatenate((own[1 - a], (m - mean) / spread if a == 0 else t * 10)).astype(np.float32)
+            given[1 - a] = np.concatenate((given[1 - a], label))
     held = (y >= 0) & check
     target = y[held].astype(float)
     zs = [margin(v[held], m).astype(float) for v, m in zip(views, models)]
@@ -217,41 +295,65 @@ def _columns(documents: DataFrame) -> DataFrame:
 
 
 def fit(documents: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> Model | None:
-    """Co-train on bounded samples of labelled and unlabelled rows; None without labels of both classes."""
+    """Co-train on a bounded sample of labelled rows and all unlabelled ones; None without labels of both classes.
+
+    pool: from so many unlabelled rows on, the number that moves in a round grows with the root of theirs.
+    """
     million = 1_000_000
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(23)), F.lit(million))
-    # a fresh id for the label side, so a lost label row cannot make a document unlabelled
-    known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(
-        (F.avg("quality") >= 0.5).cast("int").alias("y"))
+    known = stage_table(labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(
+        (F.avg("quality") >= 0.5).cast("int").alias("y")), "quality-known")
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(counts) < 2:
         return None
     part = F.when(F.col("y") == 1, F.lit(labelled * million // counts[1])).otherwise(F.lit(labelled * million // counts[0]))
     chosen = stage_table(known.where(draw < part).select(F.col("doc_id").alias("l_id"), "y"), "quality-labels")
-    n_docs = max(1, documents.count())
-    rows = documents.where(draw < F.greatest(F.lit(pool * million // n_docs), F.lit(1)))
-    unlabelled = _columns(rows.join(known.select("doc_id"), "doc_id", "left_anti")).withColumn("y", F.lit(-1))
-    with_label = _columns(documents).join(chosen, F.col("doc_id") == F.col("l_id")).drop("l_id")
+    src = _columns(documents)
 
-    def vectors(batches):
-        tokens = Tokens()
+    def run(batches):
+        tokens, part, n = Tokens(), TaskContext.get().partitionId(), 0
         for b in batches:
             cols = {c: b.column(i).to_pylist() for i, c in enumerate(b.schema.names)}
             ids = tokens.ids(cols["raw"])
-            text = [text_vector(i, tokens.rows).astype(np.float16).tobytes() for i in ids]
+            places, shares = [], []
+            for i in ids:
+                dense = text_vector(i, tokens.rows)
+                at = np.flatnonzero(dense)
+                places.append(at.astype(np.uint16).tobytes())
+                shares.append(dense[at].astype(np.float16).tobytes())
             meta = [meta_vector(*x).tobytes() for x in zip(cols["raw"], ids, cols["lang"], cols["source"], cols["n_chars"])]
             keys = [zlib.crc32(str(d).encode()) for d in cols["doc_id"]]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(cols["y"], pa.int32()), pa.array(text, pa.binary()),
-                                              pa.array(meta, pa.binary())], ["key", "y", "text", "meta"])
+            same = [(k << 31) ^ zlib.crc32(raw or b"") for k, raw in zip(keys, cols["raw"])]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array((part << 40) + n + np.arange(b.num_rows), pa.int64()), pa.array(keys, pa.int64()), pa.array(same, pa.int64()),
+                 pa.array(places, pa.binary()), pa.array(shares, pa.binary()), pa.array(meta, pa.binary())],
+                ["doc_id", "row", "key", "hash", "places", "shares", "meta"])
+            n += b.num_rows
 
-    sample = with_label.unionByName(unlabelled).mapInArrow(vectors, "key long, y int, text binary, meta binary").toArrow()
-    sample = sample.sort_by([("key", "ascending"), ("text", "ascending")])
+    kind = src.schema["doc_id"].dataType.simpleString()
+    vectors = stage_table(src.mapInArrow(run, f"doc_id {kind}, row long, key long, hash long, places binary, shares binary, meta binary"),
+                          "quality-vectors")
+
+    def sums(batches):
+        for b in batches:
+            x = np.frombuffer(b"".join(b["meta"].to_pylist()), np.float32).reshape(b.num_rows, -1).astype(float)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(x.shape[1]) if b.num_rows else [], pa.int32()),
+                                              pa.array(x.sum(axis=0) if b.num_rows else [], pa.float64()),
+                                              pa.array((x * x).sum(axis=0) if b.num_rows else [], pa.float64()),
+                                              pa.array([b.num_rows] * x.shape[1] if b.num_rows else [], pa.int64())], ["at", "x", "xx", "n"])
+
+    moments = vectors.select("meta").mapInArrow(sums, "at int, x double, xx double, n long").groupBy("at").agg(
+        F.sum("x").alias("x"), F.sum("xx").alias("xx"), F.sum("n").alias("n")).orderBy("at").toPandas()
+    sample = vectors.join(chosen, F.col("doc_id") == F.col("l_id")).select("key", "hash", "y", "places", "shares", "meta").toArrow()
+    sample = sample.sort_by([("key", "ascending"), ("hash", "ascending")])
     if not sample.num_rows:
         return None
-    text = np.frombuffer(b"".join(sample["text"].to_pylist()), np.float16).reshape(sample.num_rows, -1).astype(np.float32)
-    meta = np.frombuffer(b"".join(sample["meta"].to_pylist()), np.float32).reshape(sample.num_rows, -1)
+    mean = (moments["x"] / moments["n"]).to_numpy()
+    spread = np.sqrt(np.maximum((moments["xx"] / moments["n"]).to_numpy() - mean * mean, 0)) + 1e-6
+    text, meta = _dense(sample)
     check = sample["key"].to_numpy() // 7 % 4 == 0
-    return co_train(text, meta, sample["y"].to_numpy(), check, counts[1] / (counts[0] + counts[1]))
+    return co_train(text, meta, sample["y"].to_numpy(), check, counts[1] / (counts[0] + counts[1]),
+                    (mean.astype(np.float32), spread.astype(np.float32)), _Table(vectors, known, pool))
 
 
 def score(documents: DataFrame, model: Model | None) -> DataFrame:
