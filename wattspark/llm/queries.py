@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+import public_tokenizers
 
-from wattspark.llm import decontaminate, langid, mixing, neighbours, quality, sharding, simhash, suffixes, word_windows, wordpiece
+from wattspark.llm import decontaminate, langid, mixing, neighbours, packing, quality, sharding, simhash, suffixes, word_windows, wordpiece
 from wattspark.llm.shared import table
 
 
@@ -55,6 +56,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), length=4096, end=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op2_neighbours": op2_neighbours,
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_windows": op8_windows,
     "op9_sharding": op9_sharding,
     "op10_quality": op10_quality,
+    "op11_packing": op11_packing,
 }
 
 _WORDS = (r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
