@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 import public_tokenizers
 
-from wattspark.llm import decontaminate, langid, mixing, neighbours, packing, quality, sharding, simhash, suffixes, word_windows, wordpiece
+from wattspark.llm import decontaminate, langid, mixing, neighbours, packing, prefix_trie, quality, sharding, simhash, spelling, suffixes, word_windows, wordpiece
 from wattspark.llm.shared import table
 
 
@@ -60,6 +60,14 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), length=4096, end=2)
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group(table(spark, sf_dir, "documents"), every=199, shortest=6, least=5)
+
+
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op2_neighbours": op2_neighbours,
@@ -72,6 +80,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": op9_sharding,
     "op10_quality": op10_quality,
     "op11_packing": op11_packing,
+    "op12_spelling": op12_spelling,
+    "op13_trie": op13_trie,
 }
 
 _WORDS = (r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
