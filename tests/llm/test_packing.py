@@ -43,20 +43,27 @@ def test_cuts_cost_what_brute_force_finds(sizes, seed, length):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.one_of(st.text(max_size=8), st.sampled_from(SPACES + ["it's", "a.", "é", "́", "<|endoftext|>", "Σ", "İ", "\x1c", "x\x1fy"])),
+@given(st.lists(st.one_of(st.text(max_size=8), st.sampled_from(SPACES + ["it's", "a.", "é", "́", "<|endoftext|>", "Σ", "İ", "İ.", "Naïve,", "naïve", "ÉT?!", "don't.", "A.b", "ß!", "ÿ;", " ", "\x1c", "x\x1fy"])),
                 max_size=20).map("".join))
 def test_ids_are_the_tokenizers(text):
     encode = packing.Encoder(open(PATH).read(), 2) if not hasattr(test_ids_are_the_tokenizers, "one") else test_ids_are_the_tokenizers.one
     test_ids_are_the_tokenizers.one = encode
     ids, ends = encode(text)
-    assert ids == TOKENIZER.encode(text, add_special_tokens=False).ids + [2]
+    assert ids.tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids + [2]
     assert all(0 <= e < len(ids) for e in ends)
 
 
+def test_whole_documents_have_the_tokenizers_ids(spark, monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 5_000)
+    encode = packing.Encoder(open(PATH).read(), 2)
+    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect():
+        assert encode(r.text or "")[0].tolist() == TOKENIZER.encode(r.text or "", add_special_tokens=False).ids + [2]
+
+
 def test_sentences_end_at_stops_and_lines():
     ids, ends = packing.Encoder(open(PATH).read(), 2)('one two. three "four!" 3.5 five\nsix')
     words = [TOKENIZER.encode(t, add_special_tokens=False).ids for t in ("one two.", 'three "four!"', "3.5 five", "six")]
-    assert ends == np.cumsum([len(w) for w in words]).tolist()
+    assert ends.tolist() == np.cumsum([len(w) for w in words]).tolist()
 
 
 def rows_of():
@@ -120,3 +127,8 @@ def test_empty_table_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, "a", "x")], "doc_id string, text string, length string")
     assert [tuple(r)[:3] for r in packing.pack(df, PATH).collect()] == [("1", 0, 2)]
     assert packing.pack(df.limit(0), PATH).count() == 0
+
+
+def test_other_kinds_of_files_are_refused():
+    with pytest.raises(ValueError, match="does not normalise"):
+        packing.Encoder(open(PATH).read().replace('"Lowercase"', '"Uppercase"'), 2)

@@ -16,8 +16,8 @@ are the few places i at such a distance, looked up beforehand.
 
 Token ids are those of a ``tokenizers`` file. The file's normaliser and splitter
 never look across white space, so ids of white-space separated chunks are kept
-(up to ``REMEMBERED``) and joined; lines with the four control characters that
-only Python takes for white space are encoded whole.
+(of about ``REMEMBERED`` chunks) and joined; texts with one of the four control
+characters that only Python takes for white space are encoded line by line.
 
 One narrow pass: no shuffle, a lane's ids are all that a task holds. The file
 (its size is checked) is broadcast.
@@ -29,8 +29,10 @@ other; a document longer than a lane is a lane; an empty table gives no rows.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
+from array import array
 from collections import deque
 from pathlib import Path
 
@@ -45,10 +47,48 @@ STOPS = frozenset(".!?…。！？")
 CLOSERS = "\"'”’»)]}"
 #: Penalties in tokens of padding.
 SENTENCE, INSIDE = 16, 128
-LANE, STEP, REMEMBERED, CHUNK = 1 << 21, 64, 500_000, 64
+LANE, STEP, REMEMBERED = 1 << 21, 64, 1 << 20
 MAX_FILE = 64 << 20
 _ODD = re.compile("[\x1c-\x1f]")
-_TAIL = STOPS | frozenset(CLOSERS)
+#: How files of the known kind normalise and split texts.
+KIND = ["NFC", "Replace", "Lowercase", "Split", "ByteLevel"]
+#: Letters, which the file lower-cases, and punctuation, which is a piece of its own.
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+
+
+class _Chunks(dict):
+    """Numbers of the chunks met so far; a new one is encoded and stored."""
+
+    def __init__(self, tokenizer):
+        self._encode, self._model = tokenizer.encode, tokenizer.model
+        # the file's own name of every plain letter's bytes
+        letters = [c for c in map(chr, range(256)) if _PLAIN.fullmatch(c)]
+        self._bytes = {ord(c): tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in letters}
+        self.clear()
+
+    def clear(self):
+        super().clear()
+        self.ids, self.begins, self.stops = array("I"), array("q", [0]), array("b")
+
+    def __missing__(self, chunk: str) -> int:
+        plain = _PLAIN.fullmatch(chunk)
+        stop = False
+        if plain and plain[2]:
+            for number in [self[part] for part in plain.groups()]:
+                self.ids.extend(self.ids[self.begins[number]:self.begins[number + 1]])
+            stop = chunk[-1] in STOPS
+        elif plain and chunk.islower():
+            self.ids.extend([t.id for t in self._model.tokenize(chunk.translate(self._bytes))])
+        elif plain:
+            self[chunk] = number = self[chunk.lower()]
+            return number
+        else:
+            self.ids.extend(self._encode(chunk, add_special_tokens=False).ids)
+            stop = chunk.rstrip(CLOSERS)[-1:] in STOPS
+        self.begins.append(len(self.ids))
+        self.stops.append(stop)
+        self[chunk] = number = len(self.stops) - 1
+        return number
 
 
 class Encoder:
@@ -56,37 +96,34 @@ class Encoder:
 
     def __init__(self, tokenizer: str, end: int):
         from tokenizers import Tokenizer
-        self._encode = Tokenizer.from_str(tokenizer).encode
-        self._known: dict[str, list[int]] = {}
+        spec = json.loads(tokenizer)
+        if [x["type"] for x in spec["normalizer"]["normalizers"] + spec["pre_tokenizer"]["pretokenizers"]] != KIND:
+            raise ValueError(f"the tokenizer does not normalise and split by {KIND}")
+        self._chunks = _Chunks(Tokenizer.from_str(tokenizer))
         self._end = end
 
-    def _ids(self, text: str) -> list[int]:
-        return self._encode(text, add_special_tokens=False).ids
-
-    def _new(self, chunk: str) -> list[int]:
-        ids = self._ids(chunk)
-        if len(chunk) <= CHUNK:
-            if len(self._known) >= REMEMBERED:
-                self._known.clear()
-            self._known[chunk] = ids
-        return ids
-
-    def __call__(self, text: str) -> tuple[list[int], list[int]]:
-        ids: list[int] = []
-        ends: list[int] = []
-        get = self._known.get
+    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        known = self._chunks
+        if len(known) > REMEMBERED:
+            known.clear()
+        chunks: list[str] = []
+        lines = []
+        odd = _ODD.search(text) is not None
         for line in text.split("\n"):
-            if _ODD.search(line):
-                ids += self._ids(line)
-            else:
-                for chunk in line.split():
-                    own = get(chunk)
-                    ids += self._new(chunk) if own is None else own
-                    if chunk[-1] in _TAIL and chunk.rstrip(CLOSERS)[-1:] in STOPS:
-                        ends.append(len(ids))
-            ends.append(len(ids))
-        ids.append(self._end)
-        return ids, ends
+            chunks += [line] if odd else line.split()
+            lines.append(len(chunks))
+        number = np.fromiter(map(known.__getitem__, chunks), np.int64, len(chunks))
+        begins = np.frombuffer(known.begins, np.int64)
+        sizes = begins[number + 1] - begins[number]
+        ends = np.cumsum(sizes)
+        stop = np.frombuffer(known.stops, np.int8)[number] > 0 if len(chunks) else np.zeros(0, bool)
+        last = np.array(lines) - 1
+        stop[last[last >= 0]] = True
+        n = int(ends[-1]) if len(ends) else 0
+        ids = np.empty(n + 1, "<u4")
+        ids[:n] = np.frombuffer(known.ids, np.uint32)[np.arange(n) + np.repeat(begins[number] - (ends - sizes), sizes)] if n else 0
+        ids[n] = self._end
+        return ids, ends[stop]
 
 
 _ENCODERS: dict[tuple[int, int], Encoder] = {}
@@ -104,27 +141,32 @@ def encoder(tokenizer: str, end: int) -> Encoder:
 def places(doc_ends: np.ndarray, sentence_ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Where a lane may be cut, in order from 0 to its end, and the penalty of each place."""
     n = int(doc_ends[-1])
-    fixed = np.unique(np.concatenate(([0], doc_ends, sentence_ends)))
+    kind = np.zeros(n + 1, np.int8)  # 1: inside a sentence, 2: its end, 3: a document's end
+    kind[sentence_ends] = 2
+    kind[doc_ends] = kind[0] = 3
+    fixed = np.flatnonzero(kind)
     gaps = np.diff(fixed)
     step = min(STEP, length)
     wide = np.flatnonzero(gaps > step)
     times = (gaps[wide] - 1) // step
-    inner = np.repeat(fixed[wide], times) + step * (np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + 1)
-    at = np.union1d(np.union1d(fixed, inner), np.arange(max(0, n - length), n))
-    penalty = np.full(len(at), INSIDE, np.int64)
-    penalty[np.searchsorted(at, sentence_ends)] = SENTENCE
-    penalty[np.searchsorted(at, np.concatenate(([0], doc_ends)))] = 0
-    return at, penalty
+    kind[np.repeat(fixed[wide], times) + step * (np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + 1)] = 1
+    tail = kind[max(0, n - length):]
+    tail[tail == 0] = 1
+    at = np.flatnonzero(kind)
+    return at, np.array([0, INSIDE, SENTENCE, 0])[kind[at]]
 
 
 def cuts(at: np.ndarray, penalty: np.ndarray, length: int) -> np.ndarray:
     """The places (0 and the end among them) whose windows cost least; of equal costs the longest window."""
-    sizes = [1 << k for k in range(length.bit_length()) if 1 << k <= length]
+    number = np.full(int(at[-1]) + 1, -1, np.int32)
+    number[at] = np.arange(len(at))
     exact: dict[int, list[int]] = {}
-    for size in sizes:
-        before = np.searchsorted(at, at - size)
-        for j in np.flatnonzero(at[before] == at - size).tolist():
-            exact.setdefault(j, []).append(int(before[j]))
+    for k in range(min(length.bit_length(), int(at[-1]).bit_length())):
+        first = np.searchsorted(at, 1 << k)
+        before = number[at[first:] - (1 << k)]
+        own = np.flatnonzero(before >= 0)
+        for j, i in zip((own + first).tolist(), before[own].tolist()):
+            exact.setdefault(j, []).append(i)
     pos, pen = at.tolist(), penalty.tolist()
     cost, back, rank = [0] * len(pos), [0] * len(pos), [0] * len(pos)
     queue: deque[int] = deque([0])  # places in order, ranks (cost + place) rising
@@ -195,8 +237,8 @@ def pack(documents: DataFrame, tokenizer: str, length: int = 4096, end: int = 2,
             for i, text in zip(b.column(0), b.column(1)):
                 own, ends = encode(text.as_py() or "")
                 doc_ids.append(i.as_py())
-                texts.append(np.array(own, "<u4"))
-                sentences.append(np.array(ends, np.int64) + size)
+                texts.append(own)
+                sentences.append(ends + size)
                 size += len(own)
                 if size >= LANE:
                     yield lane()
