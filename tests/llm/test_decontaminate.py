@@ -76,3 +76,12 @@ def test_empty_tables_and_no_python_in_the_plan(spark):
     assert {(r.doc_id, r.n_words, r.n_hit, r.contaminated) for r in none} == {(1, 3, 0, False), (2, 0, 0, False)}
     plan = dc.find_contamination(docs, bench)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_dropping_keeps_every_column_whatever_its_name(spark):
+    rows = [(1, "one two three four", "a"), (2, "clean words only", "b"), (None, "one two three four", "c"), (None, "clean", "d"), (2, "one two three four", "e")]
+    names = ["doc_id", "text", "doc", "tkey", "__bad_id", "__bad_key", "contaminated"]
+    docs = spark.createDataFrame([(*r, 5, "x", "y", 1.0) for r in rows], "doc_id long, text string, doc string, tkey long, __bad_id string, "
+                                                                        "__bad_key string, contaminated double")
+    kept = dc.drop_contaminated(docs, spark.createDataFrame([(1, "one two three")], "item_id long, text string"))
+    assert kept.columns == names and sorted(r.doc for r in kept.collect()) == ["b", "d"]

@@ -56,6 +56,7 @@ def test_held_out_accuracy_nulls_and_clashing_names(spark):
     assert [r.lang_pred for r in out if r.doc_id == 903 and len(r.text) > 10] == ["bb"]
     kept = langid.drop_undetermined(df)
     assert kept.columns == df.columns and kept.count() == len(rows) - 3
+    assert langid.words_of('नमस्ते दुनिया, É e\u0301t 4') == ['नमस्ते', 'दुनिया', 'é', 'e\u0301t']
 
 
 def test_code_switched_spans_and_long_texts(spark):
@@ -74,6 +75,58 @@ def test_code_switched_spans_and_long_texts(spark):
     assert langid.identify(docs.where("doc_id = 2"), model, carry=["doc_id"]).first().score == got[2].score
 
 
+def whole_chain(model, words):
+    """Posteriors of one text as one chain, plainly."""
+    emit, trans = model.emissions(words)[0], np.exp(model.transitions)
+    fwd, bwd = [emit[0] / emit[0].sum()], [np.ones(len(model.labels))]
+    for e in emit[1:]:
+        f = (fwd[-1] @ trans) * e
+        fwd.append(f / f.sum())
+    for e in emit[:0:-1]:
+        b = trans @ (e * bwd[-1])
+        bwd.append(b / b.sum())
+    post = np.array(fwd) * np.array(bwd[::-1])
+    return post / post.sum(axis=1, keepdims=True)
+
+
+def test_whole_query_is_a_plain_decode(spark, monkeypatch):
+    """Long switched texts, cut into blocks, are decoded as one chain."""
+    monkeypatch.setattr(langid, "BLOCK", 16)
+    rng = np.random.default_rng(11)
+    rows = corpus()
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    rows += [(1000 + i, " ".join(text(rng, list(SYLLABLES)[int(rng.integers(0, 3))], int(rng.integers(1, 25))) for _ in range(12)), None)
+             for i in range(30)] + [(2000, None, None), (2001, "12", None)]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), model, carry=["doc_id"], spans=True).collect()
+    assert len(got) == len(rows)
+    by = {r.doc_id: r for r in got}
+    for i, t, _ in rows:
+        words = langid.words_of(t or "")
+        if not words:
+            assert (by[i].lang_pred, by[i].score, by[i].spans) == ("und", 0.0, [])
+            continue
+        post = whole_chain(model, words)
+        mean = post.mean(axis=0)
+        assert by[i].lang_pred == model.labels[int(mean.argmax())] and abs(by[i].score - mean.max()) < 1e-9
+        labels = [model.labels[k] for k in post.argmax(axis=1)]
+        assert [s.lang for s in by[i].spans for _ in range(s.end - s.begin)] == labels
+
+
+def test_mixed_texts_of_five_languages_stay(spark):
+    rng = np.random.default_rng(6)
+    alphabets = {"aa": "abcd", "bb": "efgh", "cc": "ijkl", "dd": "mnop", "ee": "qrst"}
+
+    def words(lang, n):
+        return " ".join("".join(rng.choice(list(alphabets[lang]), 6)) for _ in range(n))
+    langs = list(alphabets)
+    rows = [(i, words(langs[i % 5], 30), langs[i % 5]) for i in range(200)]
+    rows += [(1000 + i, " ".join(words(x, 12) for x in langs), langs[i % 5]) for i in range(40)]  # evenly mixed
+    df = spark.createDataFrame([*rows, (5000, "1 2 3", "aa"), (5001, None, "aa")], "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in langid.drop_undetermined(df).collect()) == sorted(r[0] for r in rows)
+    unlabelled = df.withColumn("lang", F.lit(None).cast("string"))
+    assert langid.drop_undetermined(unlabelled).count() == df.count()
+
+
 def test_without_labels_or_rows(spark):
     df = spark.createDataFrame([(1, "ing tha", None)], "doc_id long, text string, lang string")
     model = langid.fit(df)

@@ -1,4 +1,3 @@
-import hashlib
 import math
 import zlib
 
@@ -52,7 +51,7 @@ def test_run_is_the_brute_force_of_its_stages(spark, tmp_path):
     weight = {s: math.floor(math.sqrt(n) * 1000) for s, n in units.items()}
     want = []
     for r in left:
-        u = int(hashlib.md5(f"mix-1:{r[0]}".encode()).hexdigest()[:13], 16) / 2 ** 52
+        u = test_mixing.uniform(r[0], r[1])
         n = test_mixing.brute_quantile(u, weight[r[3]] * sum(units.values()) / (sum(weight.values()) * units[r[3]]))
         want += [(r[0], len(r[1].encode()) + 16, zlib.crc32(r[1].encode()))] * n
     assert sorted((r.doc_id, r["size"], r.text_crc32) for r in got) == sorted(want)

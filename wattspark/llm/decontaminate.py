@@ -145,7 +145,8 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, width: int =
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``documents`` (all its columns) without the contaminated rows."""
-    bad = find_contamination(documents, benchmark, **options).where("contaminated").select(
-        F.col("doc_id").alias("__bad_id"), F.col("tkey").alias("__bad_key")).distinct()
-    return documents.join(bad, documents["doc_id"].eqNullSafe(F.col("__bad_id"))
-                          & (F.xxhash64(documents["text"]) == F.col("__bad_key")), "left_anti")
+    bad = find_contamination(documents, benchmark, **options).where("contaminated").select("doc_id", "tkey").distinct()
+    # one column holds the document, so that no name of its columns can clash
+    rows = documents.select(F.struct(*[documents[f"`{c}`"] for c in documents.columns]).alias("doc"))
+    kept = rows.join(bad, F.col("doc.doc_id").eqNullSafe(F.col("doc_id")) & (F.xxhash64("doc.text") == F.col("tkey")), "left_anti")
+    return kept.select(*[F.col(f"doc.`{c}`").alias(c) for c in documents.columns])

@@ -15,8 +15,9 @@ sampled text are joined with runs of other texts to code-switched sequences,
 from which emissions and transitions are fitted by maximum likelihood with an
 L2 penalty. The sample does not grow with the data; the model is broadcast.
 
-Decoding: one narrow pass without a shuffle. Texts are decoded whole, in blocks
-of ``BLOCK`` words, many blocks at a time. Emissions of words already seen by a
+Decoding: one narrow pass without a shuffle. Texts are decoded whole, each as one
+chain, in blocks of ``BLOCK`` words side by side: what reaches a block from its
+neighbours is worked out beforehand. Emissions of words already seen by a
 task are kept, up to a fixed number.
 
 Defined cases: null text or text without a letter is ``und`` with score 0;
@@ -27,6 +28,7 @@ each get their result; a null doc_id is not held out.
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
@@ -44,7 +46,9 @@ BUCKETS = 1 << 16
 ROUNDS, RATE, L2 = 80, 0.3, 1e-4
 BLOCK, BATCH_CHARS, REMEMBERED = 2_048, 4_000_000, 400_000
 UNDETERMINED = "und"
-_WORD = re.compile(r"[^\W\d_]+")
+#: Combining marks stay inside the words of the scripts that write them.
+_MARKS = "".join(chr(c) for c in range(0x300, 0x20000) if unicodedata.category(chr(c))[0] == "M")
+_WORD = re.compile(rf"[^\W\d_]+(?:[{_MARKS}]+[^\W\d_]*)*")
 
 
 def words_of(text: str) -> list[str]:
@@ -82,29 +86,60 @@ class Model:
         return factors, letters
 
 
-def forward_backward(emit: np.ndarray, trans: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Posteriors (words x labels) of sequences laid end to end, longest first. emit and trans are positive factors."""
+def forward_backward(emit: np.ndarray, trans: np.ndarray, lengths: np.ndarray, enter: np.ndarray | None = None,
+                     leave: np.ndarray | None = None) -> np.ndarray:
+    """Posteriors (words x labels) of sequences laid end to end, longest first. emit and trans are positive factors.
+
+    enter, leave: the message that reaches the first word of each sequence from the left, its last word from the right; default ones.
+    """
+    ones = np.ones((len(lengths), emit.shape[1]))
+    enter, leave = ones if enter is None else enter, ones if leave is None else leave
     starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
     post = np.empty_like(emit)
     steps = int(lengths[0]) if len(lengths) else 0
     active = np.searchsorted(-lengths, -np.arange(steps), side="left")  # sequences longer than t
     for t in range(steps):
         at = starts[:active[t]] + t
-        f = emit[at] if t == 0 else (last[:active[t]] @ trans) * emit[at]
+        f = (enter if t == 0 else last[:active[t]] @ trans) * emit[at]
         last = f / f.sum(axis=1, keepdims=True)
         post[at] = last
     back = np.ones((0, emit.shape[1]))
     for t in range(steps - 1, -1, -1):
         at = starts[:active[t]] + t
-        now = np.ones((active[t], emit.shape[1]))
-        if len(back):
-            now[:len(back)] = back
+        now = leave[:active[t]].copy()
+        now[:len(back)] = back
         post[at] *= now
         back = (now * emit[at]) @ trans.T
         back /= back.sum(axis=1, keepdims=True)
     return post / post.sum(axis=1, keepdims=True)
 
 
+def chain_messages(emit: np.ndarray, trans: np.ndarray, blocks: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """enter and leave of the blocks of one sequence that is cut every ``size`` words.
+
+    A block acts on messages as one matrix; the matrices of all blocks are multiplied up word by word side by side.
+    """
+    n = emit.shape[1]
+    through = np.broadcast_to(np.eye(n), (blocks, n, n)).copy()
+    for t in range(size):
+        at = np.arange(t, len(emit), size)
+        now = (through[:len(at)] @ trans) * emit[at][:, None, :]
+        through[:len(at)] = now / now.sum(axis=(1, 2), keepdims=True)
+    enter, leave = np.ones((blocks, n)), np.ones((blocks, n))
+    ahead = emit[0]
+    for t in range(1, min(size, len(emit))):
+        ahead = (ahead @ trans) * emit[t]
+        ahead = ahead / ahead.sum()
+    for b in range(1, blocks):
+        enter[b] = ahead @ trans
+        ahead = ahead @ through[b]
+        ahead = ahead / ahead.sum()
+    for b in range(blocks - 2, -1, -1):
+        leave[b] = through[b + 1] @ leave[b + 1]
+        leave[b] /= leave[b].sum()
+    return enter, leave
+
+
 def _pair_counts(emit, trans, post, n):
     """Expected transitions of n sequences of equal length (forward-backward on (length, n, labels) arrays)."""
     steps = len(emit)
@@ -247,7 +282,10 @@ class _Decoder:
         if blocks:
             parts = [docs[d][i:i + BLOCK] for d, i in blocks]
             lengths = np.array([len(p) for p in parts])
-            post = forward_backward(self.factors[np.concatenate(parts)], self.trans, lengths)
+            sides = {d: chain_messages(self.factors[ids], self.trans, -(-len(ids) // BLOCK), BLOCK) for d, ids in enumerate(docs) if len(ids) > BLOCK}
+            one = np.ones((1, len(self.model.labels)))
+            enter, leave = (np.concatenate([sides[d][k][i // BLOCK][None] if d in sides else one for d, i in blocks]) for k in (0, 1))
+            post = forward_backward(self.factors[np.concatenate(parts)], self.trans, lengths, enter, leave)
             at = 0
             for (d, i), n in zip(blocks, lengths):
                 out[d][i:i + n] = post[at:at + n]
@@ -306,8 +344,11 @@ def identify(documents: DataFrame, model: Model, carry: list[str] | None = None,
     return out.select(*[F.col(f"doc.`{c}`").alias(c) for c in carry], *[F.col(c).alias(free_name(kept, c)) for c in add])
 
 
-def drop_undetermined(documents: DataFrame, least_score: float = 0.3) -> DataFrame:
-    """``documents`` (all its columns) without texts that have no letter or no language with that mean posterior."""
-    out = identify(documents, fit(documents))
+def drop_undetermined(documents: DataFrame) -> DataFrame:
+    """``documents`` (all its columns) without the texts that are ``und``; all of them where no language could be learned."""
+    model = fit(documents)
+    if not model.labels:
+        return documents
+    out = identify(documents, model)
     lang, score = out.columns[-2:]
-    return out.where((F.col(lang) != UNDETERMINED) & (F.col(score) >= least_score)).drop(lang, score)
+    return out.where(F.col(lang) != UNDETERMINED).drop(lang, score)

@@ -3,7 +3,7 @@
 The repetition rate of a source is its target share of the corpus divided by
 its own share (in bytes). Each document gets a number of copies drawn from the
 Poisson distribution with that mean: a uniform number is taken from a hash of
-the seed and the doc_id and looked up in the inverse of the distribution
+the seed, the doc_id and the text and looked up in the inverse of the distribution
 function, so a retry or a re-run draws the same. Every document is exploded by
 its count and all copies are shuffled globally on a hash key.
 
@@ -11,8 +11,9 @@ Only one row per source is aggregated (with map-side combining, so a source
 with a third of all rows costs nothing extra); documents move once.
 
 Defined cases: null is a source of its own; a null or empty text counts one
-byte; rows that repeat a doc_id draw the same count; a source without a weight
-or with weight zero is left out of the mixture.
+byte; rows that repeat doc_id and text draw the same count, documents without a
+doc_id (or with one that others have too) draw each for their own text; a source
+without a weight or with weight zero is left out of the mixture.
 """
 
 from __future__ import annotations
@@ -77,13 +78,16 @@ def mix(documents: DataFrame, weights: DataFrame | None = None, seed: str = SEED
     """All columns of ``documents`` plus copy, copies, rate and shuffle_key (underscored where taken), in shuffled order."""
     rates = stage_table(source_rates(documents, weights), "mix-rates")  # its file size decides on a broadcast
     doc = F.struct(*[documents[f"`{c}`"] for c in documents.columns]).alias("doc")
-    u = F.conv(F.substring(_digest(seed, documents["doc_id"]), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
-    drawn = documents.select(doc, u.alias("u"), F.xxhash64(documents["text"]).alias("tkey")).join(
+    text = F.md5(F.coalesce(documents["text"], F.lit("")))
+    u = F.conv(F.substring(_digest(seed, documents["doc_id"], text), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+    drawn = documents.select(doc, u.alias("u"), text.alias("tkey"), F.monotonically_increasing_id().alias("row")).join(
         rates, F.col("doc.source").eqNullSafe(F.col("src")))
-    drawn = drawn.withColumn("copies", _copies("u", "rate")).where("copies > 0")
-    rows = drawn.select("doc", "copies", "rate", "tkey", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
-    rows = rows.withColumn("key", _digest(seed + "-order", F.col("doc.doc_id"), F.col("copy")))
-    rows = rows.repartition("key", "tkey").sortWithinPartitions("key", "tkey")
+    # the generator keeps the optimiser from drawing again in a filter; no copies, no row
+    rows = drawn.select("doc", "rate", "tkey", "row", F.explode(F.array(_copies("u", "rate"))).alias("copies")).select(
+        "*", F.explode(F.when(F.col("copies") > 0, F.sequence(F.lit(1).cast("long"), F.col("copies")))).alias("copy"))
+    rows = rows.withColumn("key", _digest(seed + "-order", F.col("doc.doc_id"), F.col("tkey"), F.col("copy")))
+    # the row number deals out rows that repeat doc_id and text; it stands in no result
+    rows = rows.repartition("key", "row").sortWithinPartitions("key")
     add = {"copy": F.col("copy"), "copies": F.col("copies"), "rate": F.col("rate"), "shuffle_key": F.col("key")}
     return rows.select(*[F.col(f"doc.`{c}`").alias(c) for c in documents.columns],
                        *[v.alias(free_name(documents, k)) for k, v in add.items()])

@@ -122,12 +122,12 @@ r AS (SELECT source, CAST(weight AS DOUBLE) * CAST((SELECT sum(units) FROM w) AS
 k AS (SELECT source, rate, unnest(range(0, CAST(ceil(rate + 12 * sqrt(rate) + 40) AS BIGINT))) AS k FROM r),
 c AS (SELECT source, k, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS cdf FROM k),
 u AS (SELECT doc_id, source, text,
-             CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) / 4503599627370496.0 AS u
+             CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, ''))), 1, 13) AS BIGINT) / 4503599627370496.0 AS u
       FROM documents),
 n AS (SELECT doc_id, source, text, (SELECT count(*) FROM c WHERE c.source IS NOT DISTINCT FROM u.source AND c.cdf <= u.u) AS copies FROM u),
 e AS (SELECT doc_id, source, text, copies, unnest(range(1, copies + 1)) AS copy FROM n)
 SELECT e.doc_id, e.source, e.text, copy, copies, round(rate, 9) AS rate,
-       md5('mix-1-order:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || CAST(copy AS VARCHAR)) AS shuffle_key
+       md5('mix-1-order:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(e.text, '')) || ':' || CAST(copy AS VARCHAR)) AS shuffle_key
 FROM e JOIN r ON e.source IS NOT DISTINCT FROM r.source
 """,
     "op3_decontaminate": f"""
