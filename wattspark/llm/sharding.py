@@ -6,9 +6,11 @@ share of the total) with the shard's residual capacity is highest.
 
 * A group with more than a fiftieth of a shard is split by a hash of its
   doc_ids into parts of about that size, so a group of copies that holds a
-  third of all rows fills several shards evenly. Every other group stays whole.
-* Parts that are large for a lane (at most ``4 * shards * lanes`` of them, by
-  their definition) are packed first, on the driver.
+  third of all rows fills several shards evenly; where rows of it repeat the
+  doc_id too, they are split by their number in the written table of sizes.
+  Every other group stays whole.
+* Parts that are large for a lane (at most ``12 * shards * lanes`` of them, four
+  for each measure, by their definition) are packed first, on the driver.
 * All others are packed in parallel lanes: a lane takes the groups of one hash
   value and its proportional share of each shard's residual capacity, largest
   group first. A lane is one task with bounded rows.
@@ -16,8 +18,9 @@ share of the total) with the shard's residual capacity is highest.
   (shard, hash bucket), and the buckets' sizes give the offsets.
 
 Defined cases: a null text has no bytes and no tokens and equals the empty
-text; repeated rows are separate rows of one group; a null doc_id is a value
-like any other; an empty table gives no rows.
+text; repeated rows are separate rows of one group, alike in all but their
+slots, and split like others; so are rows with a null doc_id; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -36,6 +39,8 @@ PARTS_PER_SHARD = 50
 #: Weight of bytes, tokens and rows in the dot product; the law that holds is near-equal bytes.
 WEIGHTS = np.array([8.0, 1.0, 1.0])
 BUCKET_ROWS = 20_000
+#: Rows equal in doc_id and text are told apart if they are more than this and more than one in MOST_SAME of all.
+SAME_ROWS, MOST_SAME = 50, 20_000
 
 
 def n_tokens(text: Column) -> Column:
@@ -54,11 +59,19 @@ def pack(units: np.ndarray, residual: np.ndarray) -> np.ndarray:
 
 
 def measured(documents: DataFrame, carry: list[str]) -> DataFrame:
+    """(doc, dkey, gkey, size, crc, tokens) of every row, written once. dkey: a hash of the doc_id and, where many rows
+    repeat doc_id and text, of the row's number, so that it deals out any group."""
     text = F.coalesce("text", F.lit(""))
-    return documents.select(
+    rows = stage_table(documents.select(
         F.struct(*[F.col(f"`{c}`") for c in carry]).alias("doc"), F.xxhash64(F.col("doc_id").cast("string"), F.lit(7)).alias("dkey"),
         F.md5(text).alias("gkey"), (F.octet_length(text) + OVERHEAD).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("crc"), n_tokens(text).cast("long").alias("tokens"))
+        F.crc32(text.cast("binary")).alias("crc"), n_tokens(text).cast("long").alias("tokens"),
+        F.monotonically_increasing_id().alias("row")), "shard-rows")
+    same = rows.groupBy("gkey", "dkey").agg(F.count(F.lit(1)).alias("same")).where(
+        (F.col("same") > SAME_ROWS) & (F.col("same") * MOST_SAME > rows.select(F.count(F.lit(1))).scalar()))
+    # of rows that add up to all: fewer than MOST_SAME
+    return rows.join(F.broadcast(same), ["gkey", "dkey"], "left").withColumn(
+        "dkey", F.when(F.col("same").isNull(), F.col("dkey")).otherwise(F.xxhash64("dkey", "row"))).drop("same", "row")
 
 
 def place(rows: DataFrame, shards: int) -> tuple[DataFrame, DataFrame]:
@@ -102,8 +115,6 @@ def shard(documents: DataFrame, shards: int = 40, carry: list[str] | None = None
     """
     carry = documents.columns if carry is None else carry
     rows = measured(documents, carry)
-    if "text" not in carry:  # small rows, kept once
-        rows = stage_table(rows, "shard-rows")
     dealt, placed = place(rows, shards)
     mine = dealt.join(stage_table(placed, "shard-places"), ["gkey", "part"])
     buckets = max(1, rows.count() // (shards * BUCKET_ROWS))
