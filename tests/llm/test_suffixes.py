@@ -90,8 +90,29 @@ def test_an_anchor_of_many_segments_is_dealt_out(spark, monkeypatch, block_bytes
     got = suffixes.drop_repeats(df, 80).collect()
     assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute(rows, 80)
     # 20 leading bits: a range is an anchor
-    packed = suffixes.B.pack(spark.createDataFrame(shared_passage(), "doc_id long, text string"), block_bytes)
+    packed = suffixes.B.pack(spark.createDataFrame(shared_passage(), "doc_id long, text string"), block_bytes, more=suffixes.stored_segments(80))
     known = packed.join(suffixes.ask_anchors(packed, 80, 20), "block", "left")
     sent = suffixes.send_segments(known, 80, 20).selectExpr("range", "length(sizes) / 8 as n").groupBy("range").sum("n").collect()
     assert sent and max(r[1] for r in sent) <= 12
     assert suffixes.ask_strings(known, 80, 20).count() > 0
+
+
+@pytest.mark.parametrize("block_bytes", [4 << 20, 6000])
+def test_planted_passages_are_removed_and_other_documents_left_alone(spark, monkeypatch, block_bytes):
+    """Passages of 400 bytes and more: exact copies, a hot passage in a third of the documents, also over the borders of blocks."""
+    monkeypatch.setattr(suffixes, "BLOCK_BYTES", block_bytes)
+    rng = np.random.default_rng(21)
+
+    def text(k):
+        return "".join(rng.choice(list("abcdefghijklm nop é"), k))
+    hot, pair, short = text(600), text(450), text(300)
+    rows = [(i, text(400) + hot + text(300)) for i in range(60)]
+    rows += [(100 + i, text(int(rng.integers(500, 2500))) + pair + text(20)) for i in range(2)]
+    rows += [(200 + i, copy) for copy in [text(900)] for i in range(5)]
+    clean = [(300 + i, text(int(rng.integers(0, 1500)))) for i in range(60)] + [(400 + i, text(200) + short + text(200)) for i in range(20)]
+    df = spark.createDataFrame([(d, t, "x", 1.0) for d, t in rows + clean], "doc_id long, text string, raw string, block double")
+    got = suffixes.drop_repeats(df, 400).collect()
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute(rows + clean, 400)
+    removed = {r.doc_id: r.n_removed for r in got}
+    least = {0: len(hot.encode()), 1: len(pair.encode()), 2: 900}
+    assert all(removed[d] >= least[d // 100] for d, _ in rows) and all(removed[d] == 0 for d, _ in clean)

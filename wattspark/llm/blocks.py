@@ -30,8 +30,9 @@ from wattspark.session import checkpoint_dir
 BLOCK_BYTES = 4 << 20
 
 
-def pack(documents: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(block, ids, sizes, raw): block number, doc_ids, text sizes (int64) and the texts end to end (compressed)."""
+def pack(documents: DataFrame, block_bytes: int = BLOCK_BYTES, *, more: Callable[[np.ndarray, bytes], bytes] | None = None) -> DataFrame:
+    """(block, ids, sizes, raw, more): block number, doc_ids, text sizes (int64), the texts end to end (compressed),
+    and what ``more`` makes of sizes and texts, worked out once and stored with them."""
     spark = documents.sparkSession
     src = documents.select("doc_id", F.col("text").cast("binary").alias("raw"))
 
@@ -40,10 +41,11 @@ def pack(documents: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         ids, texts, size = [], [], 0
 
         def row():
-            sizes = np.array([len(t) for t in texts], np.int64).tobytes()
+            sizes, raw = np.array([len(t) for t in texts], np.int64), b"".join(texts)
             return pa.RecordBatch.from_arrays(
-                [pa.array([(part << 32) + n]), pa.array([ids], pa.list_(kind)), pa.array([sizes], pa.binary()),
-                 pa.array([zstandard.compress(b"".join(texts))], pa.binary())], ["block", "ids", "sizes", "raw"])
+                [pa.array([(part << 32) + n]), pa.array([ids], pa.list_(kind)), pa.array([sizes.tobytes()], pa.binary()),
+                 pa.array([zstandard.compress(raw)], pa.binary()), pa.array([more and more(sizes, raw)], pa.binary())],
+                ["block", "ids", "sizes", "raw", "more"])
         kind = None
         for b in batches:
             kind = b.column(0).type
@@ -59,7 +61,7 @@ def pack(documents: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
             yield row()
 
     schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(src.schema["doc_id"].dataType)),
-                           T.StructField("sizes", T.BinaryType()), T.StructField("raw", T.BinaryType())])
+                           *[T.StructField(c, T.BinaryType()) for c in ("sizes", "raw", "more")]])
     name = f"blocks_{uuid.uuid4().hex}"
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     src.mapInArrow(run, schema).write.option("path", f"{checkpoint_dir(spark).rstrip('/')}/{name}").bucketBy(
@@ -83,6 +85,12 @@ def bucket_bits(blocks: DataFrame) -> int:
     return max(1, min(20, (blocks.count() - 1).bit_length()))
 
 
+def by_range(sent: DataFrame, bits: int) -> DataFrame:
+    """Rows dealt out by range: tasks grow in number with the blocks, whatever the session's partitions, and not in size."""
+    least = int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return sent.repartition(max(least, (1 << bits) // 4), "range")
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit hashes."""
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
@@ -147,7 +155,7 @@ def ask(blocks: DataFrame, keys_of: Callable[..., np.ndarray], bits: int, width:
                          "bits": pa.array(bits_, pa.binary()), "many": pa.array(many_, pa.binary())})
 
     sent = blocks.mapInArrow(emit, "range long, block long, slice binary, twice binary, often binary")
-    found = sent.groupBy("range").applyInArrow(judge, "block long, range long, n int, bits binary, many binary")
+    found = by_range(sent, bits).groupBy("range").applyInArrow(judge, "block long, range long, n int, bits binary, many binary")
     own = ["range", "n", "bits"] + ["many"] * bool(many)
     return found.groupBy("block").agg(F.array_sort(F.collect_list(F.struct(*own))).alias("answers"))
 

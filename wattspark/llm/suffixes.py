@@ -32,6 +32,8 @@ is a value like any other; strings never cross texts.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -221,15 +223,11 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1:width - 1 + n])
 
 
-class _Block:
-    """The bytes of a block and its segments: first and last start, and the anchor's hash. Worked off in pieces of ``_PIECE`` starts."""
+class _Segments:
+    """Finds the segments of a block: first and last start, and the anchor's hash. Worked off in pieces of ``_PIECE`` starts."""
 
-    def __init__(self, row: dict, length: int):
-        sizes = np.frombuffer(row["sizes"], np.int64)
-        self.raw = zstandard.decompress(row["raw"])
-        self.ends = np.cumsum(sizes)
-        self.begins = self.ends - sizes
-        self.length = length
+    def __init__(self, sizes: np.ndarray, raw: bytes, length: int):
+        self.raw, self.ends, self.length = raw, np.cumsum(sizes), length
         found = [np.empty((4, 0), np.int64)]
         for at in range(0, max(0, len(self.raw) - length + 1), _PIECE):
             piece = self._segments(at, min(at + _PIECE, len(self.raw) - length + 1))
@@ -238,8 +236,7 @@ class _Block:
                 before[1, -1] = piece[1, 0]  # a segment goes on over the end of a piece
                 piece = piece[:, 1:]
             found += [piece] if piece.shape[1] else []
-        self.first, self.last, _, keys = np.concatenate(found, axis=1)
-        self.keys = keys.view(np.uint64)
+        self.found = np.concatenate(found, axis=1)[[0, 1, 3]]
 
     def _segments(self, lo: int, hi: int) -> np.ndarray:
         """First start, last start, anchor and its hash of the segments of the starts lo to hi."""
@@ -259,6 +256,28 @@ class _Block:
         # anchors are the least hashes around: mixed again, their leading bits deal them out evenly
         return np.stack((starts[new], starts[last], anchor[new] + lo, B.mixed(~h[anchor[new]]).view(np.int64)))
 
+
+def stored_segments(length: int):
+    """For ``blocks.pack``: the segments of a block, to be stored with it."""
+    return lambda sizes, raw: zstandard.compress(_Segments(sizes, raw, length).found.tobytes())
+
+
+class _Block:
+    """The bytes of a block and its stored segments."""
+
+    def __init__(self, row: dict, length: int):
+        sizes = np.frombuffer(row["sizes"], np.int64)
+        self._raw = row["raw"]
+        self.ends = np.cumsum(sizes)
+        self.begins = self.ends - sizes
+        self.length = length
+        self.first, self.last, keys = np.frombuffer(zstandard.decompress(row["more"]), np.int64).reshape(3, -1)
+        self.keys = keys.view(np.uint64)
+
+    @cached_property
+    def raw(self) -> bytes:
+        return zstandard.decompress(self._raw)
+
     def different(self) -> np.ndarray:
         """The anchors' hashes, one of each different segment (twice where equal ones of the block are all there is)."""
         keys, number, counts = B.sorted_keys(self.keys[:, None])
@@ -349,7 +368,7 @@ def ask_segments(blocks: DataFrame, length: int, bits: int) -> DataFrame:
         return pa.table({"block": group["block"], "range": group["range"], "n": pa.array([len(o) for o in out], pa.int32()),
                          "bits": pa.array([np.packbits(o).tobytes() for o in out], pa.binary())})
 
-    found = send_segments(blocks, length, bits).groupBy("range").applyInArrow(judge, "block long, range long, n int, bits binary")
+    found = B.by_range(send_segments(blocks, length, bits), bits).groupBy("range").applyInArrow(judge, "block long, range long, n int, bits binary")
     return found.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("range", "n", "bits"))).alias("answers"))
 
 
@@ -364,7 +383,7 @@ def ask_strings(blocks: DataFrame, length: int, bits: int) -> DataFrame:
 
 def drop_repeats(documents: DataFrame, length: int = 400, texts: bool = False) -> DataFrame:
     """One row per document row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and if asked the kept bytes."""
-    packed = B.pack(documents, BLOCK_BYTES)
+    packed = B.pack(documents, BLOCK_BYTES, more=stored_segments(length))
     bits = B.bucket_bits(packed)
     first = stage_table(ask_anchors(packed, length, bits), "suffix-anchors")
     known = packed.join(first, "block", "left")
@@ -382,8 +401,9 @@ def drop_repeats(documents: DataFrame, length: int = 400, texts: bool = False) -
                 block = _Block(row, length)
                 order, found = block.doubtful(row["answers"])
                 hits, at = B.answered(row["hits"]), 0
-                gone = np.zeros(len(block.raw) + 1, np.int64)
-                for segment in order:
+                data = np.frombuffer(block.raw, np.uint8)
+                gone = np.zeros(len(data) + 1, np.int32)
+                for segment in order if len(hits) and hits.any() else ():
                     n = len(segment[1]) - length + 1
                     own = np.flatnonzero(hits[at:at + n])
                     at += n
@@ -396,13 +416,12 @@ def drop_repeats(documents: DataFrame, length: int = 400, texts: bool = False) -
                     np.add.at(gone, own, 1)
                     np.add.at(gone, own + length, -1)
                 gone = np.cumsum(gone)[:-1] > 0
-                data = np.frombuffer(block.raw, np.uint8)
+                before = np.concatenate(([0], np.cumsum(gone)))
                 rows = []
-                for i, j in zip(block.begins.tolist(), block.ends.tolist()):
+                for i, j, n in zip(block.begins.tolist(), block.ends.tolist(), (before[block.ends] - before[block.begins]).tolist()):
                     g = gone[i:j]
-                    kept = data[i:j][~g].tobytes() if g.any() else block.raw[i:j]
-                    rows.append((j - i, int(g.sum()), int(np.count_nonzero(g & ~np.concatenate(([False], g[:-1])))) if j > i else 0,
-                                 B.sha256(kept), kept if texts else None))
+                    kept = data[i:j][~g].tobytes() if n else block.raw[i:j]
+                    rows.append((j - i, n, int(g[0]) + int(np.count_nonzero(g[1:] & ~g[:-1])) if n else 0, B.sha256(kept), kept if texts else None))
                 cols = list(zip(*rows))
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
                 yield pa.RecordBatch.from_arrays(
@@ -412,5 +431,5 @@ def drop_repeats(documents: DataFrame, length: int = 400, texts: bool = False) -
     schema = T.StructType([T.StructField("doc_id", packed.schema["ids"].dataType.elementType)] + [
         T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")] + [
         T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.BinaryType())])
-    out = both.select("block", "ids", "sizes", "raw", "answers", "hits", "string_hits").mapInArrow(cut, schema)
+    out = both.select("block", "ids", "sizes", "raw", "more", "answers", "hits", "string_hits").mapInArrow(cut, schema)
     return out if texts else out.drop("kept")
