@@ -80,15 +80,15 @@ def texts_of(sizes: bytes, raw: bytes) -> list[bytes]:
     return out
 
 
-def bucket_bits(blocks: DataFrame) -> int:
-    """Leading bits that deal keys out to about as many ranges as there are blocks."""
-    return max(1, min(20, (blocks.count() - 1).bit_length()))
+def dealing(blocks: DataFrame) -> tuple[int, int]:
+    """Leading bits that deal keys out to about as many ranges as there are blocks, and a task for every four blocks."""
+    n = blocks.count()
+    return max(1, min(20, (n - 1).bit_length())), -(-n // 4)
 
 
-def by_range(sent: DataFrame, bits: int) -> DataFrame:
-    """Rows dealt out by range: tasks grow in number with the blocks, whatever the session's partitions, and not in size."""
-    least = int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return sent.repartition(max(least, (1 << bits) // 4), "range")
+def by_range(sent: DataFrame, tasks: int) -> DataFrame:
+    """Rows dealt out by range to so many tasks, or as many as the session has partitions."""
+    return sent.repartition(max(tasks, int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "range")
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -111,7 +111,8 @@ def sorted_keys(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return own[first], number, np.diff(np.append(first, len(keys)))
 
 
-def ask(blocks: DataFrame, keys_of: Callable[..., np.ndarray], bits: int, width: int, many: int | None = None) -> DataFrame:
+def ask(blocks: DataFrame, keys_of: Callable[..., np.ndarray], bits: int, width: int, many: int | None = None,
+        tasks: int = 1) -> DataFrame:
     """(block, answers): for the sorted distinct keys of each block, packed bits of those that occur twice or more over all.
 
     keys_of takes a row of ``blocks`` as a dict and returns keys, n x ``width`` uint64; the first is dealt by its leading bits.
@@ -155,7 +156,7 @@ def ask(blocks: DataFrame, keys_of: Callable[..., np.ndarray], bits: int, width:
                          "bits": pa.array(bits_, pa.binary()), "many": pa.array(many_, pa.binary())})
 
     sent = blocks.mapInArrow(emit, "range long, block long, slice binary, twice binary, often binary")
-    found = by_range(sent, bits).groupBy("range").applyInArrow(judge, "block long, range long, n int, bits binary, many binary")
+    found = by_range(sent, tasks).groupBy("range").applyInArrow(judge, "block long, range long, n int, bits binary, many binary")
     own = ["range", "n", "bits"] + ["many"] * bool(many)
     return found.groupBy("block").agg(F.array_sort(F.collect_list(F.struct(*own))).alias("answers"))
 

@@ -317,9 +317,9 @@ class _Block:
         return sorted(found), found
 
 
-def ask_anchors(blocks: DataFrame, length: int, bits: int) -> DataFrame:
+def ask_anchors(blocks: DataFrame, length: int, bits: int, tasks: int = 1) -> DataFrame:
     """(block, answers): which anchors of each block occur twice, and which have more than ``MANY`` different segments."""
-    return B.ask(blocks, lambda row: _Block(row, length).different(), bits, 1, MANY)
+    return B.ask(blocks, lambda row: _Block(row, length).different(), bits, 1, MANY, tasks)
 
 
 def send_segments(blocks: DataFrame, length: int, bits: int) -> DataFrame:
@@ -343,7 +343,7 @@ def send_segments(blocks: DataFrame, length: int, bits: int) -> DataFrame:
     return blocks.mapInArrow(emit, "range long, block long, sizes binary, twice binary, raw binary")
 
 
-def ask_segments(blocks: DataFrame, length: int, bits: int) -> DataFrame:
+def ask_segments(blocks: DataFrame, length: int, bits: int, tasks: int = 1) -> DataFrame:
     """(block, answers): for the doubtful segments of each block, packed bits of the starts that repeat."""
 
     def judge(group: pa.Table) -> pa.Table:
@@ -368,7 +368,7 @@ def ask_segments(blocks: DataFrame, length: int, bits: int) -> DataFrame:
         return pa.table({"block": group["block"], "range": group["range"], "n": pa.array([len(o) for o in out], pa.int32()),
                          "bits": pa.array([np.packbits(o).tobytes() for o in out], pa.binary())})
 
-    found = B.by_range(send_segments(blocks, length, bits), bits).groupBy("range").applyInArrow(judge, "block long, range long, n int, bits binary")
+    found = B.by_range(send_segments(blocks, length, bits), tasks).groupBy("range").applyInArrow(judge, "block long, range long, n int, bits binary")
     return found.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("range", "n", "bits"))).alias("answers"))
 
 
@@ -384,10 +384,10 @@ def ask_strings(blocks: DataFrame, length: int, bits: int) -> DataFrame:
 def drop_repeats(documents: DataFrame, length: int = 400, texts: bool = False) -> DataFrame:
     """One row per document row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and if asked the kept bytes."""
     packed = B.pack(documents, BLOCK_BYTES, more=stored_segments(length))
-    bits = B.bucket_bits(packed)
-    first = stage_table(ask_anchors(packed, length, bits), "suffix-anchors")
+    bits, tasks = B.dealing(packed)
+    first = stage_table(ask_anchors(packed, length, bits, tasks), "suffix-anchors")
     known = packed.join(first, "block", "left")
-    second = stage_table(ask_segments(known, length, bits), "suffix-segments")
+    second = stage_table(ask_segments(known, length, bits, tasks), "suffix-segments")
     both = known.join(second.withColumnRenamed("answers", "hits"), "block", "left")
     if first.where(CROWDED).isEmpty():
         both = both.withColumn("string_hits", F.lit(None))

@@ -109,15 +109,15 @@ class _Words:
 def drop_repeats(documents: DataFrame, width: int = 35, texts: bool = False) -> DataFrame:
     """One row per document row: doc_id, n_words, n_removed, kept_sha256, and if asked the kept text (words joined by a space)."""
     packed = B.pack(documents)
-    bits = B.bucket_bits(packed)
+    bits, tasks = B.dealing(packed)
     caches: dict[int, _Hashes] = {}
 
     def words(row):  # one cache a worker
         return _Words(row, caches.setdefault(0, _Hashes()))
 
-    first = stage_table(B.ask(packed, lambda row: words(row).anchors(width)[1], bits, 1), "words-anchors")
+    first = stage_table(B.ask(packed, lambda row: words(row).anchors(width)[1], bits, 1, tasks=tasks), "words-anchors")
     known = packed.join(first, "block", "left")
-    second = stage_table(B.ask(known, lambda row: words(row).windows(width, row["answers"])[1], bits, 2), "words-windows")
+    second = stage_table(B.ask(known, lambda row: words(row).windows(width, row["answers"])[1], bits, 2, tasks=tasks), "words-windows")
     both = known.join(second.withColumnRenamed("answers", "windows"), "block", "left")
     doc_type = packed.schema["ids"].dataType.elementType
 
