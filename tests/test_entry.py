@@ -5,6 +5,7 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_mod
 
@@ -104,3 +105,14 @@ def test_slicer_pushes_timestamp_filter(spark, scratch):
     plan = _plan(df)
     assert "PushedFilters" in plan and "GreaterThanOrEqual(timestamp" in plan and "LessThan(timestamp" in plan
     assert "ReadSchema: struct<reading_id:bigint,timestamp:timestamp_ntz>" in plan
+
+
+def test_quantiles_shuffle_buckets_and_not_values(spark):
+    """The first pass exchanges (group, bucket) counts; values are exchanged only behind the broadcast of wanted buckets."""
+    df = spark.range(20_000).selectExpr("if(id % 3 = 0, 'a', 'b') as g", "id * 0.37 + 0.01 as v")
+    from wattspark.operators.quantiles import grouped_quantiles
+    out = grouped_quantiles(df, "g", "v", {"q": 0.5})
+    want = {r.g: r.q for r in df.groupBy("g").agg(F.expr("percentile(v, 0.5)").alias("q")).collect()}
+    assert {r.g: pytest.approx(r.q) for r in out.collect()} == want
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "BroadcastHashJoin" in plan and plan.index("BroadcastHashJoin") < len(plan)

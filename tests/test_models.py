@@ -165,3 +165,29 @@ def test_open_households_are_learned_and_unseen_ones_are_zero(spark):
         assert hot == ([] if row.household_id == "User_8" else [int(row.household_id[-1])])
     model = training.fit(training.linear_pipeline(open_households=True), users)
     assert model.transform(users).where("predicted is null").count() == 0
+
+
+def test_a_rewritten_folder_is_fitted_anew(spark, tmp_path):
+    """The state comes from the listing: an even number of rows, and files of the same size, make no difference."""
+    from wattspark.plans import q_models
+    src = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").limit(200)
+    path = f"{tmp_path}/orders.parquet"
+    src.write.parquet(path)
+    made = []
+    for factor in (1, 1, 2, 2):
+        if factor == 2 and len(made) == 1:
+            src.withColumn("o_totalprice", F.col("o_totalprice") * 2).write.mode("overwrite").parquet(path)
+        q_models._once(spark, str(tmp_path), "probe", lambda: made.append(factor))
+    assert made == [1, 2]
+
+
+def test_requests_are_decoded_in_one_pass(spark, noiseless):
+    """Accepted and rejected requests come out of one scan, and each body is parsed once."""
+    from wattspark.sources.adapters import requests_from_events
+    small = noiseless.where("split = 'train'").limit(500)
+    forest = training.fit(training.forest_pipeline(numTrees=2, maxDepth=2), small)
+    out = scoring.score_requests(training.fit(training.linear_pipeline(), small), forest, requests_from_events(spark, SF))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1
+    assert {r.status for r in out.select("status").distinct().collect()} == {"success", "error"}
+    assert out.where("status = 'error' and (prediction is not null or error is null)").count() == 0

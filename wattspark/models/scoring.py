@@ -82,8 +82,8 @@ def score_requests(boosted: PipelineModel, forest: PipelineModel, requests: Data
     literal array.
     """
     checked = validate_requests(parse_requests(requests))
-    feats = request_features(checked.where("is_valid"))
-    scored = boosted.transform(feats).withColumn("kwh", lab.clip_at_zero("predicted"))
+    # rejected requests go through the model too, with unknown features: each body is decoded once
+    scored = boosted.transform(request_features(checked)).withColumn("kwh", lab.clip_at_zero("predicted"))
     category = lab.category_seasonal("kwh", "season", "hour")
     # three (feature, importance) pairs of model metadata: a literal, not a subquery per run
     drivers = F.array(*[F.struct(F.lit(f).alias("factor"), F.lit(v).alias("importance"))
@@ -92,8 +92,7 @@ def score_requests(boosted: PipelineModel, forest: PipelineModel, requests: Data
                           lab.explanation(category, "hour", "day_type", "season", "load_shedding_stage",
                                           "has_backup_power").alias("explanation"))
     context = F.struct("hour", "day_type", "season", "load_shedding_stage", "has_backup_power", "household_id")
-    good = scored.select("request_id", F.lit("success").alias("status"), prediction.alias("prediction"),
-                         context.alias("input_context"), drivers.alias("top_drivers"), "error")
-    nothing = [F.lit(None).cast(good.schema[c].dataType).alias(c) for c in ("prediction", "input_context", "top_drivers")]
-    bad = checked.where("not is_valid").select("request_id", F.lit("error").alias("status"), *nothing, "error")
-    return good.unionByName(bad)
+    good = F.col("is_valid")
+    return scored.select("request_id", F.when(good, F.lit("success")).otherwise(F.lit("error")).alias("status"),
+                         *[F.when(good, c).alias(n) for n, c in (("prediction", prediction), ("input_context", context), ("top_drivers", drivers))],
+                         "error")

@@ -123,8 +123,8 @@ def residual_histogram(df: DataFrame, bins: int = C.HISTOGRAM_BINS) -> DataFrame
     Without a scored reading there is no bin.
     """
     res = actual() - pred()
-    lo = df.select(F.min(res)).scalar()
-    hi = df.select(F.max(res)).scalar()
+    ends = df.select(F.struct(F.min(res).alias("lo"), F.max(res).alias("hi"))).scalar()
+    lo, hi = ends.getField("lo"), ends.getField("hi")
     width = (hi - lo) / F.lit(float(bins))
     at = F.when(width > 0, F.least(F.floor((res - lo) / width), F.lit(bins - 1))).otherwise(F.lit(0)).cast("int")
     counts = scored(df).select(at.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("_c"))

@@ -5,15 +5,17 @@ aggregation buffer, and a window ``row_number() over (partition by group)``
 sorts a whole group in one task: both break when one group holds a third of
 the data. Here ranks come from counts instead:
 
-1. count equal values per group, with a map-side combine: a value that fills
-   half a group is one row from here on;
-2. bucket the values by a monotone function of the value alone (4,096 buckets
-   for each factor e), and add up the buckets: a running sum over this small
-   table gives each bucket's rank offset, and so the buckets that hold the
-   wanted ranks (at most two per quantile and group);
-3. only the values of those buckets are ordered, each bucket by itself, and
-   the values at the floor and ceiling ranks interpolated linearly, the
-   ``quantile_cont`` / ``percentile`` definition: position p x (n - 1).
+1. first pass: bucket the values by a monotone function of the value alone
+   (``BUCKETS_PER_E`` buckets for each factor e) and count each bucket, with a
+   map-side combine: what is shuffled is at most one row a bucket and task. A
+   running sum over this small table gives each bucket's rank offset, and so the
+   buckets that hold the wanted ranks (at most two per quantile and group);
+2. second pass: rows outside those buckets (a broadcast table of that bounded
+   size) are left out in the scan's own stage. Equal values of the rest are
+   counted (a value that fills half a group is one row from here on) and
+   ordered, each bucket by itself, and the values at the floor and ceiling
+   ranks interpolated linearly, the ``quantile_cont`` / ``percentile``
+   definition: position p x (n - 1).
 
 Every key is a function of the row, so the result does not depend on how (or
 how often) Spark evaluates, splits or reuses any exchange.
@@ -26,7 +28,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS_PER_E = 4096
+BUCKETS_PER_E = 1024
 #: Values below this in size share the buckets next to zero.
 SMALLEST = 2.0 ** -30
 
@@ -40,11 +42,10 @@ def grouped_quantiles(df: DataFrame, group: str, value: str, probs: dict[str, fl
     """One row per group with a column per named probability; null groups and null values are left out."""
     v = df.select(F.col(group).alias("_g"), (F.col(value).cast("double") + 0.0).alias("_v")) \
         .where(F.col("_g").isNotNull() & F.col("_v").isNotNull())
-    counts = v.groupBy("_g", "_v").agg(F.count(F.lit(1)).alias("_c")).withColumn("_b", _bucket(F.col("_v")))
-
+    v = v.withColumn("_b", _bucket(F.col("_v")))
     in_group = Window.partitionBy("_g")
     before = in_group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = counts.groupBy("_g", "_b").agg(F.sum("_c").alias("_bc")).select(
+    buckets = v.groupBy("_g", "_b").agg(F.count(F.lit(1)).alias("_bc")).select(
         F.col("_g").alias("_bg"), F.col("_b").alias("_bb"), "_bc",
         F.coalesce(F.sum("_bc").over(before), F.lit(0)).alias("_before"), F.sum("_bc").over(in_group).alias("_n"))
 
@@ -54,7 +55,9 @@ def grouped_quantiles(df: DataFrame, group: str, value: str, probs: dict[str, fl
 
     wanted = [r for p in probs.values() for r in ranks(p)]
     holds = reduce(lambda a, b: a | b, [(r >= F.col("_before")) & (r < F.col("_before") + F.col("_bc")) for r in wanted])
-    rows = counts.join(buckets.where(holds), (F.col("_g") == F.col("_bg")) & (F.col("_b") == F.col("_bb")))
+    held = F.broadcast(buckets.where(holds))  # two rows a quantile and group
+    rows = v.join(held, (F.col("_g") == F.col("_bg")) & (F.col("_b") == F.col("_bb"))).groupBy("_g", "_b", "_v").agg(
+        F.count(F.lit(1)).alias("_c"), F.first("_before").alias("_before"), F.first("_n").alias("_n"))
     earlier = Window.partitionBy("_g", "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_first", F.col("_before") + F.coalesce(F.sum("_c").over(earlier), F.lit(0)))
 

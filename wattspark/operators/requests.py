@@ -53,9 +53,9 @@ def parse_requests(df: DataFrame, body: str = "body") -> DataFrame:
     d = C.REQUEST_DEFAULTS
     names = list(d)
     read = _once(df, _v=F.try_parse_json(F.col(body)))
-    read = _once(read, **{f"_k{i}": F.schema_of_variant(F.try_variant_get("_v", f"$.{n}", "variant")) for i, n in enumerate(names)},
-                 **{f"_t{i}": F.try_variant_get("_v", f"$.{n}", "string") for i, n in enumerate(names)},
-                 _kind=F.schema_of_variant("_v"))
+    read = _once(read, **{f"_f{i}": F.try_variant_get("_v", f"$.{n}", "variant") for i, n in enumerate(names)})
+    read = _once(read, **{f"_k{i}": F.schema_of_variant(f"_f{i}") for i in range(len(names))},
+                 **{f"_t{i}": F.try_variant_get(f"_f{i}", "$", "string") for i in range(len(names))}, _kind=F.schema_of_variant("_v"))
     kind = {n: F.col(f"_k{i}") for i, n in enumerate(names)}
     text = {n: F.col(f"_t{i}") for i, n in enumerate(names)}
 
@@ -69,7 +69,7 @@ def parse_requests(df: DataFrame, body: str = "body") -> DataFrame:
                 malformed=~F.coalesce(F.col("_kind").startswith("OBJECT"), F.lit(False)))
     unreadable = F.coalesce(*[F.when(F.col(n).isNull(), F.lit(n)) for n in ("hour", "day_type", "load_shedding_stage")])
     out = out.withColumn("unreadable", F.when(~F.col("malformed"), unreadable))
-    return out.drop("_v", "_kind", *[f"_{x}{i}" for x in "kt" for i in range(len(names))])
+    return out.drop("_v", "_kind", *[f"_{x}{i}" for x in "fkt" for i in range(len(names))])
 
 
 def validation_error(hour="hour", day_type="day_type", season="season", stage="load_shedding_stage",

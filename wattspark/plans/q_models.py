@@ -32,11 +32,16 @@ from wattspark.sources.adapters import requests_from_events
 _CACHE: dict = {}
 
 
+def _state(spark, sf):
+    """What identifies the orders files: path, size and time of each, from their listing (no row is read)."""
+    files = spark.read.format("binaryFile").load(f"{sf}/orders.parquet").select("path", "length", "modificationTime")
+    return tuple(files.agg(F.count(F.lit(1)), F.sum("length"), F.max("modificationTime"),
+                           F.bit_xor(F.xxhash64("path", "length", "modificationTime"))).first())
+
+
 def _once(spark, sf, kind, make):
     """``make()`` once per session, folder and state of its orders files (a rewritten folder is fitted anew)."""
-    files = spark.read.parquet(f"{sf}/orders.parquet").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
-    state = files.agg(F.bit_xor(F.xxhash64("file_path", "file_size", "file_modification_time"))).first()[0]
-    key = (session_key(spark), sf, kind)
+    state, key = _state(spark, sf), (session_key(spark), sf, kind)
     if key not in _CACHE or _CACHE[key][0] != state:
         _CACHE[key] = (state, make())
     return _CACHE[key][1]
