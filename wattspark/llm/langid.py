@@ -46,13 +46,19 @@ BUCKETS = 1 << 16
 ROUNDS, RATE, L2 = 80, 0.3, 1e-4
 BLOCK, BATCH_CHARS, REMEMBERED = 2_048, 4_000_000, 400_000
 UNDETERMINED = "und"
+_LETTERS = r"[^\W\d_]+"
 #: Combining marks stay inside the words of the scripts that write them.
 _MARKS = "".join(chr(c) for c in range(0x300, 0x20000) if unicodedata.category(chr(c))[0] == "M")
-_WORD = re.compile(rf"[^\W\d_]+(?:[{_MARKS}]+[^\W\d_]*)*")
+_PLAIN, _MARKED = re.compile(_LETTERS), re.compile(rf"{_LETTERS}(?:[{_MARKS}]+[^\W\d_]*)*")
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    text = text.lower()
+    try:
+        text.encode("latin-1")  # no marks: the plain pattern finds the same words faster
+    except UnicodeEncodeError:
+        return _MARKED.findall(text)
+    return _PLAIN.findall(text)
 
 
 def features(word: str, lexicon: dict[str, int]) -> list[int]:
@@ -114,27 +120,33 @@ def forward_backward(emit: np.ndarray, trans: np.ndarray, lengths: np.ndarray, e
     return post / post.sum(axis=1, keepdims=True)
 
 
-def chain_messages(emit: np.ndarray, trans: np.ndarray, blocks: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """enter and leave of the blocks of one sequence that is cut every ``size`` words.
+def through_blocks(emit: np.ndarray, trans: np.ndarray, lengths: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """What each block (laid end to end, longest first) does to a message from its left: a matrix, worked out word by word side by side.
 
-    A block acts on messages as one matrix; the matrices of all blocks are multiplied up word by word side by side.
+    first: whether the block begins its text, so that no transition leads into it.
     """
-    n = emit.shape[1]
-    through = np.broadcast_to(np.eye(n), (blocks, n, n)).copy()
-    for t in range(size):
-        at = np.arange(t, len(emit), size)
-        now = (through[:len(at)] @ trans) * emit[at][:, None, :]
-        through[:len(at)] = now / now.sum(axis=(1, 2), keepdims=True)
-    enter, leave = np.ones((blocks, n)), np.ones((blocks, n))
-    ahead = emit[0]
-    for t in range(1, min(size, len(emit))):
-        ahead = (ahead @ trans) * emit[t]
-        ahead = ahead / ahead.sum()
-    for b in range(1, blocks):
-        enter[b] = ahead @ trans
+    starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+    eye = np.eye(len(trans))
+    out = np.where(first[:, None, None], eye, trans) * emit[starts][:, None, :]
+    steps = int(lengths[0])
+    active = np.searchsorted(-lengths, -np.arange(steps), side="left")
+    for t in range(1, steps):
+        n = active[t]
+        out[:n] = (out[:n] @ trans) * emit[starts[:n] + t][:, None, :]
+        if t % 8 == 0:
+            out[:n] /= out[:n].sum(axis=(1, 2), keepdims=True)
+    return out / out.sum(axis=(1, 2), keepdims=True)
+
+
+def chain_messages(through: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """enter and leave of the blocks of one text, in order, from their matrices."""
+    enter, leave = np.ones(through.shape[:2]), np.ones(through.shape[:2])
+    ahead = np.ones(len(trans))
+    for b in range(len(through) - 1):
         ahead = ahead @ through[b]
         ahead = ahead / ahead.sum()
-    for b in range(blocks - 2, -1, -1):
+        enter[b + 1] = ahead @ trans
+    for b in range(len(through) - 2, -1, -1):
         leave[b] = through[b + 1] @ leave[b + 1]
         leave[b] /= leave[b].sum()
     return enter, leave
@@ -282,10 +294,20 @@ class _Decoder:
         if blocks:
             parts = [docs[d][i:i + BLOCK] for d, i in blocks]
             lengths = np.array([len(p) for p in parts])
-            sides = {d: chain_messages(self.factors[ids], self.trans, -(-len(ids) // BLOCK), BLOCK) for d, ids in enumerate(docs) if len(ids) > BLOCK}
-            one = np.ones((1, len(self.model.labels)))
-            enter, leave = (np.concatenate([sides[d][k][i // BLOCK][None] if d in sides else one for d, i in blocks]) for k in (0, 1))
-            post = forward_backward(self.factors[np.concatenate(parts)], self.trans, lengths, enter, leave)
+            emit = self.factors[np.concatenate(parts)]
+            enter, leave = np.ones((2, len(blocks), len(self.model.labels)))
+            long = [k for k, (d, _) in enumerate(blocks) if len(docs[d]) > BLOCK]
+            if long:
+                begins = np.cumsum(lengths) - lengths
+                rows = np.concatenate([np.arange(begins[k], begins[k] + lengths[k]) for k in long])
+                through = through_blocks(emit[rows], self.trans, lengths[long], np.array([blocks[k][1] == 0 for k in long]))
+                of: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+                for m, k in enumerate(long):
+                    of[blocks[k][0]].append((blocks[k][1], m, k))
+                for own in map(sorted, of.values()):
+                    at = [k for *_, k in own]
+                    enter[at], leave[at] = chain_messages(through[[m for _, m, _ in own]], self.trans)
+            post = forward_backward(emit, self.trans, lengths, enter, leave)
             at = 0
             for (d, i), n in zip(blocks, lengths):
                 out[d][i:i + n] = post[at:at + n]
