@@ -59,7 +59,7 @@ def oracle_sql() -> dict[str, str]:
 
 def _load() -> None:
     # importing the modules registers their queries
-    from wattspark.plans import q_rollups, q_windows, q_features, q_models  # noqa: F401
+    from wattspark.plans import q_rollups, q_windows, q_features, q_models, q_stored  # noqa: F401
 
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:

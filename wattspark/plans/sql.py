@@ -25,6 +25,9 @@ ORDERS_READINGS = """r AS (
 # Seven households, two of them without a profile.
 ORDERS_OPEN = ORDERS_READINGS.replace("o_custkey % 5 + 1", "o_custkey % 7 + 1")
 
+# Every customer is a household.
+ORDERS_BY_CUSTOMER = ORDERS_READINGS.replace("'House_' || CAST(o_custkey % 5 + 1 AS VARCHAR)", "'Customer_' || CAST(o_custkey AS VARCHAR)")
+
 EVENTS_READINGS = """r AS (
   SELECT event_id AS reading_id,
          'House_' || CAST(user_id % 5 + 1 AS VARCHAR) AS household_id,

@@ -43,10 +43,17 @@ def orders_open_households(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _orders_readings(_table(spark, sf_dir, "orders"), households=7)
 
 
-def _orders_readings(o: DataFrame, households: int = 5) -> DataFrame:
+def orders_by_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``orders_readings`` with every customer as a household of its own (an open set of households)."""
+    o = _table(spark, sf_dir, "orders")
+    return _orders_readings(o, F.concat(F.lit("Customer_"), F.col("o_custkey").cast("string")))
+
+
+def _orders_readings(o: DataFrame, household: Column | None = None, households: int = 5) -> DataFrame:
+    household = F.concat(F.lit("House_"), (F.col("o_custkey") % households + 1).cast("string")) if household is None else household
     return o.select(
         F.col("o_orderkey").alias("reading_id"),
-        F.concat(F.lit("House_"), (F.col("o_custkey") % households + 1).cast("string")).alias("household_id"),
+        household.alias("household_id"),
         (F.col("o_orderdate") + F.make_dt_interval(F.lit(0), (F.col("o_orderkey") % 24).cast("int")))
         .alias("timestamp"),
         (F.col("o_totalprice") / F.lit(249989.0)).alias("energy_consumption"),
@@ -136,5 +143,20 @@ def requests_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("event_id").alias("request_id"), F.coalesce(F.when(k >= 10, odd), F.to_json(fields)).alias("body"))
 
 
+def orders_csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a readings CSV file (without header), one per order; some of every 97 hold a field that does not fit, by order key."""
+    r = orders_readings(spark, sf_dir)
+    odd = F.pmod(F.col("reading_id"), F.lit(97))
+    fields = [
+        F.col("household_id"),
+        F.when(odd == 1, F.lit("yesterday")).otherwise(F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss")),
+        F.when(odd == 2, F.lit("n/a")).when(odd == 7, F.lit("")).when(odd == 8, F.lit("NaN")).otherwise(F.col("energy_consumption").cast("string")),
+        F.when(odd == 3, F.lit("9")).otherwise(F.col("load_shedding_stage").cast("string")),
+        F.when(odd == 6, F.lit("maybe")).when(odd == 4, F.lit(None)).when(odd == 5, F.lit("true,false"))
+        .otherwise(F.col("backup_power").cast("string")),  # a null is left out, with its comma
+    ]
+    return r.select(F.concat_ws(",", *fields).alias("value"))
+
+
 __all__ = ["orders_readings", "events_readings", "events_outage_schedule", "requests_from_events",
            "READING_COLUMNS"]
