@@ -44,7 +44,7 @@ from wattspark.llm.shared import free_name
 SAMPLE_DOCUMENTS, SEGMENTS, SEGMENT_WORDS, SEQUENCE = 400, 4, 12, 5
 BUCKETS = 1 << 16
 ROUNDS, RATE, L2 = 80, 0.3, 1e-4
-BLOCK, BATCH_CHARS, REMEMBERED = 2_048, 4_000_000, 400_000
+BLOCK, BATCH_CHARS, REMEMBERED, NEW_WORDS = 2_048, 4_000_000, 400_000, 20_000
 UNDETERMINED = "und"
 _LETTERS = r"[^\W\d_]+"
 #: Combining marks stay inside the words of the scripts that write them.
@@ -280,9 +280,9 @@ class _Decoder:
                     new.append(w)
             out.append(np.array([known[w] for w in words], np.int64))
         if new:
-            factors, letters = self.model.emissions(new)
-            self.factors = np.concatenate((self.factors, factors))
-            self.letters += letters
+            found = [self.model.emissions(new[i:i + NEW_WORDS]) for i in range(0, len(new), NEW_WORDS)]
+            self.factors = np.concatenate([self.factors, *[f for f, _ in found]])
+            self.letters += [x for _, letters in found for x in letters]
         letters = np.array(self.letters, bool)
         return [ids if len(ids) and letters[ids].any() else ids[:0] for ids in out]
 
