@@ -191,3 +191,51 @@ def test_requests_are_decoded_in_one_pass(spark, noiseless):
     assert plan.count("Relation [") == 1
     assert {r.status for r in out.select("status").distinct().collect()} == {"success", "error"}
     assert out.where("status = 'error' and (prediction is not null or error is null)").count() == 0
+
+
+@pytest.mark.parametrize("kind", ["forest", "boosted"])
+@pytest.mark.parametrize("broadcast", [10 ** 6, 0])
+def test_routed_vectors_predict_what_the_model_does(spark, noiseless, scratch, monkeypatch, kind, broadcast):
+    from wattspark.models import trees
+    monkeypatch.setattr(trees, "BROADCAST_NODES", broadcast)
+    train = noiseless.where("split = 'train'").limit(1500)
+    pipe = training.forest_pipeline(numTrees=4, maxDepth=6) if kind == "forest" else training.boosted_pipeline(maxIter=4, maxDepth=4)
+    model = training.fit(pipe, train)
+    training.save(model, f"{scratch}/m")
+    nodes = trees.node_table(spark, f"{scratch}/m")
+    n, depth = trees.shape(model)
+    vecs = trees.vectors(train)
+    got = {tuple(r.x): r.predicted for r in trees.predictions(vecs, nodes, n, depth, mean=kind == "forest").collect()}
+    for r in model.transform(train).select(*C.FEATURES, "predicted").collect():
+        assert got[tuple(float(r[f]) for f in C.FEATURES)] == pytest.approx(r.predicted, abs=1e-9)
+    # training rows per node: leaves hold every row once, inner nodes what their children hold
+    counts = {(r.tree, r.node): r.rows for r in trees.rows_per_node(vecs, nodes, n, depth).collect()}
+    table = {(r.tree, r.node): r for r in nodes.collect()}
+    assert set(counts) <= set(table)
+    for (t, i), rows in counts.items():
+        if table[t, i].left != trees.LEAF:
+            assert rows == sum(counts.get((t, c), 0) for c in (table[t, i].left, table[t, i].right))
+    assert {sum(c for (t, i), c in counts.items() if t == k and table[t, i].left == trees.LEAF) for k in range(n)} == {train.count()}
+    if kind == "forest":  # a plain prediction with the folded table
+        least = 40
+        per = trees.rows_per_node(vecs, nodes, n, depth)
+        folded = trees.with_min_split(nodes, per, least)
+        assert trees.too_small(nodes, per, least).count() > 0 and trees.too_small(folded, per, least).count() == 0
+        out = trees.predictions(vecs, folded, n, depth, mean=True).limit(50).collect()
+        for r in out:
+            leaves = []
+            for t in range(n):
+                i = 0
+                while table[t, i].left != trees.LEAF and counts.get((t, i), 0) >= least:
+                    node = table[t, i]
+                    i = node.left if r.x[node.feature] <= node.threshold else node.right
+                leaves.append(table[t, i].prediction)
+            assert r.predicted == pytest.approx(sum(leaves) / n, abs=1e-9)
+
+
+def test_errors_of_vectors_are_those_of_their_rows(spark, noiseless):
+    from wattspark.models import trees
+    rows = noiseless.where("split = 'train'").limit(400).withColumn("energy_consumption", F.col("energy_consumption") + F.rand(3))
+    vecs = trees.vectors(rows).withColumn("predicted", F.lit(0.7))
+    want = rows.agg(F.sqrt(F.avg((F.col("energy_consumption") - 0.7) ** 2))).first()[0]
+    assert vecs.agg(trees.rmse()).first()[0] == pytest.approx(want, rel=1e-9)

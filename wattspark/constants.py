@@ -189,4 +189,5 @@ SCENARIO_HOUSEHOLD = "House_1"
 FOREST_PARAMS = {"numTrees": 100, "maxDepth": 15, "minInstancesPerNode": 2, "seed": 42}
 BOOSTED_PARAMS = {"maxIter": 100, "stepSize": 0.1, "maxDepth": 5, "minInstancesPerNode": 2, "seed": 42}
 TEST_FRACTION_BUCKETS = 5  # one bucket of five is the hold-out: 80/20
+MIN_SPLIT = 5  # rows that a tree node needs to be split
 SEED = 42

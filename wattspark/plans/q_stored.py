@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from wattspark import constants as C
-from wattspark.models import gram, training
+from wattspark.models import gram, training, trees
 from wattspark.operators import daily_flags, error_moments, slice_rollup
 from wattspark.operators.baseline import with_expected_load
 from wattspark.operators.enrich import enrich
@@ -77,6 +77,63 @@ def q_ols_gram_equations(spark, sf):
     return moments.select("feature", (F.round("moment", 5) + F.lit(0.0)).alias("moment"))
 
 
+# --- trees as node tables (M2, M3) --------------------------------------------------------------
+def _nodes(spark, sf, kind):
+    """The node table of a fitted model, read from its saved form once, with the number of trees and their depth."""
+    def make():
+        path = _folder(spark, f"model-{kind}")
+        training.save(q_models._model(spark, sf, kind), path)
+        return _stored(trees.node_table(spark, path), f"nodes-{kind}")
+    return q_models._once(spark, sf, f"nodes-{kind}", make), *trees.shape(q_models._model(spark, sf, kind))
+
+
+@register("boosted_routed", """
+SELECT CAST(sum(CASE WHEN reading_id % 5 <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS train_rows, count(*) AS all_rows, 0.0::DOUBLE AS largest_difference
+FROM (SELECT o_orderkey AS reading_id FROM orders)""")
+def q_boosted_routed(spark, sf):
+    """Predictions routed through the node table of the boosted model against those of the model itself."""
+    vecs = trees.vectors(q_models._features(spark, sf), C.FEATURES, C.LABEL, "split", *C.FEATURES)
+    routed = trees.predictions(vecs.drop(*C.FEATURES), *_nodes(spark, sf, "boosted"), mean=False)
+    own = q_models._model(spark, sf, "boosted").transform(vecs).select("x", "split", F.col("predicted").alias("own"))
+    both = routed.join(own, ["x", "split"])
+    difference = F.round(F.max(F.abs(F.col("predicted") - F.col("own"))), 6)
+    return both.agg(F.sum(F.when(F.col("split") == "train", F.col("n"))).alias("train_rows"), F.sum("n").alias("all_rows"),
+                    difference.alias("largest_difference"))
+
+
+@register("tree_leaf_rows", """
+SELECT model, CAST(tree AS INTEGER) AS tree, (SELECT count(*) FROM orders WHERE o_orderkey % 5 <> 0) AS train_rows
+FROM (VALUES ('boosted'), ('forest')) AS m(model), range(0, 100) AS t(tree)""")
+def q_tree_leaf_rows(spark, sf):
+    """The leaves of every tree of both models hold every training row once."""
+    vecs = trees.vectors(q_models._features(spark, sf).where(F.col("split") == "train"))
+    out = [trees.route(vecs, *_nodes(spark, sf, kind)).groupBy("tree").agg(F.sum("n").alias("train_rows")).select(
+        F.lit(kind).alias("model"), "tree", "train_rows") for kind in ("boosted", "forest")]
+    return out[0].unionByName(out[1])
+
+
+@register("min_split_effect", note="R: what the original's minimum split size changes")
+def q_min_split_effect(spark, sf):
+    """Per model: inner nodes, those with too few training rows, those left after folding (none), and errors before and after."""
+    rows = q_models._features(spark, sf)
+    vecs = _stored(trees.vectors(rows, C.FEATURES, C.LABEL, "split"), "vectors")
+    train = vecs.where(F.col("split") == "train")
+    out = []
+    for kind in ("boosted", "forest"):
+        nodes, n, depth = _nodes(spark, sf, kind)
+        counts = _stored(trees.rows_per_node(train, nodes, n, depth), "node-rows")
+        folded = _stored(trees.with_min_split(nodes, counts, C.MIN_SPLIT), "folded")
+        parts = [nodes.agg(F.lit(kind).alias("model"), F.count_if(F.col("left") != trees.LEAF).alias("inner_nodes")),
+                 trees.too_small(nodes, counts, C.MIN_SPLIT).agg(F.count(F.lit(1)).alias("too_small")),
+                 trees.too_small(folded, counts, C.MIN_SPLIT).agg(F.count(F.lit(1)).alias("too_small_after"))]
+        for name, table in (("before", nodes), ("after", folded)):
+            p = trees.predictions(vecs, table, n, depth, mean=kind == "forest")
+            parts.append(p.agg(trees.rmse(F.col("split") == "train").alias(f"train_rmse_{name}"), trees.rmse(F.col("split") == "test").alias(f"test_rmse_{name}")))
+        rows_ = [_stored(part, "min-split") for part in parts]  # a row each
+        out.append(rows_[0].select("*", *[r.select(c).scalar().alias(c) for r in rows_[1:] for c in r.columns]))
+    return out[0].unionByName(out[1])
+
+
 # --- open households (P9) -----------------------------------------------------------------------
 _OTHERS = " UNION ALL ".join(f"SELECT * EXCLUDE (f), {f} AS f FROM t WHERE f <> {f}" for f in range(FOLDS)) + f" UNION ALL SELECT * EXCLUDE (f), {FOLDS} FROM t"
 
