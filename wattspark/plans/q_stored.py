@@ -1,4 +1,4 @@
-"""Registered queries over stored, mergeable tables.
+"""Registered queries over stored, mergeable tables (M1-M3, P9, W1-W5, A21-A25, F1-F3, S1), and the schedule with part hours.
 
 Each builds its small table from the whole readings, writes it to the shared
 checkpoint folder and answers from what it reads back; most share the oracle
@@ -14,17 +14,17 @@ from pyspark.sql import functions as F
 
 from wattspark import constants as C
 from wattspark.models import gram, training, trees
-from wattspark.operators import daily_flags, error_moments, slice_rollup
+from wattspark.operators import daily_flags, error_moments, interval_overlay, slice_rollup
 from wattspark.operators.baseline import with_expected_load
 from wattspark.operators.enrich import enrich
 from wattspark.operators.features import with_features
 from wattspark.operators.sampling import train_test_split
 from wattspark.operators.target_encoding import FOLDS, WEIGHT, with_encoding
 from wattspark.plans import q_features, q_models, q_rollups, q_windows  # noqa: F401 - their oracles are shared
-from wattspark.plans.registry import REGISTRY, orders, orders_enriched, register
-from wattspark.plans.sql import ENRICH, ORDERS_BY_CUSTOMER, ORDERS_READINGS, R, with_ctes
+from wattspark.plans.registry import REGISTRY, events, orders, orders_enriched, register
+from wattspark.plans.sql import ENRICH, EVENTS_READINGS, ORDERS_BY_CUSTOMER, ORDERS_READINGS, R, with_ctes
 from wattspark.session import checkpoint_dir
-from wattspark.sources.adapters import orders_by_customer, orders_csv_lines
+from wattspark.sources.adapters import events_outage_intervals, orders_by_customer, orders_csv_lines
 from wattspark.sources.quarantine import counts_by_reason, read_sorted
 
 
@@ -265,3 +265,16 @@ def q_readings_recovered(spark, sf):
     return _sorted_csv(spark, sf).good.groupBy("household_id").agg(
         F.count(F.lit(1)).alias("readings"), F.count("energy_consumption").alias("with_kwh"), F.sum("energy_consumption").alias("total_kwh"),
         F.max("timestamp").alias("last"), F.count_if(F.col("load_shedding_stage") > 0).alias("outages"), F.count_if("backup_power").alias("backups"))
+
+
+# --- schedule with part hours (X2) --------------------------------------------------------------
+@register("outage_overlay_minutes", with_ctes(EVENTS_READINGS, """
+s AS (SELECT event_id AS seq, ts AS start, ts + to_minutes(CAST((k % 4 + 2) * 37 AS INTEGER)) AS stop, k % 6 + 1 AS stage
+      FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events WHERE event_type = 'error'))""", """
+h AS (SELECT reading_id, arg_max(s.stage, s.seq) AS stage FROM r JOIN s ON r."timestamp" >= s.start AND r."timestamp" < s.stop GROUP BY reading_id)""",
+body="""
+SELECT r.reading_id, r.household_id, r."timestamp", CAST(coalesce(h.stage, 0) AS INTEGER) AS load_shedding_stage FROM r LEFT JOIN h USING (reading_id)"""))
+def q_outage_overlay_minutes(spark, sf):
+    """Entries begin and end at any moment; the latest one holds."""
+    out = interval_overlay.overlay(events(spark, sf), events_outage_intervals(spark, sf))
+    return out.select("reading_id", "household_id", "timestamp", "load_shedding_stage")

@@ -105,6 +105,15 @@ def events_outage_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def events_outage_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An outage schedule with part hours: each error event starts an outage at its own time, of (k mod 4 + 2) x 37 minutes."""
+    e = _table(spark, sf_dir, "events").where(F.col("event_type") == "error")
+    k = F.get_json_object(F.col("props"), "$.k").cast("int")
+    return e.select(F.col("event_id").alias("seq"), F.col("ts").alias("start"),
+                    (F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(0), ((k % 4 + 2) * 37).cast("int"))).alias("end"),
+                    (k % 6 + 1).cast("int").alias("stage"))
+
+
 #: Bodies whose values have another type than asked, or none; events with k from 10 to 21 send them, by k.
 ODD_BODIES = (
     '{"hour": "18"}', '{"hour": "abc"}', '{"hour": 18.9}', '{"load_shedding_stage": "5"}', '{"load_shedding_stage": 99999999999}',
