@@ -6,9 +6,9 @@
   of the page (lines, capitals, digits, marks, distinct words).
 
 Two logistic classifiers start from the labelled sample. In each round either
-one scores all unlabelled documents, and those of them it is surest of (in the
-proportion of the classes) join the *other* view's training set with that
-label. Then each view is calibrated on labelled rows that no training has
+one scores all unlabelled documents, and the ``MOVED`` of all that it is surest
+of (in the proportion of the classes) join the *other* view's training set with
+that label. Then each view is calibrated on labelled rows that no training has
 seen, the calibrated log-odds are combined by a third small regression on the
 same rows, and every document is scored. The labelled sample is drawn class by
 class; calibration rows are weighted back to the shares of the classes among
@@ -17,10 +17,10 @@ all labels, so a score does not depend on the size of the table.
 Training takes a bounded sample of the labelled rows, chosen by a hash of the
 doc_id: on average ``LABELLED`` rows of each class. Both views of every document
 are written once as sparse vectors; each round scores all unlabelled ones in
-Spark. Of n unlabelled rows a view may move the surest ``MOVED`` in a round, of
-more than ``POOL`` as many as grow with the root of n. Mean and spread of the
-metadata are aggregates over all rows. Scoring is one narrow pass over whole
-texts without a shuffle.
+Spark, and only the rows that move (the same number at every size) come to the
+driver. Mean and spread of the metadata are aggregates over all rows. Scoring is
+one narrow pass over whole texts without a shuffle. A word's shape is that of
+its first ``SHAPE`` bytes.
 
 Defined cases: a null text is empty and has share zero of everything; null
 metadata is a value of its own; several labels of one doc_id count by their
@@ -42,9 +42,10 @@ from pyspark.sql import functions as F
 
 from wattspark.llm.shared import stage_table
 
-LABELLED, POOL = 2_000, 4_000
+LABELLED = 2_000
 TEXT_BUCKETS, LANG_BUCKETS, SOURCE_BUCKETS = 2_048, 16, 64
-ROUNDS, MOVED, STEPS = 4, 0.05, 120
+ROUNDS, MOVED, STEPS = 4, 200, 120
+SHAPE = 40
 REMEMBERED = 400_000
 _CAPITALS, _DIGITS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789"
 _MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
@@ -57,7 +58,7 @@ def _hash(kind: str, raw: bytes, buckets: int) -> int:
 
 def _shape(word: bytes) -> bytes:
     out = bytearray()
-    for b in word[:40]:
+    for b in word[:SHAPE]:
         c = 65 if 65 <= b <= 90 else 97 if b >= 128 or 97 <= b <= 122 else 48 if 48 <= b <= 57 else b
         if not out or out[-1] != c:
             out.append(c)
@@ -133,8 +134,12 @@ def logistic(x: np.ndarray, y: np.ndarray, start: np.ndarray | None = None, l2:
     return w
 
 
+def log_odds(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return x @ w[:-1] + w[-1]
+
+
 def margin(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return np.clip(x @ w[:-1] + w[-1], -30, 30)
+    return np.clip(log_odds(x, w), -30, 30)
 
 
 def platt(z: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[float, float]:
@@ -178,7 +183,7 @@ class _Rows:
         """For each view: the text rows, metadata rows and labels of the rows it is surest of; both views' picks leave the pool."""
         taken, out = [], []
         for x, m in zip((self.text * 10, (self.meta - scale[0]) / scale[1]), models):
-            z = margin(x, m)
+            z = log_odds(x, m)
             order = np.argsort(z, kind="stable")
             n_good, n_bad = _moved(len(z), good)
             sure_bad, sure_good = order[:n_bad], order[max(0, len(order) - n_good):]
@@ -191,17 +196,16 @@ class _Rows:
         return out
 
 
-def _moved(n: int, good: float, pool: int = POOL) -> tuple[int, int]:
-    """How many good and bad rows of n a view may label in a round: MOVED of them, of many rows growing with the root of n."""
-    share = MOVED * min(n, math.sqrt(n * pool))
-    return tuple(min(n, max(1, int(share * s))) for s in (good, 1 - good))
+def _moved(n: int, good: float) -> tuple[int, int]:
+    """How many good and bad rows of n a view labels in a round: MOVED of them, in the classes' shares."""
+    return tuple(min(n, max(1, round(share * MOVED))) for share in (good, 1 - good))
 
 
 class _Table:
     """Unlabelled rows as a table of vectors: every round scores all of them in Spark, and only the surest come to the driver."""
 
-    def __init__(self, vectors: DataFrame, known: DataFrame, pool: int):
-        self.vectors, self.known, self.pool = vectors, known, pool
+    def __init__(self, vectors: DataFrame, known: DataFrame):
+        self.vectors, self.known = vectors, known
         self.taken = np.empty(0, np.int64)
 
     def surest(self, models: list[np.ndarray], scale: tuple[np.ndarray, np.ndarray], good: float):
@@ -212,11 +216,11 @@ class _Table:
             (w_text, w_meta), (mean, spread), taken = shared.value
             for b in batches:
                 b = b.filter(pa.array(~np.isin(b["row"].to_numpy(), taken)))
-                z = [10 * float(np.dot(w_text[np.frombuffer(i, np.uint16)].astype(float), np.frombuffer(v, np.float16))) + w_text[-1]
+                z = [10 * float(np.dot(w_text[np.frombuffer(i, np.uint16)].astype(float), np.frombuffer(v, np.float32))) + w_text[-1]
                      for i, v in zip(b["places"].to_pylist(), b["shares"].to_pylist())]
                 meta = np.frombuffer(b"".join(b["meta"].to_pylist()), np.float32).reshape(b.num_rows, -1)
                 yield pa.RecordBatch.from_arrays([b["doc_id"], b["row"], b["hash"], pa.array(z, pa.float64()),
-                                                  pa.array(margin((meta - mean) / spread, w_meta).astype(float), pa.float64())],
+                                                  pa.array(log_odds((meta - mean) / spread, w_meta).astype(float), pa.float64())],
                                                  ["doc_id", "row", "hash", "z0", "z1"])
 
         kind = self.vectors.schema["doc_id"].dataType.simpleString()
@@ -225,7 +229,7 @@ class _Table:
         n = z.count()
         if not n:
             return None
-        n_good, n_bad = _moved(n, good, self.pool)
+        n_good, n_bad = _moved(n, good)
         picks = []
         for c in ("z0", "z1"):
             bad = z.where(F.col(c) < 0).orderBy(c, "hash", "row").limit(n_bad).select("row").toArrow()["row"].to_numpy()
@@ -243,7 +247,7 @@ class _Table:
 def _dense(found: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     text = np.zeros((found.num_rows, TEXT_BUCKETS + 1), np.float32)
     for out, i, v in zip(text, found["places"].to_pylist(), found["shares"].to_pylist()):
-        out[np.frombuffer(i, np.uint16)] = np.frombuffer(v, np.float16)
+        out[np.frombuffer(i, np.uint16)] = np.frombuffer(v, np.float32)
     return text, np.frombuffer(b"".join(found["meta"].to_pylist()), np.float32).reshape(found.num_rows, -1)
 
 
@@ -294,11 +298,8 @@ def _columns(documents: DataFrame) -> DataFrame:
                             F.col("source").cast("string").alias("source"), F.col("n_chars").cast("long").alias("n_chars"))
 
 
-def fit(documents: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> Model | None:
-    """Co-train on a bounded sample of labelled rows and all unlabelled ones; None without labels of both classes.
-
-    pool: from so many unlabelled rows on, the number that moves in a round grows with the root of theirs.
-    """
+def fit(documents: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Model | None:
+    """Co-train on a bounded sample of labelled rows and all unlabelled ones; None without labels of both classes."""
     million = 1_000_000
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(23)), F.lit(million))
     known = stage_table(labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(
@@ -320,7 +321,7 @@ def fit(documents: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool:
                 dense = text_vector(i, tokens.rows)
                 at = np.flatnonzero(dense)
                 places.append(at.astype(np.uint16).tobytes())
-                shares.append(dense[at].astype(np.float16).tobytes())
+                shares.append(dense[at].astype(np.float32).tobytes())
             meta = [meta_vector(*x).tobytes() for x in zip(cols["raw"], ids, cols["lang"], cols["source"], cols["n_chars"])]
             keys = [zlib.crc32(str(d).encode()) for d in cols["doc_id"]]
             same = [(k << 31) ^ zlib.crc32(raw or b"") for k, raw in zip(keys, cols["raw"])]
@@ -353,7 +354,7 @@ def fit(documents: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool:
     text, meta = _dense(sample)
     check = sample["key"].to_numpy() // 7 % 4 == 0
     return co_train(text, meta, sample["y"].to_numpy(), check, counts[1] / (counts[0] + counts[1]),
-                    (mean.astype(np.float32), spread.astype(np.float32)), _Table(vectors, known, pool))
+                    (mean.astype(np.float32), spread.astype(np.float32)), _Table(vectors, known))
 
 
 def score(documents: DataFrame, model: Model | None) -> DataFrame:
