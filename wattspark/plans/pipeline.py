@@ -8,7 +8,8 @@ DataFrames (and fitted models); nothing is collected.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ from wattspark.operators import filters, reshape, rollups, trends
 from wattspark.operators.enrich import enrich
 from wattspark.operators.features import with_features
 from wattspark.operators.sampling import train_test_split
+from wattspark.session import checkpoint_dir
 
 
 def train_and_evaluate(readings: DataFrame, model_dir: str | None = None, forest_params: dict | None = None,
@@ -26,10 +28,14 @@ def train_and_evaluate(readings: DataFrame, model_dir: str | None = None, forest
     Returns ``(models, comparison)``; ``models`` maps linear / forest / boosted
     to fitted pipelines (saved under ``model_dir`` when given) and
     ``comparison`` is the one-row-per-model evaluation table, one scoring pass
-    over the feature rows, which stay persisted on disk until the session ends
-    or ``spark.catalog.clearCache()``.
+    over the feature rows, which are written to the shared checkpoint folder:
+    one neighbour shuffle for all fits, and a lost executor costs a re-read.
     """
-    feats = train_test_split(with_features(readings)).persist(StorageLevel.DISK_ONLY)  # one neighbour shuffle for all fits
+    spark = readings.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/features-{uuid.uuid4().hex}"
+    feats = train_test_split(with_features(readings))
+    feats.write.parquet(path)
+    feats = spark.read.schema(feats.schema).parquet(path)
     train, test = feats.where(F.col("split") == "train"), feats.where(F.col("split") == "test")
     pipes = {"linear": training.linear_pipeline(),
              "forest": training.forest_pipeline(**(forest_params or {})),
