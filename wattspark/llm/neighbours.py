@@ -1,13 +1,14 @@
 """Approximate nearest neighbours with an inverted multi-index (largest cosine).
 
 Unit vectors are cut into two halves, each quantised with its own codebook, so
-``CENTROIDS`` squared cells come from two small codebooks. A query walks the
+many cells come from two small codebooks: the number of centroids grows with the
+root of the table, to about ``PER_CELL`` entries a cell, up to ``MOST``. A query walks the
 pairs of centroids by summed distance, nearest pair first, with a heap (the
 multi-sequence walk), until the cells it has met hold the asked share of all
 entries; those entries are ranked by their exact cosine in double precision.
 
 * Codebooks are fitted on a sample of ``SAMPLE`` vectors on average, chosen by
-  a hash. On the same sample the smallest share of entries is measured that
+  a hash of id and vector. On the same sample the smallest share of entries is measured that
   reaches ``TARGET`` recall against brute force; where vectors have structure
   it is small, on vectors without any it is large. Every row is indexed.
 * Entries are dealt by cell into blocks of about ``BLOCK`` rows; a cell with
@@ -17,7 +18,7 @@ entries; those entries are ranked by their exact cosine in double precision.
   one task a pair (group, block), which returns each query's best ``k``.
 
 What the driver sees: the sample, the number of entries of each cell (at most
-``CENTROIDS`` squared), and both codebooks, whatever the size of the table.
+``MOST`` squared), and both codebooks, whatever the size of the table.
 
 Defined cases: null, zero or other-sized vectors and those with null or
 non-finite components take no part, nor do rows without a vec_id (the size is
@@ -28,6 +29,7 @@ never finds its own vec_id; with fewer candidates than k all are returned.
 from __future__ import annotations
 
 import heapq
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,7 +40,8 @@ from pyspark.sql.window import Window
 
 from wattspark.llm.shared import stage_table
 
-CENTROIDS, SAMPLE, SAMPLE_QUERIES, ROUNDS, TARGET = 64, 8_000, 150, 12, 0.97
+LEAST, MOST, PER_CELL = 16, 256, 16
+SAMPLE, SAMPLE_QUERIES, ROUNDS, TARGET = 8_000, 150, 12, 0.97
 BLOCK, QUERIES, SEED = 4_096, 1_024, 29
 
 
@@ -99,7 +102,12 @@ class Index:
         return a.argmin(axis=1) * len(self.right) + b.argmin(axis=1)
 
 
-def fit(sample: np.ndarray, k: int = 5, centroids: int = CENTROIDS, target: float = TARGET) -> Index:
+def centroids_for(total: int) -> int:
+    """Centroids of each half for so many entries: the power of two next to the root of their number over PER_CELL."""
+    return int(min(MOST, max(LEAST, 2 ** round(math.log2(max(1.0, total / PER_CELL)) / 2))))
+
+
+def fit(sample: np.ndarray, k: int = 5, centroids: int = LEAST, target: float = TARGET) -> Index:
     """Codebooks and the share of entries to visit, from sample vectors."""
     units = unit(sample)
     cut = max(1, units.shape[1] // 2)
@@ -128,7 +136,7 @@ def _finite(vectors: DataFrame) -> DataFrame:
     return rows.where(F.size("v") == (sizes[0]["d"] if sizes else 0)).distinct()
 
 
-def nearest(vectors: DataFrame, every: int = 50, k: int = 5, centroids: int = CENTROIDS, target: float = TARGET) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 50, k: int = 5, centroids: int | None = None, target: float = TARGET) -> DataFrame:
     """For every row whose vec_id is divisible by ``every``: query_id, rank, vec_id, score of the k nearest found."""
     rows = stage_table(_finite(vectors), "imi-rows")
     spark, schema = rows.sparkSession, "query_id long, rank int, vec_id long, score double"
@@ -136,12 +144,12 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, centroids: int = CE
     if not total:
         return spark.createDataFrame([], schema)
     million = 1_000_000
-    draw = F.pmod(F.xxhash64("vec_id", F.lit(SEED)), F.lit(million))
+    draw = F.pmod(F.xxhash64("vec_id", "v", F.lit(SEED)), F.lit(million))
     sample = rows.where(draw < min(million, -(-SAMPLE * million // total))).select("v", "vec_id").toPandas()
     if sample.empty:
         sample = rows.limit(SAMPLE).select("v", "vec_id").toPandas()
-    sample = sample.sort_values("vec_id", kind="stable")
-    index = fit(np.array(sample["v"].tolist()), k, centroids, target)
+    sample = sample.assign(order=sample["v"].map(tuple)).sort_values(["vec_id", "order"], kind="stable")
+    index = fit(np.array(sample["v"].tolist()), k, centroids or centroids_for(total), target)
     shared = spark.sparkContext.broadcast(index)
 
     def to_cells(batches):
