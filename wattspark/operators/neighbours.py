@@ -6,10 +6,10 @@ rows would make a single task sort a third of the data. Instead the window is
 split into time buckets, so a hot household spreads over as many tasks as it
 has buckets:
 
-1. buckets are calendar days. A household-day with more than ``HOT_ROWS`` rows
-   and more than 1/``HOT_DAYS`` of all such rows (so there are fewer than
-   ``HOT_DAYS`` of them, and their table is broadcast) is cut further, into
-   hours and equal parts of an hour by its counted rows per hour;
+1. buckets are calendar days. The household-days with more than ``HOT_ROWS``
+   rows, of many the ``HOT_DAYS`` largest (every other has a smaller share of all
+   rows than 1/``HOT_DAYS``; their table is broadcast), are cut further, into hours
+   and equal parts of an hour by their counted rows per hour;
 2. ``lag``/``lead`` inside ``(household, bucket)`` windows: one shuffle of the
    readings, hashed on household and bucket;
 3. only the first and last row of each bucket lack a neighbour there; those
@@ -36,14 +36,14 @@ NOWHERE = 1_024
 
 
 def _hot_days(df: DataFrame, key: str, ts: str, hot_rows: int) -> DataFrame:
-    """(_hk, _hd, _hp): hot household-days and, for each hour, into how many parts it is cut. Fewer than HOT_DAYS rows.
+    """(_hk, _hd, _hp): hot household-days and, for each hour, into how many parts it is cut. At most HOT_DAYS rows.
 
     One count a household-day; only the hot days (as a rule none) are read again for their hours.
     """
     placed = df.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(F.col(key).alias("_hk"), F.to_date(ts).alias("_hd"), F.col(ts).alias("_ht"))
     days = placed.groupBy("_hk", "_hd").agg(F.count(F.lit(1)).alias("_hn"))
-    total = days.select(F.sum("_hn")).scalar()
-    hot = days.where((F.col("_hn") > hot_rows) & (F.col("_hn") * HOT_DAYS > total)).select("_hk", "_hd")
+    # the HOT_DAYS largest: every other day has less than one in HOT_DAYS of all rows
+    hot = days.where(F.col("_hn") > hot_rows).orderBy(F.desc("_hn"), "_hk", "_hd").limit(HOT_DAYS).select("_hk", "_hd")
     hours = placed.join(F.broadcast(hot), ["_hk", "_hd"]).groupBy("_hk", "_hd").agg(
         *[F.count_if(F.hour("_ht") == h).alias(f"_h{h}") for h in range(24)])
     parts = F.array(*[F.greatest(F.lit(1), F.ceil(F.col(f"_h{h}") / (hot_rows / 16))).cast("int") for h in range(24)])
