@@ -40,7 +40,7 @@ def shape(plan: str) -> dict:
         "windows": count(r"^\W*Window \["),
         "global_windows": global_windows(plan),
         "subqueries": count(r"^\W*Subquery subquery"),
-        "python": count(r"BatchEvalPython|ArrowEvalPython|FlatMapGroupsInPandas|MapInPandas"),
+        "python": count(r"BatchEvalPython|ArrowEvalPython|FlatMapGroupsIn|MapIn(Pandas|Arrow)"),
         "sort_agg": count(r"SortAggregate"),
         "columns_read": ";".join(sorted({str(len(c.split(","))) for c in scans})),
     }
