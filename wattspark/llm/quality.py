@@ -47,6 +47,8 @@ TEXT_BUCKETS, LANG_BUCKETS, SOURCE_BUCKETS = 2_048, 16, 64
 ROUNDS, MOVED, STEPS = 4, 200, 120
 SHAPE = 40
 REMEMBERED = 400_000
+#: Rows whose texts a task has in memory at once.
+PORTION = 1_000
 _CAPITALS, _DIGITS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789"
 _MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 _LAYOUT = 8
@@ -313,7 +315,7 @@ def fit(documents: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Mo
 
     def run(batches):
         tokens, part, n = Tokens(), TaskContext.get().partitionId(), 0
-        for b in batches:
+        for b in (whole.slice(i, PORTION) for whole in batches for i in range(0, whole.num_rows, PORTION)):
             cols = {c: b.column(i).to_pylist() for i, c in enumerate(b.schema.names)}
             ids = tokens.ids(cols["raw"])
             places, shares = [], []
@@ -369,13 +371,13 @@ def score(documents: DataFrame, model: Model | None) -> DataFrame:
                 out = [np.full(b.num_rows, 0.5)] * 3
             else:
                 zt, zm = np.empty(b.num_rows), np.empty(b.num_rows)
-                for i in range(0, b.num_rows, 1000):
-                    raw, lang, source, n_chars = (b.column(c).slice(i, 1000).to_pylist() for c in range(1, 5))
+                for i in range(0, b.num_rows, PORTION):
+                    raw, lang, source, n_chars = (b.column(c).slice(i, PORTION).to_pylist() for c in range(1, 5))
                     ids = tokens.ids(raw)
                     weight = m.text[:-2][tokens.rows].sum(axis=1) if len(tokens.rows) else np.empty(0)
-                    zt[i:i + 1000] = [10 * ((weight[x].mean() if len(x) else 0.0) + m.text[-2] * repeats(x)) + m.text[-1] for x in ids]
+                    zt[i:i + PORTION] = [10 * ((weight[x].mean() if len(x) else 0.0) + m.text[-2] * repeats(x)) + m.text[-1] for x in ids]
                     meta = np.array([meta_vector(*x) for x in zip(raw, ids, lang, source, n_chars)])
-                    zm[i:i + 1000] = margin((meta - m.mean) / m.spread, m.meta)
+                    zm[i:i + PORTION] = margin((meta - m.mean) / m.spread, m.meta)
                 out = m.combine(np.clip(zt, -30, 30), zm)
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(s, pa.float64()) for s in out], pa.array(out[2] >= 0.5)],
                                              ["doc_id", "score_text", "score_meta", "score", "keep"])
