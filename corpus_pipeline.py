@@ -1,6 +1,6 @@
 """A training corpus from ``documents``: each stage works on all rows its predecessor kept.
 
-1. language ID: texts without a letter or without a language go;
+1. language ID: texts that are undetermined (without a letter) go;
 2. SimHash near-dedup: one document of each group stays;
 3. benchmark decontamination: contaminated documents go;
 4. mixing: documents are repeated (or left out) to meet the sources' target weights;
