@@ -100,3 +100,14 @@ def test_queue_is_a_heap(steps, held):
                 item = heapq.heappop(heap)
                 want += [item] if item[0] == step else []
             assert got == want
+
+
+def test_equal_messages_of_different_runs():
+    queue = prefix_trie.SpillingQueue(2)
+    got = 0
+    for level in range(6):
+        for _ in range(40):
+            queue.push((level, 7, 1, 0))
+        queue.push((level + 1, 7, 1, 0))
+        got += len(list(queue.take((level, 7))))
+    assert got == 6 * 40 + 5

@@ -58,7 +58,9 @@ class SpillingQueue:
     def __init__(self, held: int | None = None):
         self._held = held or HELD
         self._heap: list[tuple[int, ...]] = []
-        self._runs: list[Iterator[tuple[int, ...]]] = []
+        #: Next item, number of the run, the rest of it; no two runs have one number, so rests are never compared.
+        self._runs: list[tuple[tuple[int, ...], int, Iterator[tuple[int, ...]]]] = []
+        self._spills = 0
         self._file = None
 
     def push(self, item: tuple[int, ...]) -> None:
@@ -78,7 +80,8 @@ class SpillingQueue:
         at = self._file.tell()
         self._file.write(rest.tobytes())
         run = self._read(at, *rest.shape)
-        heapq.heappush(self._runs, (next(run), len(self._runs), run))
+        heapq.heappush(self._runs, (next(run), self._spills, run))
+        self._spills += 1
 
     def _read(self, at: int, n: int, width: int) -> Iterator[tuple[int, ...]]:
         step = 4_096
