@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wattspark import constants as C
-from wattspark.models import scoring, training
+from wattspark.models import scoring, training, trees
 from wattspark.operators.baseline import with_expected_load
 from wattspark.operators.errors import error_metrics
 from wattspark.operators.features import feature_matrix, with_features
@@ -239,3 +239,47 @@ def test_errors_of_vectors_are_those_of_their_rows(spark, noiseless):
     vecs = trees.vectors(rows).withColumn("predicted", F.lit(0.7))
     want = rows.agg(F.sqrt(F.avg((F.col("energy_consumption") - 0.7) ** 2))).first()[0]
     assert vecs.agg(trees.rmse()).first()[0] == pytest.approx(want, rel=1e-9)
+
+
+# --- tree learners on weighted vectors ----------------------------------------------------------
+@pytest.fixture(scope="module")
+def repeated(spark):
+    """Orders readings ten times over, with labels that differ within a vector."""
+    r = train_test_split(with_features(orders_readings(spark, "/root/testdata/sf0.001")))
+    return r.crossJoin(spark.range(10).select(F.col("id").alias("copy"))).withColumn(C.LABEL, F.col(C.LABEL) + F.col("copy") * 0.1).cache()
+
+
+def test_vectors_hold_the_rows_and_the_draws(spark, repeated):
+    v = training.weighted_vectors(repeated, trees=3).cache()
+    assert v.count() == repeated.select(*C.FEATURES).distinct().count() < repeated.count() / 10 + 1
+    n = repeated.count()
+    sums = v.agg(F.sum("_rows").alias("n"), F.sum(F.col("_rows") * F.col(C.LABEL)).alias("y"), *[F.sum(f"_taken{i}").alias(f"t{i}") for i in range(3)]).first()
+    assert sums.n == n and sums.y == pytest.approx(repeated.agg(F.sum(C.LABEL)).first()[0])
+    drawn = [sums[f"t{i}"] for i in range(3)]
+    assert len(set(drawn)) > 1 and all(abs(d - n) < 6 * n ** 0.5 for d in drawn)
+    # the labels taken are those of single rows, not the vector's mean as often as it is drawn
+    assert v.where(F.abs(F.col("_taken_sum0") - F.col("_taken0") * F.col(C.LABEL)) > 1e-6).count() > 0
+    assert training.weighted_vectors(repeated.withColumn(C.LABEL, F.lit(None).cast("double"))).where(f"not isnan({C.LABEL})").isEmpty()
+
+
+def test_boosting_on_vectors_predicts_as_on_rows(spark, repeated):
+    pipe = training.boosted_pipeline(maxIter=4, maxDepth=4, minInstancesPerNode=25)
+    ours, rows = training.fit(pipe, repeated), pipe.fit(repeated)
+    both = training.predict_all({"a": ours, "b": rows}, repeated)
+    assert both.agg(F.max(F.abs(F.col("predicted_a") - F.col("predicted_b")))).first()[0] < 1e-9
+    assert ours.stages[-1].treeWeights == rows.stages[-1].treeWeights
+
+
+def test_forest_is_a_forest_of_its_trees(spark, repeated, scratch):
+    model = training.fit(training.forest_pipeline(numTrees=6, maxDepth=5, minInstancesPerNode=25), repeated)
+    forest = model.stages[-1]
+    assert forest.getNumTrees == 6 and len({t.toDebugString for t in forest.trees}) == 6
+    assert forest.featureImportances.toArray().sum() == pytest.approx(1.0)
+    training.save(model, f"{scratch}/m")
+    training.save_trees(model, f"{scratch}/trees")
+    whole = trees.node_table(spark, f"{scratch}/m")
+    parts = trees.node_table_by_tree(spark, f"{scratch}/trees", forest.treeWeights).select(*whole.columns)
+    assert parts.exceptAll(whole).isEmpty() and whole.exceptAll(parts).isEmpty() and not whole.isEmpty()
+    again = training.load(f"{scratch}/m")
+    both = training.predict_all({"a": model, "b": again}, repeated)
+    assert both.where("predicted_a <> predicted_b").isEmpty()
