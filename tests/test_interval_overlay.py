@@ -51,3 +51,14 @@ def test_empty_schedule_and_readings(spark):
     r = spark.createDataFrame([(1, T0, 4)], "reading_id long, timestamp timestamp_ntz, load_shedding_stage int")
     assert io.overlay(r, s).first().load_shedding_stage == 0
     assert io.overlay(r.limit(0), s).count() == 0
+
+
+def test_entries_read_by_one_task_are_dealt_out_by_their_pieces(spark, monkeypatch):
+    monkeypatch.setattr(io, "PIECES_A_TASK", 100)
+    entries = [(i, T0 + dt.timedelta(minutes=7 * i), T0 + dt.timedelta(minutes=7 * i + 150), i % 6 + 1) for i in range(200)]
+    schedule = spark.createDataFrame(entries, "seq long, start timestamp_ntz, end timestamp_ntz, stage int").coalesce(1)
+    cut, made = io._cut, []
+    monkeypatch.setattr(io, "_cut", lambda rows, width: (made.append(rows), cut(rows, width))[1])
+    io.segments(schedule)
+    sizes = made[0].rdd.glom().map(len).collect()
+    assert sum(sizes) == 200 and len(sizes) >= 6 and max(sizes) <= 70  # over 600 pieces of hours

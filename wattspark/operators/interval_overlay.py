@@ -4,7 +4,7 @@ An entry (seq, start, end, stage) sets the stage of every reading with
 start <= timestamp < end; where entries overlap, the latest (largest seq)
 wins. A range join would compare every reading with every entry. Instead
 
-1. entries are cut at the borders of buckets: hours, or minutes or seconds of
+1. entries are dealt out by the number of their pieces and cut at the borders of buckets: hours, or minutes or seconds of
    the hours in which very many entries begin or end. Of entries with equal
    bounds in a bucket, and so of all that cover it whole, only the latest is
    kept, by a map-side combined aggregate;
@@ -25,6 +25,7 @@ timestamp has stage 0.
 from __future__ import annotations
 
 import heapq
+import math
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -37,6 +38,8 @@ HOUR, MINUTE, SECOND = 3_600_000_000, 60_000_000, 1_000_000
 CROWDED = 512
 #: Crowded hours up to this number are broadcast.
 SMALL = 100_000
+#: Pieces of hours that one task makes and combines, about.
+PIECES_A_TASK = 500_000
 
 
 def _us(t: str) -> Column:
@@ -52,6 +55,14 @@ def _cut(rows: DataFrame, width: Column | int) -> DataFrame:
     return out.withColumns({"lo": F.greatest("lo", "_b"), "hi": F.least("hi", F.col("_b") + F.col("_w"))})
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` (lo, hi, seq, stage) dealt out by their pieces of hours: a task holds the pieces of its rows to combine
+    them, and the files that the rows come from may be read by few tasks."""
+    last = F.col("hi") - 1
+    pieces = rows.agg(F.sum(F.floor(last / HOUR) - F.floor(F.col("lo") / HOUR) + 1)).first()[0] or 0
+    return rows.repartition(math.ceil(pieces / PIECES_A_TASK) or 1, "lo", "hi", "seq", "stage")
+
+
 def _latest(pieces: DataFrame, *by: str) -> DataFrame:
     """Of pieces with equal bounds only the latest entry."""
     return pieces.groupBy(*by, "lo", "hi").agg(F.max(F.struct("seq", "stage")).alias("_e")).select(*by, "lo", "hi", "_e.seq", "_e.stage")
@@ -92,7 +103,7 @@ def segments(schedule: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(hour, bucket, segments) of a schedule (seq, start, end, stage), and its crowded hours."""
     rows = schedule.where("seq is not null and start is not null and end is not null and stage is not null").select(
         _us("start").alias("lo"), _us("end").alias("hi"), F.col("seq").cast("long").alias("seq"), F.col("stage").cast("int").alias("stage")).where("lo < hi")
-    hours = _latest(_cut(rows, HOUR), "_b")
+    hours = _latest(_cut(dealt(rows), HOUR), "_b")
     crowded = _crowded(hours)
     cut = hours.withColumnRenamed("_b", "hour").join(_side(crowded), "hour", "left").withColumn("width", F.coalesce("width", F.lit(HOUR)))
     pieces = _latest(_cut(cut.select("hour", "lo", "hi", "seq", "stage", "width"), F.col("width")).withColumnRenamed("_b", "bucket"), "hour", "bucket")
