@@ -13,7 +13,9 @@ Those are the ``O`` queries here; accuracy bounds are in the tests.
 from __future__ import annotations
 
 import uuid
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import functions as F
 
 from wattspark import constants as C
@@ -62,8 +64,20 @@ def _model(spark, sf, kind):
     return _once(spark, sf, kind, lambda: training.fit(pipe(), _features(spark, sf).where(F.col("split") == "train")))
 
 
+def _models(spark, sf, *kinds):
+    """The models by kind. Those not fitted yet are fitted at the same time: a boosted fit is a long chain of short jobs,
+    which leaves most cores to the others."""
+    _features(spark, sf)  # before the threads, so that it is written once
+    pool = ThreadPool(len(kinds))
+    try:
+        found = pool.map(inheritable_thread_target(spark)(lambda kind: _model(spark, sf, kind)), kinds, chunksize=1)
+    finally:
+        pool.close()
+    return dict(zip(kinds, found))
+
+
 def _compare(spark, sf, *kinds):
-    return training.compare({k: _model(spark, sf, k) for k in kinds}, _features(spark, sf))
+    return training.compare(_models(spark, sf, *kinds), _features(spark, sf))
 
 
 def _scored(spark, sf):
@@ -107,7 +121,7 @@ def q_fit_means(spark, sf):
     """The mean prediction on the training rows is the mean label, for least squares and for boosting on full rows."""
     kinds = ("linear", "boosted")
     train = _features(spark, sf).where(F.col("split") == "train")
-    out = training.predict_all({k: _model(spark, sf, k) for k in kinds}, train).agg(
+    out = training.predict_all(_models(spark, sf, *kinds), train).agg(
         F.count(F.lit(1)).alias("train_rows"), F.avg(C.LABEL).alias("mean_label"), *[F.avg(f"predicted_{k}").alias(k) for k in kinds])
     return out.select(F.inline(F.array(*[F.struct(F.lit(k).alias("model"), "train_rows", "mean_label", F.col(k).alias("mean_predicted"))
                                          for k in kinds])))
@@ -210,7 +224,8 @@ def q_scenario_grid(spark, sf):
 
 
 def _responses(spark, sf):
-    return scoring.score_requests(_model(spark, sf, "boosted"), _model(spark, sf, "forest"), requests_from_events(spark, sf))
+    models = _models(spark, sf, "boosted", "forest")
+    return scoring.score_requests(models["boosted"], models["forest"], requests_from_events(spark, sf))
 
 
 @register("score_requests", note="R")
