@@ -4,7 +4,6 @@ import datetime as dt
 import threading
 
 import pytest
-from pyspark.sql import functions as F
 
 from wattspark.models import training
 from wattspark.plans import q_models
@@ -43,3 +42,17 @@ def test_models_of_a_query_are_fitted_at_the_same_time(spark, orders_folder, sma
     q_models._compare(spark, orders_folder, "boosted", "forest").collect()
     assert sorted(fitted) == ["GBTRegressor", "RandomForestRegressor"]
     assert sum(kind == "features" for _, _, kind in q_models._CACHE) == 1
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_feature_table_is_scored_as_it_is(spark, orders_folder, small_models):
+    from wattspark.models import scoring
+    from wattspark.plans.registry import orders
+    own = q_models.q_score_readings(spark, orders_folder)
+    assert "Window" not in plan(own)  # the neighbours were looked up for the feature table
+    model = q_models._model(spark, orders_folder, "boosted")
+    again = scoring.score_readings(model, orders(spark, orders_folder)).select(*own.columns)
+    assert own.count() == 1200 and own.exceptAll(again).isEmpty() and again.exceptAll(own).isEmpty()

@@ -17,8 +17,12 @@ from wattspark.operators.requests import parse_requests, request_features, valid
 
 
 def score_readings(model: PipelineModel, readings: DataFrame) -> DataFrame:
-    """Predicted kWh and errors for every reading (M7, P16): a map-only ``transform``."""
-    scored = model.transform(with_features(readings)).drop("features")
+    """Predicted kWh and errors for every reading (M7, P16): a map-only ``transform``.
+
+    Readings that already carry the features (a stored feature table) are scored as they are.
+    """
+    rows = readings if set(C.FEATURES) <= set(readings.columns) else with_features(readings)
+    scored = model.transform(rows).drop("features")
     return with_errors(scored)
 
 

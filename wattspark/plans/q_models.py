@@ -146,7 +146,7 @@ def q_top_drivers(spark, sf):
 
 @register("score_readings", note="R")
 def q_score_readings(spark, sf):
-    scored = scoring.score_readings(_model(spark, sf, "boosted"), orders(spark, sf))
+    scored = scoring.score_readings(_model(spark, sf, "boosted"), _features(spark, sf))
     return scored.select("reading_id", "household_id", "timestamp", "energy_consumption", "predicted",
                          "residual", "abs_error", "pct_error")
 
