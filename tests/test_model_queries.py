@@ -56,3 +56,13 @@ def test_feature_table_is_scored_as_it_is(spark, orders_folder, small_models):
     model = q_models._model(spark, orders_folder, "boosted")
     again = scoring.score_readings(model, orders(spark, orders_folder)).select(*own.columns)
     assert own.count() == 1200 and own.exceptAll(again).isEmpty() and again.exceptAll(own).isEmpty()
+
+
+@pytest.mark.parametrize("name", ["histogram", "analytics_counts"])
+def test_predictions_are_written_once(spark, orders_folder, small_models, name):
+    found = getattr(q_models, f"q_model_{name}")(spark, orders_folder)
+    assert "UDF" not in plan(found)  # no reading is scored anew
+    rows = found.collect()
+    assert sum(r["count"] for r in rows) == 1200 if name == "histogram" else {r["what"]: r["n"] for r in rows}["histogram rows"] == 1200
+    stored, computed = q_models._scored(spark, orders_folder).select("reading_id", "predicted"), q_models._predicted(spark, orders_folder)
+    assert stored.exceptAll(computed.select("reading_id", "predicted")).isEmpty()
