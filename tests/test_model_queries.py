@@ -66,3 +66,15 @@ def test_predictions_are_written_once(spark, orders_folder, small_models, name):
     assert sum(r["count"] for r in rows) == 1200 if name == "histogram" else {r["what"]: r["n"] for r in rows}["histogram rows"] == 1200
     stored, computed = q_models._scored(spark, orders_folder).select("reading_id", "predicted"), q_models._predicted(spark, orders_folder)
     assert stored.exceptAll(computed.select("reading_id", "predicted")).isEmpty()
+
+
+def test_routed_rows_are_grouped_once(spark, orders_folder, small_models, monkeypatch):
+    from wattspark.plans import q_stored
+    read = []
+    stored = q_stored._stored
+    monkeypatch.setattr(q_stored, "_stored", lambda df, name: read.append(name) or stored(df, name))
+    found = q_stored.q_boosted_routed(spark, orders_folder)
+    assert read.count("vectors") == 1
+    assert "energy_consumption" not in plan(found)  # no reading is read by the query itself
+    row = found.first()
+    assert (row["train_rows"], row["all_rows"], row["largest_difference"]) == (960, 1200, 0.0)

@@ -93,7 +93,7 @@ SELECT CAST(sum(CASE WHEN reading_id % 5 <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS t
 FROM (SELECT o_orderkey AS reading_id FROM orders)""")
 def q_boosted_routed(spark, sf):
     """Predictions routed through the node table of the boosted model against those of the model itself."""
-    vecs = trees.vectors(q_models._features(spark, sf), C.FEATURES, C.LABEL, "split", *C.FEATURES)
+    vecs = _stored(trees.vectors(q_models._features(spark, sf), C.FEATURES, C.LABEL, "split", *C.FEATURES), "vectors")
     routed = trees.predictions(vecs.drop(*C.FEATURES), *_nodes(spark, sf, "boosted"), mean=False)
     own = q_models._model(spark, sf, "boosted").transform(vecs).select("x", "split", F.col("predicted").alias("own"))
     both = routed.join(own, ["x", "split"])
