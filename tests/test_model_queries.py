@@ -78,3 +78,34 @@ def test_routed_rows_are_grouped_once(spark, orders_folder, small_models, monkey
     assert "energy_consumption" not in plan(found)  # no reading is read by the query itself
     row = found.first()
     assert (row["train_rows"], row["all_rows"], row["largest_difference"]) == (960, 1200, 0.0)
+
+
+@pytest.mark.parametrize("few", [10 ** 6, 100])
+def test_node_tables_need_no_forest_on_the_driver(spark, orders_folder, small_models, monkeypatch, few):
+    """The trees of a forest are saved and let go, at most three at a time; a forest of few rows, once saved."""
+    from wattspark.plans import q_stored
+    monkeypatch.setattr(training, "FEW_ROWS", few)
+    held, most, lock, grow = set(), [0], threading.Lock(), training._saved_tree
+
+    def saved(tree, path, i):
+        with lock:
+            held.add(i)
+            most[0] = max(most[0], len(held))
+        depth = grow(tree, path, i)
+        with lock:
+            held.discard(i)
+        return depth
+    monkeypatch.setattr(training, "_saved_tree", saved)
+    monkeypatch.setattr(training, "_forest", lambda *a: pytest.fail("a whole forest is put together"))
+    rows = {(r["model"], r["tree"]): r["train_rows"] for r in q_stored.q_tree_leaf_rows(spark, orders_folder).collect()}
+    assert rows == {(kind, i): 960 for kind in ("boosted", "forest") for i in range(3)}
+    effect = {r["model"]: r for r in q_stored.q_min_split_effect(spark, orders_folder).collect()}
+    assert set(effect) == {"boosted", "forest"} and effect["forest"]["inner_nodes"] > 0 and effect["forest"]["too_small_after"] == 0
+    assert not [k for k in q_models._CACHE if k[2] == "forest"] and most[0] <= training.SAVED_AT_ONCE
+
+
+def test_a_fitted_forest_is_saved_and_not_fitted_again(spark, orders_folder, small_models, monkeypatch):
+    from wattspark.plans import q_stored
+    q_models._model(spark, orders_folder, "forest")
+    monkeypatch.setattr(training, "fit_saved_forest", lambda *a: pytest.fail("the forest is fitted again"))
+    assert q_stored.q_tree_leaf_rows(spark, orders_folder).where("model = 'forest' and train_rows = 960").count() == 3

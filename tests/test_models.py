@@ -284,3 +284,26 @@ def test_forest_is_a_forest_of_its_trees(spark, repeated, scratch, monkeypatch):
     again = training.load(f"{scratch}/m")
     both = training.predict_all({"a": model, "b": again}, repeated)
     assert both.where("predicted_a <> predicted_b").isEmpty()
+
+
+def test_a_forest_saved_while_it_grows_is_that_of_fit(spark, repeated, scratch, monkeypatch):
+    monkeypatch.setattr(training, "FEW_ROWS", 100)
+    pipe = training.forest_pipeline(numTrees=5, maxDepth=4, minInstancesPerNode=25)
+    model = training.fit(pipe, repeated)
+    weights, depth = training.fit_saved_forest(pipe, repeated, f"{scratch}/grown")
+    assert (len(weights), depth) == trees.shape(model) and weights == model.stages[-1].treeWeights
+    training.save_trees(model, f"{scratch}/whole")
+    grown, whole = (trees.node_table_by_tree(spark, f"{scratch}/{x}", weights).drop("prediction") for x in ("grown", "whole"))
+    assert grown.exceptAll(whole).isEmpty() and whole.exceptAll(grown).isEmpty() and not whole.isEmpty()
+
+
+def test_rows_per_node_walk_the_trees_once(spark, noiseless):
+    """As many joins as levels, however deep the node; nodes that no row reaches have no count."""
+    root, inner = (0, 0, 1.0, 0, 11.5, 1, 2, 0.0), (0, 2, 1.0, 0, 99.0, 3, 4, 0.0)  # feature 0 is the hour: none is over 99
+    leaves = [(0, i, 1.0, -1, 0.0, trees.LEAF, trees.LEAF, 0.5) for i in (1, 3, 4)]
+    nodes = spark.createDataFrame([root, inner, *leaves], "tree int, node int, weight double, feature int, threshold double, left int, right int, prediction double")
+    vecs = trees.vectors(noiseless, ["hour", "month"])
+    found = trees.rows_per_node(vecs, nodes, 1, 3)
+    late = noiseless.where("hour >= 12").count()
+    assert {r.node: r.rows for r in found.collect()} == {0: noiseless.count(), 1: noiseless.count() - late, 2: late, 3: late}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 3
