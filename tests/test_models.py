@@ -306,4 +306,31 @@ def test_rows_per_node_walk_the_trees_once(spark, noiseless):
     found = trees.rows_per_node(vecs, nodes, 1, 3)
     late = noiseless.where("hour >= 12").count()
     assert {r.node: r.rows for r in found.collect()} == {0: noiseless.count(), 1: noiseless.count() - late, 2: late, 3: late}
-    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 3
+    joins = [df._jdf.queryExecution().analyzed().toString().count("Join Inner") for df in (vecs, found)]
+    assert joins[1] == joins[0] + 3
+
+
+@pytest.mark.parametrize("most", [10 ** 6, 10])
+def test_rows_get_the_predictions_of_their_vector(spark, repeated, monkeypatch, most):
+    """Nulls, NaN and both zeros included; too many vectors for the driver are scored row by row."""
+    monkeypatch.setattr(training, "SCORED_VECTORS", most)
+    models = {"linear": training.fit(training.linear_pipeline(), repeated), "forest": training.fit(training.forest_pipeline(numTrees=3, maxDepth=4), repeated),
+              "boosted": training.fit(training.boosted_pipeline(maxIter=3, maxDepth=3), repeated)}
+    odd = repeated.where("copy < 3").withColumns({
+        "month": F.when(F.col("reading_id") % 7 != 1, F.col("month")),
+        "hour_sin": F.when(F.col("reading_id") % 7 == 2, F.lit(-0.0)).when(F.col("reading_id") % 7 == 3, F.lit(0.0)).when(F.col("reading_id") % 7 == 4, F.lit(float("nan"))).otherwise(F.col("hour_sin"))})
+    keys = ["reading_id", "copy", C.LABEL, *[f"predicted_{k}" for k in models]]
+    got, want = (f(models, odd).select(*keys) for f in (training.predict_by_vector, training.predict_all))
+    assert got.count() == odd.count() and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+def test_comparison_scores_each_vector_once(spark, repeated):
+    models = {"linear": training.fit(training.linear_pipeline(), repeated), "boosted": training.fit(training.boosted_pipeline(maxIter=3, maxDepth=3), repeated)}
+    found = training.compare(models, repeated)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "UDF" not in plan[:plan.index("Join ")] and "scored-vectors" in "".join(found.inputFiles())
+    own = {r["model"]: r for r in found.collect()}
+    for key, model in models.items():
+        one = training.evaluate_split(model, repeated, training.MODEL_NAMES[key]).first()
+        assert own[one["model"]]["test_rows"] == one["test_rows"]
+        assert all(own[one["model"]][c] == pytest.approx(one[c], rel=1e-9) for c in ("train_rmse", "test_rmse", "test_mae", "test_r2"))
